@@ -83,5 +83,5 @@ if __name__ == "__main__":
         except Exception as e:  # noqa: BLE001
             problem = f"{type(e).__name__}: {str(e)[:1500]}"
         failed += problem is not None
-        print(f"{'ok ' if problem is None else 'BAD'} {name} {time.time() - t0:.2f}s {problem or ''}", flush=True)
+        print(f"\n{'ok ' if problem is None else 'BAD'} {name} {time.time() - t0:.2f}s {problem or ''}", flush=True)
     print("failed", failed)

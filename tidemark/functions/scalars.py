@@ -31,7 +31,7 @@ def floor_at(value: Column, low: float) -> Column:
 
 def signed_percent(ratio: Column) -> Column:
     """``+12.3%`` text of a ratio."""
-    return F.format_string("%+.1f%%", ratio * 100)
+    return F.format_string("%+.1f%%", F.bround(ratio * 100, 1))
 
 
 def parse_percent(text: Column) -> Column:

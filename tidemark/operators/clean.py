@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import parsing, scalars
-from tidemark.operators.series import Series, fill_nulls, regularise
+from tidemark.operators.series import Series, regularise_and_fill
 
 
 def project_signal(
@@ -146,8 +146,7 @@ def clean_series(
 
     The window comes last: values outside it may fill rows inside it.
     """
-    axis = regularise(df, series)
-    filled = fill_nulls(axis, series, value_columns)
+    filled = regularise_and_fill(df, series, value_columns)
     clipped = clip_columns(filled, ranges)
     return training_window(clipped, *window, time=series.time) if window else clipped
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -130,6 +130,24 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() in kinds]
 
 
+def _filled_lag(w: WindowSpec, column: str, n: int, look_ahead: bool) -> Column:
+    """Lag whose missing first ``n`` rows take the first lag there is: the key's first value.
+
+    Keys with no more than ``n`` rows have no lag at all and get null.
+    """
+    lag = F.lag(column, n).over(w)
+    if not look_ahead:
+        return lag
+    long_enough = F.count(F.lit(1)).over(w.rowsBetween(-n, n)) > n
+    return F.coalesce(lag, F.when(long_enough, F.first(column).over(w.rowsBetween(-n, Window.currentRow))))
+
+
+def _filled_std(w: WindowSpec, column: str, n: int, look_ahead: bool) -> Column:
+    """Rolling deviation; the key's first row takes its second row's."""
+    std = F.stddev_samp(column).over(w.rowsBetween(-(n - 1), Window.currentRow))
+    return F.coalesce(std, F.stddev_samp(column).over(w.rowsBetween(Window.currentRow, 1))) if look_ahead else std
+
+
 def build_features(
     df: DataFrame,
     series: Series = Series(),
@@ -141,37 +159,54 @@ def build_features(
     Lags, rolling statistics, change and variability share one shuffle; calendar and
     interactions are row expressions.
 
-    ``fill="parity"`` fills train features backward then forward then with 0, which
-    gives early rows values from later ones; serve features are filled forward then
-    backward. ``fill="causal"`` never looks ahead. ``fill="none"`` keeps nulls.
+    ``fill`` decides about features that lack history:
+
+    * ``parity``: train features are filled backward, forward, then with 0, so early rows
+      get values from later ones; serve features are filled forward, then backward. The
+      raw columns must be complete, as cleaning leaves them, or wholly missing for a key.
+      The fill then reaches no further than the longest lag and stays in the same pass.
+    * ``general``: the same fills for raw columns with any pattern of nulls, in a second,
+      two-phase pass.
+    * ``causal``: never looks ahead; missing history is 0.
+    * ``none``: nulls stay.
     """
+    if fill not in ("parity", "general", "causal", "none"):
+        raise ValueError(f"unknown fill {fill!r}")
     spec = PROFILES[profile]
+    ahead = fill == "parity"
 
     def build(w: WindowSpec) -> dict[str, Column]:
-        built = {
-            **lag_columns(w, spec.lag_columns, spec.lags, spec.lag_name),
-            **rolling_columns(w, spec.rolling, spec.rolling_name),
-        }
+        built = {spec.lag_name(c, n): _filled_lag(w, c, n, ahead) for c in spec.lag_columns for n in spec.lags}
+        built.update(rolling_columns(w, spec.rolling, spec.rolling_name))
+        for c, windows in spec.rolling.items():
+            for n, stats in windows.items():
+                if "std" in stats:
+                    built[spec.rolling_name(c, "std", n)] = _filled_std(w, c, n, ahead)
         if profile == "train":
             built["carbon_change_1h"] = change_column(w, TARGET)
             built["load_variability"] = full_window_std(w, LOAD, spec.variability_rows)
+        elif ahead:
+            change = F.col(TARGET) - F.lag(TARGET, 1).over(w)
+            built["carbon_change_1h"] = F.coalesce(change, F.lead(TARGET, 1).over(w) - F.col(TARGET))
         return built
 
-    # The chunk size of the halo pass is also used by the fill, so both share a partitioning.
-    sized = Series(series.keys, series.time, series.step_seconds, max(series.chunk_steps, 4 * spec.reach), series.index)
-    windowed = bounded_window(df, sized, spec.reach, 0, build, keep_chunk=fill != "none")
-    calendared = add_calendar(windowed, profile, series.time)
-    features = calendared.withColumns(interaction_columns(calendared.columns, profile))
+    forward = spec.reach if ahead else 0
+    sized = replace(series, chunk_steps=max(series.chunk_steps, 4 * (spec.reach + forward)))
+    windowed = bounded_window(df, sized, spec.reach, forward, build, keep_chunk=fill == "general")
+    interactions = {k: v for k, v in interaction_columns(windowed.columns, profile).items() if k not in windowed.columns}
+    # One projection for calendar columns, one for what is built on them.
+    features = add_calendar(windowed, profile, series.time).withColumns(interactions)
     if fill == "none":
         return features
-    numeric = [c for c in numeric_columns(features) if c not in ("_chunk", *series.keys)]
-    nullable = [c for c in numeric if c not in calendar.temporal_columns(F.lit(None).cast("timestamp"), profile)]
-    nullable = [c for c in nullable if not c.endswith(("_sin", "_cos"))]
-    if fill == "causal":
-        return fill_nulls(features, sized, nullable, ("forward",), 0.0)
-    if profile == "serve":
-        return fill_nulls(features, sized, nullable, ("forward", "backward"))
-    return fill_nulls(features, sized, nullable, ("backward", "forward"), 0.0)
+    complete = set(calendar.temporal_columns(F.lit(None), profile)) | set(calendar.cyclic_columns(F.lit(None), profile))
+    nullable = [c for c in numeric_columns(features) if c not in complete and c not in ("_chunk", *series.keys)]
+    if fill == "general":
+        if profile == "serve":
+            return fill_nulls(features, sized, nullable, ("forward", "backward"))
+        return fill_nulls(features, sized, nullable, ("backward", "forward"), 0.0)
+    if profile == "serve" and ahead:
+        return features
+    return features.fillna(0, subset=nullable)
 
 
 def profile_skew(train: DataFrame, serve: DataFrame) -> DataFrame:

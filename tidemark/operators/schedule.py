@@ -15,23 +15,26 @@ from tidemark.operators.series import POSITION, Series, bounded_window, islands,
 PREDICTED = "predicted_carbon_intensity"
 
 
-def threshold(df: DataFrame, keys: Sequence[str], percentile: float = 25.0, value: str = PREDICTED) -> DataFrame:
-    """Linear-interpolated percentile of each forecast."""
-    return quantile_columns(df, keys, value, {"threshold": percentile / 100})
-
-
 def mark_green(
     df: DataFrame,
-    keys: Sequence[str],
+    series: Series,
     percentile: float = 25.0,
     fixed: float | None = None,
     value: str = PREDICTED,
 ) -> DataFrame:
-    """Add the forecast's threshold and whether each hour is at or below it."""
+    """Add the forecast's threshold and whether each hour is at or below it.
+
+    The threshold is ``fixed`` or the linear-interpolated percentile of the key. Short
+    forecasts take it in their own window; long series get it from
+    :func:`~tidemark.operators.ranks.exact_quantiles`.
+    """
     if fixed is not None:
         limited = df.withColumn("threshold", F.lit(float(fixed)))
+    elif series.short_keys:
+        whole = Window.partitionBy(*series.keys)
+        limited = df.withColumn("threshold", F.percentile(value, percentile / 100).over(whole))
     else:
-        limited = df.join(threshold(df, keys, percentile, value), list(keys))
+        limited = df.join(quantile_columns(df, series.keys, value, {"threshold": percentile / 100}), list(series.keys))
     return limited.withColumn("is_green", F.col(value) <= F.col("threshold"))
 
 
@@ -80,7 +83,7 @@ def start_options(forecast: DataFrame, series: Series, runtimes: Sequence[int],
     runtimes = sorted(set(runtimes))
     keys = list(series.keys)
     placed = with_position(forecast, series, POSITION)
-    counted = replace(series, index=POSITION)
+    counted = replace(series, index=None if series.short_keys else POSITION)
 
     def means(w) -> dict[str, Column]:
         frames = {r: w.rowsBetween(0, r - 1) for r in runtimes}

@@ -33,6 +33,9 @@ class Series:
 
     ``index`` names an integer column to use as row index. Without it the index is
     the number of whole steps since the epoch, which is right for a gap-free series.
+
+    ``short_keys`` says that every key holds few rows by construction, such as one
+    forecast run of 24 hours. Each key is then one chunk and needs no halo and no carry.
     """
 
     keys: tuple[str, ...] = ("zone",)
@@ -40,6 +43,7 @@ class Series:
     step_seconds: int = 3600
     chunk_steps: int = 2048
     index: str | None = None
+    short_keys: bool = False
 
     def index_column(self) -> Column:
         if self.index:
@@ -51,7 +55,7 @@ class Series:
 
     def chunk_window(self, descending: bool = False) -> WindowSpec:
         order = F.col(self.time).desc() if descending else F.col(self.time).asc()
-        return Window.partitionBy(*self.keys, CHUNK).orderBy(order)
+        return Window.partitionBy(*self.keys, *([] if self.short_keys else [CHUNK])).orderBy(order)
 
     def summary_window(self, descending: bool = False) -> WindowSpec:
         order = F.col(CHUNK).desc() if descending else F.col(CHUNK).asc()
@@ -83,6 +87,10 @@ def bounded_window(
     ``build`` gets the window to use and returns the new columns by name. All of them
     share one shuffle and one sort. The series must be gap-free in its index.
     """
+    if series.short_keys:
+        built = build(series.chunk_window())
+        replaced = [c for c in df.columns if c not in built]
+        return df.select(*replaced, *[c.alias(n) for n, c in built.items()])
     reach = back + forward
     size = max(series.chunk_steps, 4 * reach)
     index = F.col(INDEX)
@@ -107,13 +115,16 @@ def fill_nulls(
     columns: Sequence[str],
     directions: Sequence[str] = ("forward", "backward"),
     default: object | None = None,
+    observed: DataFrame | None = None,
 ) -> DataFrame:
     """Replace nulls by the nearest earlier (forward) or later (backward) value of the
     key, trying ``directions`` in the given order, then ``default``.
+
+    ``observed`` may name a smaller table that holds all the non-null rows.
     """
     columns = list(columns)
     # Rows are chunked by time here, so gaps in the index do no harm.
-    base = df if CHUNK in df.columns else with_chunk(df, series)
+    base = df if CHUNK in df.columns or series.short_keys else with_chunk(df, series)
     ahead = series.chunk_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Descending order keeps the frame growing; a frame ending in UNBOUNDED FOLLOWING
     # would be rescanned for every row.
@@ -123,14 +134,34 @@ def fill_nulls(
     local = base.select(
         "*", *[F.last(c, True).over(frames[d]).alias(f"_{d}_{c}") for d in directions for c in columns]
     )
+
+    def filled(name: str, carried: bool) -> Column:
+        options = [F.col(name)]
+        for d in directions:
+            options += [F.col(f"_{d}_{name}"), *([F.col(f"_carry_{d}_{name}")] if carried else [])]
+        if default is not None:
+            options.append(F.lit(default))
+        return F.coalesce(*options).cast(df.schema[name].dataType).alias(name)
+
+    def shown(table: DataFrame, carried: bool) -> DataFrame:
+        return table.select(*[filled(c, carried) if c in columns else F.col(c) for c in df.columns if c != CHUNK])
+
+    if series.short_keys:
+        return shown(local, False)
     time = F.col(series.time)
-    edges = base.groupBy(*series.keys, CHUNK).agg(
+    source = base if observed is None else with_chunk(observed, series)
+    edges = source.groupBy(*series.keys, CHUNK).agg(
         *[
             (F.max_by if d == "forward" else F.min_by)(F.col(c), F.when(F.col(c).isNotNull(), time)).alias(f"_{d}_{c}")
             for d in directions
             for c in columns
         ]
     )
+    if observed is not None:
+        # Chunks without any row still need the value carried into them.
+        spans = edges.groupBy(*series.keys).agg(F.min(CHUNK).alias("_from"), F.max(CHUNK).alias("_to"))
+        every = spans.select(*series.keys, F.explode(F.sequence("_from", "_to")).alias(CHUNK))
+        edges = every.join(edges, [*series.keys, CHUNK], "left")
     carried = edges.select(
         *series.keys,
         CHUNK,
@@ -142,23 +173,18 @@ def fill_nulls(
             for c in columns
         ],
     )
-    joined = local.join(carried, [*series.keys, CHUNK], "left")
-
-    def filled(name: str) -> Column:
-        options = [F.col(name)]
-        for d in directions:
-            options += [F.col(f"_{d}_{name}"), F.col(f"_carry_{d}_{name}")]
-        if default is not None:
-            options.append(F.lit(default))
-        return F.coalesce(*options).cast(df.schema[name].dataType).alias(name)
-
-    return joined.select(*[filled(c) if c in columns else F.col(c) for c in df.columns if c != CHUNK])
+    return shown(local.join(carried, [*series.keys, CHUNK], "left"), True)
 
 
 def with_position(df: DataFrame, series: Series, name: str = POSITION, length: str | None = None) -> DataFrame:
     """Add the dense position (0, 1, 2, …) of each row in its key's time order, and
     optionally the number of rows of the key.
     """
+    if series.short_keys:
+        group = Window.partitionBy(*series.keys)
+        extra = [F.count(F.lit(1)).over(group).alias(length)] if length else []
+        row = (F.row_number().over(series.chunk_window()) - 1).cast("long")
+        return df.select(*df.columns, row.alias(name), *extra)
     base = with_chunk(df, series)
     counts = base.groupBy(*series.keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     before = series.summary_window().rowsBetween(Window.unboundedPreceding, -1)
@@ -201,33 +227,58 @@ def middle_rows(df: DataFrame, series: Series, n: int) -> DataFrame:
     )
 
 
-def regularise(df: DataFrame, series: Series) -> DataFrame:
-    """Put the series on a gap-free time axis per key; missing steps become null rows.
+def time_axis(df: DataFrame, series: Series) -> DataFrame:
+    """All (keys, time) steps from each key's first to its last time, with their chunk.
 
-    The axis starts at the key's first time. It is generated chunk by chunk, so no
-    single row ever carries the whole axis of a long key.
+    It is generated chunk by chunk, so no single row ever carries the whole axis of a
+    long key.
     """
     step_us = series.step_seconds * 1_000_000
     span = df.groupBy(*series.keys).agg(F.min(series.time).alias("_lo"), F.max(series.time).alias("_hi"))
-    lo_us, hi_us = F.unix_micros("_lo"), F.unix_micros("_hi")
-    size = series.chunk_steps
-    pieces = span.select(
+    lo_us, size = F.unix_micros("_lo"), series.chunk_steps
+    first, steps = floor_div(lo_us, step_us), floor_div(F.unix_micros("_hi") - lo_us, step_us)
+    pieces = span.select(*series.keys, "_lo", first.alias("_first"), steps.alias("_steps")).select(
         *series.keys,
         "_lo",
-        floor_div(hi_us - lo_us, step_us).alias("_steps"),
-    ).select(*series.keys, "_lo", "_steps", F.explode(F.sequence(F.lit(0), floor_div(F.col("_steps"), size))).alias("_piece"))
-    first = F.col("_piece") * size
-    axis = (
-        pieces.repartition(*series.keys, "_piece")
-        .select(
-            *series.keys,
-            "_lo",
-            F.explode(F.sequence(first, F.least(first + size - 1, F.col("_steps")))).alias("_k"),
-        )
-        .select(*series.keys, F.timestamp_micros(F.unix_micros("_lo") + F.col("_k") * step_us).alias(series.time))
+        "_first",
+        "_steps",
+        F.explode(
+            F.sequence(floor_div(F.col("_first"), size), floor_div(F.col("_first") + F.col("_steps"), size))
+        ).alias(CHUNK),
     )
+    start = F.greatest(F.lit(0).cast("long"), F.col(CHUNK) * size - F.col("_first"))
+    stop = F.least(F.col("_steps"), (F.col(CHUNK) + 1) * size - 1 - F.col("_first"))
+    return (
+        pieces.repartition(*series.keys, CHUNK)
+        .select(*series.keys, "_lo", CHUNK, F.explode(F.sequence(start, stop)).alias("_k"))
+        .select(*series.keys, CHUNK, F.timestamp_micros(lo_us + F.col("_k") * step_us).alias(series.time))
+    )
+
+
+def regularise(df: DataFrame, series: Series) -> DataFrame:
+    """Put the series on a gap-free time axis per key; missing steps become null rows.
+
+    The axis starts at the key's first time; rows off its steps are left out.
+    """
+    on = [*series.keys, series.time]
+    return time_axis(df, series).drop(CHUNK).join(df, on, "left").select(*df.columns)
+
+
+def regularise_and_fill(
+    df: DataFrame,
+    series: Series,
+    columns: Sequence[str],
+    directions: Sequence[str] = ("forward", "backward"),
+    default: object | None = None,
+) -> DataFrame:
+    """:func:`regularise`, then :func:`fill_nulls`.
+
+    The steps added by the axis hold no values, so the chunk summaries come from the
+    rows themselves and the axis join is computed once.
+    """
     on = [*series.keys, series.time]
-    return axis.join(df, on, "left").select(*df.columns)
+    whole = time_axis(df, series).join(df, on, "left")
+    return fill_nulls(whole, series, columns, directions, default, observed=df).select(*df.columns)
 
 
 def islands(df: DataFrame, series: Series, flag: Column, start: str = "_island") -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("queries_series",)
+MODULES = ("queries_series", "queries_tables")
 
 
 def load_queries() -> None:

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.clean import merge_on_key
-from tidemark.operators.series import Series, fill_nulls, regularise
+from tidemark.operators.series import Series, regularise, regularise_and_fill
 
 HOURLY = Series()
 DAILY = Series(step_seconds=86_400)
+# One forecast run holds 24 hours.
+RUNS = Series(keys=("zone", "run"), short_keys=True)
 GRID_VALUES = (
     "carbon_intensity_gco2_per_kwh",
     "carbon_free_energy_pct",
@@ -83,7 +85,7 @@ class Tables:
     @cached_property
     def grid(self) -> DataFrame:
         """Regular and filled."""
-        return fill_nulls(self.grid_axis, HOURLY, GRID_VALUES)
+        return regularise_and_fill(self.grid_observed, HOURLY, GRID_VALUES)
 
     @cached_property
     def weather(self) -> DataFrame:
@@ -110,7 +112,7 @@ class Tables:
     @cached_property
     def merged(self) -> DataFrame:
         """Filled grid with filled weather: gap-free per zone."""
-        weather = fill_nulls(regularise(self.weather, HOURLY), HOURLY, WEATHER_VALUES)
+        weather = regularise_and_fill(self.weather, HOURLY, WEATHER_VALUES)
         return merge_on_key(self.grid, weather)
 
     @cached_property

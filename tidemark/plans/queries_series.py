@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import clean, features, profile, schedule, series, split
-from tidemark.plans.canonical import GRID_VALUES, HOURLY, WEATHER_VALUES, Tables
+from tidemark.plans.canonical import GRID_VALUES, HOURLY, RUNS, WEATHER_VALUES, Tables
 from tidemark.plans.registry import query
 
 CI, LOAD = GRID_VALUES[0], GRID_VALUES[4]
@@ -250,7 +250,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("w8_forward_backward_fill", "SELECT * FROM grid", ctes="grid")
 def _(t: Tables) -> DataFrame:
-    return t.grid
+    return series.fill_nulls(t.grid_axis, HOURLY, GRID_VALUES)
+
+
+@query("w8_axis_and_fill", "SELECT * FROM grid", ctes="grid")
+def _(t: Tables) -> DataFrame:
+    """Axis and fill in one plan; chunks of 12 hours leave whole chunks without readings."""
+    return series.regularise_and_fill(t.grid_observed, series.Series(chunk_steps=12), GRID_VALUES)
 
 
 @query(
@@ -312,12 +318,11 @@ SELECT zone, run, min(datetime) AS start_time, max(datetime) AS end_time, count(
   round_even(avg(predicted_carbon_intensity), 2) AS avg_intensity, round_even(min(predicted_carbon_intensity), 2) AS min_intensity,
   round_even(max(predicted_carbon_intensity), 2) AS max_intensity
 FROM numbered WHERE is_green GROUP BY zone, run, island"""
-RUNS = series.Series(keys=("zone", "run"))
 
 
 @query("w13_green_windows", WINDOWS_SQL, floats="avg_intensity min_intensity max_intensity", ctes="forecasts")
 def _(t: Tables) -> DataFrame:
-    return schedule.green_windows(schedule.mark_green(t.forecasts, ["zone", "run"]), RUNS)
+    return schedule.green_windows(schedule.mark_green(t.forecasts, RUNS), RUNS)
 
 
 @query(
@@ -335,8 +340,8 @@ FROM numbered WHERE is_green GROUP BY zone, island""",
 )
 def _(t: Tables) -> DataFrame:
     """Runs across chunk borders: the whole month is one forecast."""
-    marked = schedule.mark_green(t.forecasts.drop("run"), ["zone"])
-    return schedule.green_windows(marked, series.Series(chunk_steps=48))
+    long = series.Series(chunk_steps=48)
+    return schedule.green_windows(schedule.mark_green(t.forecasts.drop("run"), long), long)
 
 
 @query(
