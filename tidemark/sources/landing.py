@@ -34,12 +34,18 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, file_level: bool = False) -> DataFrame:
+def read_jsonl(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType | str,
+    file_level: bool = False,
+    pattern: str = "*.json*",
+) -> DataFrame:
     """Rows of all JSON-lines files below ``path``, with their ``file``.
 
     Unreadable lines are left out; with ``file_level`` the whole file holding one is.
     """
-    rows = read_jsonl_with_corrupt(spark, path, schema)
+    rows = read_jsonl_with_corrupt(spark, path, schema, pattern)
     good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     if not file_level:
         return good
@@ -47,7 +53,9 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return good.join(bad_files, "file", "left_anti").select(*good.columns)
 
 
-def read_jsonl_with_corrupt(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
+def read_jsonl_with_corrupt(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, pattern: str = "*.json*"
+) -> DataFrame:
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
@@ -55,7 +63,7 @@ def read_jsonl_with_corrupt(spark: SparkSession, path: str | Sequence[str], sche
         spark.read.schema(wide)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.jsonl")
+        .option("pathGlobFilter", pattern)
         .json(path)
     )
     return raw.select("*", F.col("_metadata.file_path").alias("file"))
@@ -66,10 +74,11 @@ def read_signal_tree(spark: SparkSession, base: str, schema: T.StructType | str,
     return read_jsonl(spark, base, schema, file_level).withColumns(path_columns(F.col("file")))
 
 
-def quarantine(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
+def quarantine(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, pattern: str = "*.json*"
+) -> DataFrame:
     """The unreadable lines and their files."""
-    # Touch a parsed column too: Spark does not scan raw JSON for the corrupt column alone.
-    return read_jsonl_with_corrupt(spark, path, schema).filter(F.col(CORRUPT).isNotNull()).select(
+    return read_jsonl_with_corrupt(spark, path, schema, pattern).filter(F.col(CORRUPT).isNotNull()).select(
         "file", F.col(CORRUPT).alias("line")
     )
 

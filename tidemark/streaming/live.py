@@ -45,10 +45,7 @@ class FeatureState(StatefulProcessor):
             self._hours.updateValue((hour,), (value,))
         newest = max(known)
         for hour in [h for h in known if h <= newest - HISTORY_HOURS]:
-            known.pop(hour)
             self._hours.removeKey((hour,))
-        if not known:
-            return
         series = pd.Series(known).sort_index()
         series = series.reindex(range(series.index[0], newest + 1))
         columns = {"value": series}
