@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import half_even
+
 # Bucket names and edges.
 LEVELS = ("Very Low", "Low", "Medium", "High", "Very High")
 LEVEL_EDGES = (0.0, 100.0, 200.0, 350.0, 500.0, math.inf)
@@ -92,7 +94,7 @@ def severity(ratio: Column) -> Column:
 
 
 def improvement_pct(baseline: Column, value: Column, digits: int = 2) -> Column:
-    return F.bround((baseline - value) / F.nullif(baseline, F.lit(0.0)) * 100, digits)
+    return half_even((baseline - value) / F.nullif(baseline, F.lit(0.0)) * 100, digits)
 
 
 def performance_tier(mae: Column, baseline: Column) -> Column:

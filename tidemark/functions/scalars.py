@@ -16,6 +16,12 @@ METRIC_KEY_DROPPED = r"[()\-.]"
 METRIC_KEY_UNDERSCORE = r"[ /]"
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """Round half to even. Float noise six digits further on is dropped first, so the
+    result does not depend on the order in which a sum was added up."""
+    return F.bround(F.round(value, digits + 6), digits)
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     """Clamp to [low, high]; a missing value stays missing (least and greatest skip nulls)."""
     return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
@@ -31,7 +37,7 @@ def floor_at(value: Column, low: float) -> Column:
 
 def signed_percent(ratio: Column) -> Column:
     """``+12.3%`` text of a ratio."""
-    return F.format_string("%+.1f%%", F.bround(ratio * 100, 1))
+    return F.format_string("%+.1f%%", half_even(ratio * 100, 1))
 
 
 def parse_percent(text: Column) -> Column:

@@ -31,14 +31,14 @@ def compare_slices(before: DataFrame, after: DataFrame, by: Sequence[str] = ("sl
     return left.join(right, list(by), "full").withColumns(
         {
             "mae_improvement": gain,
-            "mae_improvement_pct": F.bround(gain / F.nullif(F.col("mae_before"), F.lit(0.0)) * 100, 2),
+            "mae_improvement_pct": scalars.half_even(gain / F.nullif(F.col("mae_before"), F.lit(0.0)) * 100, 2),
         }
     )
 
 
 def mean_improvement(comparison: DataFrame, kinds: Sequence[str] = ("zone", "carbon_bucket"), by: Sequence[str] = ()) -> DataFrame:
     return comparison.filter(F.col("slice_type").isin(*kinds)).groupBy(*by).agg(
-        F.bround(F.avg("mae_improvement_pct"), 4).alias("avg_improvement_pct")
+        scalars.half_even(F.avg("mae_improvement_pct"), 4).alias("avg_improvement_pct")
     )
 
 
@@ -78,12 +78,12 @@ def promotion_verdicts(
     return joined.select(
         *by,
         verdict.alias("verdict"),
-        F.bround("mae_current", 4).alias("mae_current"),
-        F.bround("mae_new", 4).alias("mae_new"),
-        F.bround(delta, 4).alias("mae_delta"),
-        F.bround(share * 100, 3).alias("mae_pct"),
-        F.bround(F.col("rmse_new") - F.col("rmse_current"), 4).alias("rmse_delta"),
-        F.bround(r2_delta, 4).alias("r2_delta"),
+        scalars.half_even(F.col("mae_current"), 4).alias("mae_current"),
+        scalars.half_even(F.col("mae_new"), 4).alias("mae_new"),
+        scalars.half_even(delta, 4).alias("mae_delta"),
+        scalars.half_even(share * 100, 3).alias("mae_pct"),
+        scalars.half_even(F.col("rmse_new") - F.col("rmse_current"), 4).alias("rmse_delta"),
+        scalars.half_even(r2_delta, 4).alias("r2_delta"),
         violated.alias("r2_violated"),
     )
 

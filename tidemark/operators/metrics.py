@@ -52,10 +52,10 @@ def score_columns(actual: str = "actual", predicted: str = "predicted", digits:
     error = y - p
     spread = F.var_pop(y) * F.count(y)
     return [
-        F.bround(F.avg(F.abs(error)), digits).alias("mae"),
-        F.bround(F.sqrt(F.avg(error * error)), digits).alias("rmse"),
-        F.bround(1 - F.sum(error * error) / F.nullif(spread, F.lit(0.0)), digits).alias("r2"),
-        F.bround(F.avg(F.abs(error / (y + MAPE_EPSILON))) * 100, digits).alias("mape"),
+        scalars.half_even(F.avg(F.abs(error)), digits).alias("mae"),
+        scalars.half_even(F.sqrt(F.avg(error * error)), digits).alias("rmse"),
+        scalars.half_even(1 - F.sum(error * error) / F.nullif(spread, F.lit(0.0)), digits).alias("r2"),
+        scalars.half_even(F.avg(F.abs(error / (y + MAPE_EPSILON))) * 100, digits).alias("mape"),
     ]
 
 
@@ -69,15 +69,15 @@ def baseline_scores(df: DataFrame, by: Sequence[str]) -> DataFrame:
     both = F.col("actual").isNotNull() & F.col("predicted").isNotNull()
     error = F.when(both, F.col("actual") - F.col("predicted"))
     return df.groupBy(*by).agg(
-        F.bround(F.avg(F.abs(error)), 2).alias("mae"),
-        F.bround(F.sqrt(F.avg(error * error)), 2).alias("rmse"),
-        F.bround(F.avg(F.abs(error / F.nullif(F.col("actual"), F.lit(0.0)))) * 100, 2).alias("mape"),
+        scalars.half_even(F.avg(F.abs(error)), 2).alias("mae"),
+        scalars.half_even(F.sqrt(F.avg(error * error)), 2).alias("rmse"),
+        scalars.half_even(F.avg(F.abs(error / F.nullif(F.col("actual"), F.lit(0.0)))) * 100, 2).alias("mape"),
     )
 
 
 def with_errors(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Predicted value, error and absolute error, to two digits."""
-    error = F.bround(F.bround(F.col(predicted), 2) - F.col(actual), 2)
+    error = scalars.half_even(scalars.half_even(F.col(predicted), 2) - F.col(actual), 2)
     return df.withColumns({"error": error, "abs_error": F.abs(error)})
 
 
@@ -135,8 +135,8 @@ def disparities(slices: DataFrame, by: Sequence[str] = ("model", "horizon_hours"
             "slice_value",
             "n_samples",
             F.col("mae").alias("slice_mae"),
-            F.bround("_base", 4).alias("baseline_mae"),
-            F.bround(relative, 4).alias("relative_diff"),
+            scalars.half_even(F.col("_base"), 4).alias("baseline_mae"),
+            scalars.half_even(relative, 4).alias("relative_diff"),
             scalars.signed_percent(relative).alias("pct_deviation"),
             (F.abs(relative) > threshold).alias("flagged"),
         )

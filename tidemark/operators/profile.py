@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import half_even
 from tidemark.functions import buckets, calendar
 from tidemark.operators.ranks import quantile_columns
 from tidemark.operators.series import CHUNK, Series, with_chunk
@@ -35,7 +36,7 @@ def slice_distribution(df: DataFrame, dimensions: Sequence[str], threshold: floa
     by = list(by)
     counts = explode_slices(df, dimensions, *by).groupBy(*by, "slice", "slice_value").agg(F.count(F.lit(1)).alias("count"))
     whole = Window.partitionBy(*by, "slice")
-    share = F.bround(F.col("count") / F.sum("count").over(whole) * 100, 2)
+    share = half_even(F.col("count") / F.sum("count").over(whole) * 100, 2)
     return (
         counts.withColumn("percentage", share)
         .withColumn("_expected", 100 / F.count(F.lit(1)).over(whole))
@@ -45,8 +46,8 @@ def slice_distribution(df: DataFrame, dimensions: Sequence[str], threshold: floa
             "slice_value",
             "count",
             "percentage",
-            F.bround("_expected", 2).alias("expected_pct"),
-            F.bround((F.col("percentage") - F.col("_expected")) / F.col("_expected") * 100, 2).alias("deviation_pct"),
+            half_even(F.col("_expected"), 2).alias("expected_pct"),
+            half_even((F.col("percentage") - F.col("_expected")) / F.col("_expected") * 100, 2).alias("deviation_pct"),
             (F.col("percentage") < F.col("_expected") * threshold).alias("is_underrepresented"),
             (F.col("percentage") > F.col("_expected") * (2 - threshold)).alias("is_overrepresented"),
         )
@@ -60,14 +61,14 @@ def slice_target_stats(df: DataFrame, dimensions: Sequence[str], target: str, by
     y = F.col(target)
     stats = long.groupBy(*keys).agg(
         F.count(y).alias("count"),
-        F.bround(F.avg(y), 2).alias("mean"),
-        F.bround(F.stddev_samp(y), 2).alias("std"),
-        F.bround(F.min(y), 2).alias("min"),
-        F.bround(F.max(y), 2).alias("max"),
-        F.bround(F.avg(y.isNull().cast("int")) * 100, 2).alias("missing_pct"),
+        half_even(F.avg(y), 2).alias("mean"),
+        half_even(F.stddev_samp(y), 2).alias("std"),
+        half_even(F.min(y), 2).alias("min"),
+        half_even(F.max(y), 2).alias("max"),
+        half_even(F.avg(y.isNull().cast("int")) * 100, 2).alias("missing_pct"),
     )
     medians = quantile_columns(long, keys, target, {"median": 0.5})
-    return stats.join(medians, keys, "left").withColumn("median", F.bround("median", 2))
+    return stats.join(medians, keys, "left").withColumn("median", half_even(F.col("median"), 2))
 
 
 def issue_total(distribution: DataFrame, by: Sequence[str] = ()) -> DataFrame:

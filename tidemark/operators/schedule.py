@@ -47,9 +47,9 @@ def green_windows(marked: DataFrame, series: Series, value: str = PREDICTED, dig
         .agg(
             F.max(series.time).alias("end_time"),
             F.count(F.lit(1)).alias("duration_hours"),
-            F.bround(F.avg(value), digits).alias("avg_intensity"),
-            F.bround(F.min(value), digits).alias("min_intensity"),
-            F.bround(F.max(value), digits).alias("max_intensity"),
+            scalars.half_even(F.avg(value), digits).alias("avg_intensity"),
+            scalars.half_even(F.min(value), digits).alias("min_intensity"),
+            scalars.half_even(F.max(value), digits).alias("max_intensity"),
         )
     )
 
@@ -58,17 +58,17 @@ def green_summary(marked: DataFrame, keys: Sequence[str], value: str = PREDICTED
     """Green hours and share, mean of each side, and what moving to green saves."""
     green = F.col("is_green")
     sides = marked.groupBy(*keys).agg(
-        F.bround(F.max("threshold"), 2).alias("threshold"),
+        scalars.half_even(F.max("threshold"), 2).alias("threshold"),
         F.count_if(green).alias("green_hours"),
         F.count(F.lit(1)).alias("total_hours"),
-        F.bround(F.avg(F.when(green, F.col(value))), 2).alias("avg_green"),
-        F.bround(F.avg(F.when(~green, F.col(value))), 2).alias("avg_red"),
+        scalars.half_even(F.avg(F.when(green, F.col(value))), 2).alias("avg_green"),
+        scalars.half_even(F.avg(F.when(~green, F.col(value))), 2).alias("avg_red"),
     )
     red = F.col("avg_red")
     return sides.withColumns(
         {
-            "green_pct": F.bround(F.col("green_hours") / F.col("total_hours") * 100, 1),
-            "co2_savings_pct": F.when(red > 0, F.bround((red - F.col("avg_green")) / red * 100, 1)),
+            "green_pct": scalars.half_even(F.col("green_hours") / F.col("total_hours") * 100, 1),
+            "co2_savings_pct": F.when(red > 0, scalars.half_even((red - F.col("avg_green")) / red * 100, 1)),
         }
     )
 
@@ -156,12 +156,12 @@ def plan_jobs(
         *jobs.columns,
         "hours_to_wait",
         "recommended_start",
-        F.bround("expected_intensity", 2).alias("expected_intensity"),
-        F.bround("immediate_intensity", 2).alias("immediate_intensity"),
-        F.bround(now, 3).alias("immediate_co2_kg"),
-        F.bround(best, 3).alias("optimal_co2_kg"),
-        F.bround(saved, 3).alias("co2_saved_kg"),
-        F.bround(pct, 1).alias("co2_savings_pct"),
+        scalars.half_even(F.col("expected_intensity"), 2).alias("expected_intensity"),
+        scalars.half_even(F.col("immediate_intensity"), 2).alias("immediate_intensity"),
+        scalars.half_even(now, 3).alias("immediate_co2_kg"),
+        scalars.half_even(best, 3).alias("optimal_co2_kg"),
+        scalars.half_even(saved, 3).alias("co2_saved_kg"),
+        scalars.half_even(pct, 1).alias("co2_savings_pct"),
         F.when(
             F.col("hours_to_wait") > 0,
             F.format_string(

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import half_even
 from tidemark.functions import buckets, parsing
 from tidemark.operators import features, model
 from tidemark.operators.series import latest_rows
@@ -278,5 +279,5 @@ def _(t: Tables) -> DataFrame:
     """The next day of every zone from its last 24 rows, with the level it is served under."""
     trained, (_train, _val, test) = fitted(t, 1)
     scored = model.predict(trained, latest_rows(test, HOURLY, 24), 50.0)
-    served = F.bround("predicted", 1)
+    served = half_even(F.col("predicted"), 1)
     return scored.select("zone", "datetime", served.alias("intensity"), buckets.service_level(served).alias("level"))

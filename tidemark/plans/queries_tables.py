@@ -194,7 +194,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     p = F.col("predicted")
-    return t.scores.select("row_id", scalars.floor_at(p, 0).alias("predicted"), F.bround(scalars.floor_at(p, 50), 1).alias("served"))
+    return t.scores.select("row_id", scalars.floor_at(p, 0).alias("predicted"), scalars.half_even(scalars.floor_at(p, 50), 1).alias("served"))
 
 
 SPLIT_CASE = f"""CASE WHEN datetime <= TIMESTAMP '{TRAIN_END}' THEN 'train'

@@ -57,7 +57,24 @@ def compose(sql: str, floats: str, digits: int, ctes: str) -> str:
     rounded = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in floats.split())
     chosen = f"* REPLACE ({rounded})" if rounded else "*"
     body = f"SELECT {chosen} FROM (\n{sql.strip()}\n)"
-    return f"WITH {', '.join(with_dependencies(ctes.split()))}\n{body}" if ctes else body
+    return decimal_rounding(f"WITH {', '.join(with_dependencies(ctes.split()))}\n{body}" if ctes else body)
+
+
+def decimal_rounding(sql: str) -> str:
+    """Give every ``round_even(x, n)`` a decimal argument, so that ties are exact ties."""
+    name = "round_even("
+    while name in sql:
+        start = sql.rindex(name) + len(name)
+        depth, comma, at = 1, 0, start
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[at], 0)
+            if sql[at] == "," and depth == 1:
+                comma = at
+            at += 1
+        digits = int(sql[comma + 1 : at - 1])
+        value = f"CAST({sql[start:comma]} AS DECIMAL(28, {digits + 6}))"
+        sql = f"{sql[: start - len(name)]}CAST(ROUND_EVEN({value}, {digits}) AS DOUBLE){sql[at:]}"
+    return sql
 
 
 def with_dependencies(names: list[str]) -> list[str]:

@@ -49,6 +49,7 @@ def read_jsonl(
     good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     if not file_level:
         return good
+    # A file list; a bad file is named once per task before the shuffle.
     bad_files = rows.filter(F.col(CORRUPT).isNotNull()).select("file").distinct()
     return good.join(bad_files, "file", "left_anti").select(*good.columns)
 
@@ -56,17 +57,23 @@ def read_jsonl(
 def read_jsonl_with_corrupt(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, pattern: str = "*.json*"
 ) -> DataFrame:
+    """Parsed fields of every line, with the line itself where it could not be parsed.
+
+    Lines are read as text and parsed by an expression: the JSON source refuses plans
+    that need nothing but the unparsed text, such as a count of bad lines.
+    """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(wide)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("recursiveFileLookup", "true")
+    lines = (
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .json(path)
+        .text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"))
+        .filter(F.trim("value") != "")
     )
-    return raw.select("*", F.col("_metadata.file_path").alias("file"))
+    parsed = F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(parsed.alias("_p"), "file").select("_p.*", "file")
 
 
 def read_signal_tree(spark: SparkSession, base: str, schema: T.StructType | str, file_level: bool = False) -> DataFrame:

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.sources.landing import CORRUPT, file_name
+from tidemark.sources.landing import file_name, read_jsonl
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
@@ -56,10 +55,7 @@ def append_log(df: DataFrame, path: str) -> None:
 
 def read_log(spark: SparkSession, path: str, schema: str, model_type: str | None = None) -> DataFrame:
     """Log entries; malformed lines are skipped."""
-    wide = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField(CORRUPT, T.StringType())])
-    raw = spark.read.schema(wide).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    entries = raw.select("*", F.col("_metadata.file_path").alias("file")).filter(F.col(CORRUPT).isNull())
-    entries = entries.drop(CORRUPT, "file")
+    entries = read_jsonl(spark, path, schema, pattern="*").drop("file")
     return entries.filter(F.col("model_type") == model_type) if model_type else entries
 
 
