@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +22,11 @@ def exact_quantiles(
     Equal values are counted before the shuffle. A quantile sketch then cuts each
     group into ``splits`` value ranges, range totals locate the wanted ranks, and only
     the ranges holding a wanted rank are sorted. One group may hold any share of the
-    rows: its work is spread over its ranges.
+    rows: its work is spread over its ranges. Rows with a null group or value are left out.
     """
     by = list(by)
     counted = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(reduce(and_, [F.col(c).isNotNull() for c in [*by, value]]))
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )

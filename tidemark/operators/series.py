@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -157,17 +159,23 @@ def fill_nulls(
             for c in columns
         ]
     )
-    if observed is not None:
-        # Chunks without any row still need the value carried into them.
-        spans = edges.groupBy(*series.keys).agg(F.min(CHUNK).alias("_from"), F.max(CHUNK).alias("_to"))
-        every = spans.select(*series.keys, F.explode(F.sequence("_from", "_to")).alias(CHUNK))
-        edges = every.join(edges, [*series.keys, CHUNK], "left")
-    carried = edges.select(
+    # A chunk without a summary (none of its rows is in ``observed``) lies between two that
+    # have one: it is written out with the values carried over the earlier one.
+    carries = {
+        f"_carry_{d}_{c}": F.last(f"_{d}_{c}", True).over(
+            series.summary_window(d == "backward").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        for d in directions
+        for c in columns
+    }
+    scanned = edges.withColumns({**carries, "_upto": F.lead(CHUNK).over(series.summary_window()) - 1})
+    at, own = F.col("_at"), F.col(CHUNK)
+    carried = scanned.withColumn("_at", F.explode(F.sequence(own, F.coalesce(F.col("_upto"), own)))).select(
         *series.keys,
-        CHUNK,
+        at.alias(CHUNK),
         *[
-            F.last(f"_{d}_{c}", True)
-            .over(series.summary_window(d == "backward").rowsBetween(Window.unboundedPreceding, -1))
+            F.when(at == own, F.col(f"_carry_{d}_{c}"))
+            .otherwise(F.coalesce(f"_{d}_{c}", f"_carry_{d}_{c}") if d == "forward" else F.col(f"_carry_{d}_{c}"))
             .alias(f"_carry_{d}_{c}")
             for d in directions
             for c in columns
@@ -277,6 +285,8 @@ def regularise_and_fill(
     rows themselves and the axis join is computed once.
     """
     on = [*series.keys, series.time]
+    # The join below implies this filter; stated here, both uses of the table share one shuffle.
+    df = df.filter(reduce(and_, [F.col(c).isNotNull() for c in on]))
     whole = time_axis(df, series).join(df, on, "left")
     return fill_nulls(whole, series, columns, directions, default, observed=df).select(*df.columns)
 

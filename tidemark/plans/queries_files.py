@@ -199,7 +199,7 @@ def _(t: Tables) -> DataFrame:
 
 
 STORES_SQL = """a AS (SELECT zone, date_trunc('day', datetime)::TIMESTAMP AS chunk, count(*) AS bytes FROM readings WHERE k < 80 GROUP BY 1, 2),
-b AS (SELECT zone, date_trunc('day', datetime)::TIMESTAMP AS chunk, count(*) AS bytes FROM readings WHERE k >= 10 GROUP BY 1, 2),
+b AS (SELECT zone, date_trunc('day', datetime)::TIMESTAMP AS chunk, count(*) AS bytes FROM readings WHERE zone <> 'view' GROUP BY 1, 2),
 done AS (SELECT a.zone, a.chunk FROM a JOIN b USING (zone, chunk) WHERE a.bytes >= 10 AND b.bytes >= 10)"""
 
 
@@ -208,7 +208,7 @@ def stores(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     day = F.date_trunc("day", "datetime").alias("chunk")
     size = F.count(F.lit(1)).alias("bytes")
     primary = t.readings.filter(F.col("k") < 80).groupBy("zone", day).agg(size)
-    mirror = t.readings.filter(F.col("k") >= 10).groupBy("zone", day).agg(size)
+    mirror = t.readings.filter(F.col("zone") != "view").groupBy("zone", day).agg(size)
     return t.readings.select("zone", day).distinct(), primary, mirror
 
 
