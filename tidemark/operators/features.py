@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar, scalars
-from tidemark.operators.series import Series, bounded_window, fill_nulls
+from tidemark.operators.rolling import add_lags, add_rolling
+from tidemark.operators.series import Series, bounded_window, fill_nulls, in_chunks
 
 TARGET = "carbon_intensity_gco2_per_kwh"
 LOAD = "total_load_mw"
@@ -58,31 +59,21 @@ SERVE = Profile(
 )
 PROFILES = {p.name: p for p in (TRAIN, SERVE)}
 
-STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
 
+def lag_name(column: str, n: int) -> str:
+    return f"{column}_lag_{n}h"
 
-def lag_columns(w: WindowSpec, columns: Sequence[str], lags: Sequence[int], name=lambda c, n: f"{c}_lag_{n}h") -> dict[str, Column]:
-    return {name(c, n): F.lag(c, n).over(w) for c in columns for n in lags}
 
-
-def rolling_columns(
-    w: WindowSpec,
-    rolling: Mapping[str, Mapping[int, Sequence[str]]],
-    name=lambda c, stat, n: f"{c}_{stat}_{n}h",
-) -> dict[str, Column]:
-    """Statistics over the current and the ``n - 1`` rows before it."""
-    return {
-        name(c, stat, n): STATISTICS[stat](c).over(w.rowsBetween(-(n - 1), Window.currentRow))
-        for c, windows in rolling.items()
-        for n, stats in windows.items()
-        for stat in stats
-    }
+def rolling_name(column: str, stat: str, n: int) -> str:
+    return f"{column}_{stat}_{n}h"
 
 
-def full_window_std(w: WindowSpec, column: str, rows: int) -> Column:
+def full_window_std(df: DataFrame, w: WindowSpec, column: str, rows: int, name: str) -> DataFrame:
     """Rolling standard deviation that needs all ``rows`` values, else 0."""
-    frame = w.rowsBetween(-(rows - 1), Window.currentRow)
-    return F.when(F.count(column).over(frame) == rows, F.stddev_samp(column).over(frame)).otherwise(0.0)
+    parts = {s: f"_{s}_{column}" for s in ("std", "count")}
+    rolled = add_rolling(df, w, {column: {rows: tuple(parts)}}, lambda c, s, n: parts[s])
+    full = F.when(F.col(parts["count"]) == rows, F.col(parts["std"])).otherwise(0.0)
+    return rolled.withColumn(name, full).drop(*parts.values())
 
 
 def change_column(w: WindowSpec, column: str) -> Column:
@@ -94,8 +85,13 @@ def lead_columns(w: WindowSpec, column: str, horizons: Sequence[int], name=lambd
     return {name(h): F.lead(column, h).over(w) for h in horizons}
 
 
-def add_lags(df: DataFrame, series: Series, columns: Sequence[str], lags: Sequence[int]) -> DataFrame:
-    return bounded_window(df, series, max(lags), 0, lambda w: lag_columns(w, columns, lags))
+def add_lag_features(df: DataFrame, series: Series, columns: Sequence[str], lags: Sequence[int]) -> DataFrame:
+    return in_chunks(df, series, max(lags), 0, lambda rows, w: add_lags(rows, w, columns, lags, lag_name))
+
+
+def add_rolling_features(df: DataFrame, series: Series, rolling: Mapping[str, Mapping[int, Sequence[str]]]) -> DataFrame:
+    reach = max(n for windows in rolling.values() for n in windows) - 1
+    return in_chunks(df, series, reach, 0, lambda rows, w: add_rolling(rows, w, rolling, rolling_name))
 
 
 def add_targets(df: DataFrame, series: Series, column: str = TARGET, horizons: Sequence[int] = (1, 6, 12, 24)) -> DataFrame:
@@ -130,22 +126,32 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() in kinds]
 
 
-def _filled_lag(w: WindowSpec, column: str, n: int, look_ahead: bool) -> Column:
-    """Lag whose missing first ``n`` rows take the first lag there is: the key's first value.
+def _fill_ahead(rows: DataFrame, w: WindowSpec, spec: Profile) -> DataFrame:
+    """Backward fill of features that lack history, for complete raw columns.
 
-    Keys with no more than ``n`` rows have no lag at all and get null.
+    The first lag a key has is its first value, so rows without a lag take the key's first
+    value when the key is longer than the lag. A deviation of one row takes the next row's.
     """
-    lag = F.lag(column, n).over(w)
-    if not look_ahead:
-        return lag
-    long_enough = F.count(F.lit(1)).over(w.rowsBetween(-n, n)) > n
-    return F.coalesce(lag, F.when(long_enough, F.first(column).over(w.rowsBetween(-n, Window.currentRow))))
-
-
-def _filled_std(w: WindowSpec, column: str, n: int, look_ahead: bool) -> Column:
-    """Rolling deviation; the key's first row takes its second row's."""
-    std = F.stddev_samp(column).over(w.rowsBetween(-(n - 1), Window.currentRow))
-    return F.coalesce(std, F.stddev_samp(column).over(w.rowsBetween(Window.currentRow, 1))) if look_ahead else std
+    stds = [spec.rolling_name(c, "std", n) for c, windows in spec.rolling.items() for n, s in windows.items() if "std" in s]
+    helpers = {
+        "_row": F.row_number().over(w),
+        "_first": F.first(F.struct(*spec.lag_columns)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_rows": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "_next": F.lead(F.struct(*stds, "carbon_change_1h")).over(w),
+    }
+    rows = rows.withColumns(helpers)
+    filled = {}
+    for c in spec.lag_columns:
+        for n in spec.lags:
+            lag = F.col(spec.lag_name(c, n))
+            # Without a lag the chunk begins at the key's first row.
+            starts = (F.col("_row") <= n) & (F.col("_rows") > n)
+            filled[spec.lag_name(c, n)] = F.when(starts, F.coalesce(lag, F.col("_first")[c])).otherwise(lag)
+    for s in stds:
+        filled[s] = F.coalesce(F.col(s), F.col("_next")[s])
+    if spec.name == "serve":
+        filled["carbon_change_1h"] = F.coalesce(F.col("carbon_change_1h"), F.col("_next")["carbon_change_1h"])
+    return rows.withColumns(filled).drop(*helpers)
 
 
 def build_features(
@@ -175,27 +181,36 @@ def build_features(
     spec = PROFILES[profile]
     ahead = fill == "parity"
 
-    def build(w: WindowSpec) -> dict[str, Column]:
-        built = {spec.lag_name(c, n): _filled_lag(w, c, n, ahead) for c in spec.lag_columns for n in spec.lags}
-        built.update(rolling_columns(w, spec.rolling, spec.rolling_name))
-        for c, windows in spec.rolling.items():
+    window_columns = list(spec.lag_columns)
+
+    def windowed(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = add_lags(rows, w, window_columns, spec.lags, spec.lag_name)
+        extra = {LOAD: {spec.variability_rows: ("count",)}} if profile == "train" else {}
+        rolling = {c: dict(windows) for c, windows in spec.rolling.items()}
+        for c, windows in extra.items():
             for n, stats in windows.items():
-                if "std" in stats:
-                    built[spec.rolling_name(c, "std", n)] = _filled_std(w, c, n, ahead)
+                rolling.setdefault(c, {})[n] = (*rolling.get(c, {}).get(n, ()), *stats)
+        rows = add_rolling(rows, w, rolling, spec.rolling_name)
+        one = F.lag(TARGET, 1).over(w)
         if profile == "train":
-            built["carbon_change_1h"] = change_column(w, TARGET)
-            built["load_variability"] = full_window_std(w, LOAD, spec.variability_rows)
-        elif ahead:
-            change = F.col(TARGET) - F.lag(TARGET, 1).over(w)
-            built["carbon_change_1h"] = F.coalesce(change, F.lead(TARGET, 1).over(w) - F.col(TARGET))
-        return built
+            held = spec.rolling_name(LOAD, "count", spec.variability_rows)
+            std = F.col(spec.rolling_name(LOAD, "std", spec.variability_rows))
+            rows = rows.withColumns(
+                {
+                    "carbon_change_1h": F.coalesce(F.col(TARGET) - one, F.lit(0.0)),
+                    "load_variability": F.when(F.col(held) == spec.variability_rows, std).otherwise(0.0),
+                }
+            ).drop(held)
+        else:
+            rows = rows.withColumn("carbon_change_1h", F.col(TARGET) - one)
+        return _fill_ahead(rows, w, spec) if ahead else rows
 
     forward = spec.reach if ahead else 0
     sized = replace(series, chunk_steps=max(series.chunk_steps, 4 * (spec.reach + forward)))
-    windowed = bounded_window(df, sized, spec.reach, forward, build, keep_chunk=fill == "general")
-    interactions = {k: v for k, v in interaction_columns(windowed.columns, profile).items() if k not in windowed.columns}
-    # One projection for calendar columns, one for what is built on them.
-    features = add_calendar(windowed, profile, series.time).withColumns(interactions)
+    windowed_rows = in_chunks(df, sized, spec.reach, forward, windowed, keep_chunk=fill == "general")
+    present = windowed_rows.columns
+    interactions = {k: v for k, v in interaction_columns(present, profile).items() if k not in present}
+    features = add_calendar(windowed_rows, profile, series.time).withColumns(interactions)
     if fill == "none":
         return features
     complete = set(calendar.temporal_columns(F.lit(None), profile)) | set(calendar.cyclic_columns(F.lit(None), profile))

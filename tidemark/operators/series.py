@@ -75,24 +75,23 @@ def with_chunk(df: DataFrame, series: Series) -> DataFrame:
     return df.withColumn(CHUNK, floor_div(series.index_column(), series.chunk_steps))
 
 
-def bounded_window(
+def in_chunks(
     df: DataFrame,
     series: Series,
     back: int,
     forward: int,
-    build: Callable[[WindowSpec], dict[str, Column]],
+    transform: Callable[[DataFrame, WindowSpec], DataFrame],
     keep_chunk: bool = False,
 ) -> DataFrame:
-    """Evaluate window columns whose frames reach at most ``back`` rows before and
-    ``forward`` rows after the current row.
+    """Apply ``transform`` to chunks that carry a halo of ``back`` rows before and
+    ``forward`` rows after their own.
 
-    ``build`` gets the window to use and returns the new columns by name. All of them
-    share one shuffle and one sort. The series must be gap-free in its index.
+    ``transform`` gets the rows and the window to use. It adds columns with any number of
+    window steps, whose reach together must stay inside the halo. All steps share one
+    shuffle and one sort. The series must be gap-free in its index.
     """
     if series.short_keys:
-        built = build(series.chunk_window())
-        replaced = [c for c in df.columns if c not in built]
-        return df.select(*replaced, *[c.alias(n) for n, c in built.items()])
+        return transform(df, series.chunk_window())
     reach = back + forward
     size = max(series.chunk_steps, 4 * reach)
     index = F.col(INDEX)
@@ -103,12 +102,24 @@ def bounded_window(
         )
     else:
         copies = copies.withColumn(CHUNK, floor_div(index, size))
-    built = build(series.chunk_window())
-    computed = copies.select(*df.columns, INDEX, CHUNK, *[c.alias(n) for n, c in built.items()])
+    computed = transform(copies, series.chunk_window())
     kept = computed.filter(F.col(CHUNK) == floor_div(index, size))
-    replaced = [c for c in df.columns if c not in built]
-    tail = [CHUNK] if keep_chunk else []
-    return kept.select(*replaced, *built, *tail)
+    return kept.drop(INDEX) if keep_chunk else kept.drop(INDEX, CHUNK)
+
+
+def bounded_window(
+    df: DataFrame,
+    series: Series,
+    back: int,
+    forward: int,
+    build: Callable[[WindowSpec], dict[str, Column]],
+) -> DataFrame:
+    """Evaluate window columns whose frames reach at most ``back`` rows before and
+    ``forward`` rows after the current row.
+
+    ``build`` gets the window to use and returns the new columns by name.
+    """
+    return in_chunks(df, series, back, forward, lambda rows, w: rows.withColumns(build(w)))
 
 
 def fill_nulls(

@@ -138,7 +138,7 @@ LAGS = (1, 3, 6, 24, 168)
     ctes="merged",
 )
 def _(t: Tables) -> DataFrame:
-    lagged = features.add_lags(t.merged, HOURLY, [CI, LOAD, TEMP, WIND], LAGS)
+    lagged = features.add_lag_features(t.merged, HOURLY, [CI, LOAD, TEMP, WIND], LAGS)
     return lagged.drop(*GRID_VALUES, *WEATHER_VALUES)
 
 
@@ -176,7 +176,7 @@ def _rolling_sql(column: str, stat: str, n: int) -> str:
     ctes="merged",
 )
 def _(t: Tables) -> DataFrame:
-    rolled = series.bounded_window(t.merged, HOURLY, 23, 0, lambda w: features.rolling_columns(w, features.TRAIN.rolling))
+    rolled = features.add_rolling_features(t.merged, HOURLY, features.TRAIN.rolling)
     return rolled.drop(*GRID_VALUES, *WEATHER_VALUES)
 
 
@@ -189,8 +189,8 @@ FROM grid WINDOW w AS ({ROWS} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
     ctes="grid",
 )
 def _(t: Tables) -> DataFrame:
-    return series.bounded_window(
-        t.grid, HOURLY, 23, 0, lambda w: {"load_variability": features.full_window_std(w, LOAD, 24)}
+    return series.in_chunks(
+        t.grid, HOURLY, 23, 0, lambda rows, w: features.full_window_std(rows, w, LOAD, 24, "load_variability")
     ).select("zone", "datetime", "load_variability")
 
 

@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # HotSpot does not compile methods above this size; wide feature rows would then run
+    # interpreted. Spark splits them when told the limit.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
