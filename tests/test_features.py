@@ -65,7 +65,7 @@ def test_chunks_equal_plain_windows(spark):
         "zone",
         "datetime",
         *[
-            rolling.STATISTICS[s](features.TARGET).over(w.rowsBetween(-(n - 1), 0)).alias(features.rolling_name(features.TARGET, s, n))
+            F.expr(f"{rolling.STATISTICS[s]}({features.TARGET})").over(w.rowsBetween(-(n - 1), 0)).alias(features.rolling_name(features.TARGET, s, n))
             for n, stats in rolled[features.TARGET].items()
             for s in stats
         ],

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar, scalars
-from tidemark.operators.rolling import add_lags, add_rolling
+from tidemark.operators.rolling import add_columns, add_lags, add_rolling
 from tidemark.operators.series import Series, bounded_window, fill_nulls, in_chunks
 
 TARGET = "carbon_intensity_gco2_per_kwh"
@@ -68,10 +68,10 @@ def rolling_name(column: str, stat: str, n: int) -> str:
     return f"{column}_{stat}_{n}h"
 
 
-def full_window_std(df: DataFrame, w: WindowSpec, column: str, rows: int, name: str) -> DataFrame:
+def full_window_std(df: DataFrame, over: str, column: str, rows: int, name: str) -> DataFrame:
     """Rolling standard deviation that needs all ``rows`` values, else 0."""
     parts = {s: f"_{s}_{column}" for s in ("std", "count")}
-    rolled = add_rolling(df, w, {column: {rows: tuple(parts)}}, lambda c, s, n: parts[s])
+    rolled = add_rolling(df, over, {column: {rows: tuple(parts)}}, lambda c, s, n: parts[s])
     full = F.when(F.col(parts["count"]) == rows, F.col(parts["std"])).otherwise(0.0)
     return rolled.withColumn(name, full).drop(*parts.values())
 
@@ -86,12 +86,12 @@ def lead_columns(w: WindowSpec, column: str, horizons: Sequence[int], name=lambd
 
 
 def add_lag_features(df: DataFrame, series: Series, columns: Sequence[str], lags: Sequence[int]) -> DataFrame:
-    return in_chunks(df, series, max(lags), 0, lambda rows, w: add_lags(rows, w, columns, lags, lag_name))
+    return in_chunks(df, series, max(lags), 0, lambda rows, w: add_lags(rows, series.over(), columns, lags, lag_name))
 
 
 def add_rolling_features(df: DataFrame, series: Series, rolling: Mapping[str, Mapping[int, Sequence[str]]]) -> DataFrame:
     reach = max(n for windows in rolling.values() for n in windows) - 1
-    return in_chunks(df, series, reach, 0, lambda rows, w: add_rolling(rows, w, rolling, rolling_name))
+    return in_chunks(df, series, reach, 0, lambda rows, w: add_rolling(rows, series.over(), rolling, rolling_name))
 
 
 def add_targets(df: DataFrame, series: Series, column: str = TARGET, horizons: Sequence[int] = (1, 6, 12, 24)) -> DataFrame:
@@ -126,32 +126,29 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if f.dataType.typeName() in kinds]
 
 
-def _fill_ahead(rows: DataFrame, w: WindowSpec, spec: Profile) -> DataFrame:
+def _fill_ahead(rows: DataFrame, over: str, spec: Profile) -> DataFrame:
     """Backward fill of features that lack history, for complete raw columns.
 
     The first lag a key has is its first value, so rows without a lag take the key's first
     value when the key is longer than the lag. A deviation of one row takes the next row's.
     """
     stds = [spec.rolling_name(c, "std", n) for c, windows in spec.rolling.items() for n, s in windows.items() if "std" in s]
+    next_row = [*stds, *(["carbon_change_1h"] if spec.name == "serve" else [])]
+    first = {c: f"_first_{c}" for c in spec.lag_columns}
+    following = {c: f"_next_{c}" for c in next_row}
     helpers = {
-        "_row": F.row_number().over(w),
-        "_first": F.first(F.struct(*spec.lag_columns)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_rows": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        "_next": F.lead(F.struct(*stds, "carbon_change_1h")).over(w),
+        "_row": f"row_number() OVER ({over})",
+        "_rows": f"count(1) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+        **{f: f"first(`{c}`) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for c, f in first.items()},
+        **{f: f"lead(`{c}`) OVER ({over})" for c, f in following.items()},
     }
-    rows = rows.withColumns(helpers)
-    filled = {}
+    filled = {c: f"coalesce(`{c}`, `{f}`)" for c, f in following.items()}
     for c in spec.lag_columns:
         for n in spec.lags:
-            lag = F.col(spec.lag_name(c, n))
+            lag = spec.lag_name(c, n)
             # Without a lag the chunk begins at the key's first row.
-            starts = (F.col("_row") <= n) & (F.col("_rows") > n)
-            filled[spec.lag_name(c, n)] = F.when(starts, F.coalesce(lag, F.col("_first")[c])).otherwise(lag)
-    for s in stds:
-        filled[s] = F.coalesce(F.col(s), F.col("_next")[s])
-    if spec.name == "serve":
-        filled["carbon_change_1h"] = F.coalesce(F.col("carbon_change_1h"), F.col("_next")["carbon_change_1h"])
-    return rows.withColumns(filled).drop(*helpers)
+            filled[lag] = f"CASE WHEN _row <= {n} AND _rows > {n} THEN coalesce(`{lag}`, `{first[c]}`) ELSE `{lag}` END"
+    return add_columns(add_columns(rows, helpers), filled).drop(*helpers)
 
 
 def build_features(
@@ -181,16 +178,14 @@ def build_features(
     spec = PROFILES[profile]
     ahead = fill == "parity"
 
-    window_columns = list(spec.lag_columns)
-
     def windowed(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        rows = add_lags(rows, w, window_columns, spec.lags, spec.lag_name)
+        rows = add_lags(rows, series.over(), spec.lag_columns, spec.lags, spec.lag_name)
         extra = {LOAD: {spec.variability_rows: ("count",)}} if profile == "train" else {}
         rolling = {c: dict(windows) for c, windows in spec.rolling.items()}
         for c, windows in extra.items():
             for n, stats in windows.items():
                 rolling.setdefault(c, {})[n] = (*rolling.get(c, {}).get(n, ()), *stats)
-        rows = add_rolling(rows, w, rolling, spec.rolling_name)
+        rows = add_rolling(rows, series.over(), rolling, spec.rolling_name)
         one = F.lag(TARGET, 1).over(w)
         if profile == "train":
             held = spec.rolling_name(LOAD, "count", spec.variability_rows)
@@ -203,7 +198,7 @@ def build_features(
             ).drop(held)
         else:
             rows = rows.withColumn("carbon_change_1h", F.col(TARGET) - one)
-        return _fill_ahead(rows, w, spec) if ahead else rows
+        return _fill_ahead(rows, series.over(), spec) if ahead else rows
 
     forward = spec.reach if ahead else 0
     sized = replace(series, chunk_steps=max(series.chunk_steps, 4 * (spec.reach + forward)))

@@ -5,57 +5,55 @@ aggregate. Here the statistics of a frame are merged from those of shorter frame
 number of rows back: 24 rows are two blocks of 12, 12 are three blocks of 4, 4 are four
 single rows. Spark evaluates all lags of one distance together, so a step costs a few
 lags whatever the number of columns and statistics.
+
+The many columns are stated as SQL text: one call to the JVM per step instead of several
+per column. ``over`` is a window such as ``Series.over`` gives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count}
+STATISTICS = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "count": "count"}
 # Parts kept per block: rows, sum, sum of squares (both of centred values), smallest, largest.
 NEEDS = {"mean": "ns", "std": "nsqlh", "min": "l", "max": "h", "count": "n"}
 MAX_BLOCKS = 16
 
 
-def add_lags(df: DataFrame, w: WindowSpec, columns: Sequence[str], lags: Sequence[int], name: Callable[[str, int], str]) -> DataFrame:
+def add_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add or replace columns given as SQL text."""
+    kept = [f"`{c}`" for c in df.columns if c not in columns]
+    return df.selectExpr(*kept, *[f"{sql} AS `{name}`" for name, sql in columns.items()])
+
+
+def add_lags(df: DataFrame, over: str, columns: Sequence[str], lags: Sequence[int], name: Callable[[str, int], str]) -> DataFrame:
     """Earlier values of several columns."""
-    return df.withColumns({name(c, n): F.lag(c, n).over(w) for n in lags for c in columns})
+    return add_columns(df, {name(c, n): f"lag(`{c}`, {n}) OVER ({over})" for n in lags for c in columns})
 
 
-def _merge(part: str, values: list[Column]) -> Column:
-    if part == "l":
-        return F.least(*values)
-    if part == "h":
-        return F.greatest(*values)
-    zero = F.lit(0) if part == "n" else F.lit(0.0)
-    return reduce(add, [F.coalesce(v, zero) for v in values])
+def _merge(part: str, values: list[str]) -> str:
+    if part in "lh":
+        return f"{'least' if part == 'l' else 'greatest'}({', '.join(values)})"
+    return " + ".join(f"coalesce({v}, {'0' if part == 'n' else '0D'})" for v in values)
 
 
-def _single(part: str, value: Column, centre: Column) -> Column:
-    moved = F.coalesce(value - centre, F.lit(0.0))
-    return {
-        "n": value.isNotNull().cast("int"),
-        "s": moved,
-        "q": moved * moved,
-        "l": value,
-        "h": value,
-    }[part]
+def _single(part: str, value: str, centre: str) -> str:
+    value = f"CAST({value} AS DOUBLE)"
+    moved = f"coalesce({value} - {centre}, 0D)"
+    return {"n": f"CAST({value} IS NOT NULL AS INT)", "s": moved, "q": f"{moved} * {moved}", "l": value, "h": value}[part]
 
 
-def _read(stat: str, part: Callable[[str], Column], centre: Column) -> Column:
+def _read(stat: str, part: Callable[[str], str], centre: str) -> str:
     if stat in ("min", "max", "count"):
         return part(NEEDS[stat])
     n, s = part("n"), part("s")
     if stat == "mean":
-        return F.when(n > 0, centre + s / n)
+        return f"CASE WHEN {n} > 0 THEN {centre} + {s} / {n} END"
     # Equal values have no spread, whatever the sums round to.
-    spread = F.greatest(part("q") - s * s / n, F.lit(0.0))
-    return F.when(n > 1, F.when(part("l") == part("h"), 0.0).otherwise(F.sqrt(spread / (n - 1))))
+    spread = f"greatest({part('q')} - {s} * {s} / {n}, 0D)"
+    return f"CASE WHEN {n} > 1 THEN CASE WHEN {part('l')} = {part('h')} THEN 0D ELSE sqrt({spread} / ({n} - 1)) END END"
 
 
 def _base(rows: int, known: Sequence[int]) -> int | None:
@@ -66,7 +64,7 @@ def _base(rows: int, known: Sequence[int]) -> int | None:
 
 def add_rolling(
     df: DataFrame,
-    w: WindowSpec,
+    over: str,
     rolling: Mapping[str, Mapping[int, Sequence[str]]],
     name: Callable[[str, str, int], str],
 ) -> DataFrame:
@@ -82,30 +80,27 @@ def add_rolling(
         c: [p for p in "nsqlh" if any(p in NEEDS[s] for stats in windows.values() for s in stats)]
         for c, windows in rolling.items()
     }
+    pairs = [(c, p) for c in rolling for p in parts[c]]
 
     def cell(c: str, part: str, length: int, step: int = 0) -> str:
         return f"_{part}{ids[c]}_{length}" + (f"_{step}" if step else "")
 
     # Sums are taken around a value of the chunk, which keeps squares small.
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     centre = {c: f"_centre{i}" for c, i in ids.items()}
-    df = df.withColumns({centre[c]: F.first(F.col(c).cast("double"), True).over(running) for c in rolling})
-    df = df.withColumns(
-        {cell(c, p, 1): _single(p, F.col(c).cast("double"), F.col(centre[c])) for c in rolling for p in parts[c]}
-    )
+    running = f"OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    df = add_columns(df, {centre[c]: f"first(CAST(`{c}` AS DOUBLE), true) {running}" for c in rolling})
+    df = add_columns(df, {cell(c, p, 1): _single(p, f"`{c}`", centre[c]) for c, p in pairs})
     known = [1]
     for n in lengths:
         size = _base(n, known)
         if size is None or n == 1:
             continue
         steps = range(1, n // size)
-        pairs = [(c, p) for c in rolling for p in parts[c]]
-        df = df.withColumns({cell(c, p, size, i): F.lag(cell(c, p, size), i * size).over(w) for i in steps for c, p in pairs})
-        df = df.withColumns(
-            {
-                cell(c, p, n): _merge(p, [F.col(cell(c, p, size)), *[F.col(cell(c, p, size, i)) for i in steps]])
-                for c, p in pairs
-            }
+        df = add_columns(
+            df, {cell(c, p, size, i): f"lag({cell(c, p, size)}, {i * size}) OVER ({over})" for i in steps for c, p in pairs}
+        )
+        df = add_columns(
+            df, {cell(c, p, n): _merge(p, [cell(c, p, size), *[cell(c, p, size, i) for i in steps]]) for c, p in pairs}
         ).drop(*[cell(c, p, size, i) for i in steps for c, p in pairs])
         known.append(n)
     results = {}
@@ -113,8 +108,8 @@ def add_rolling(
         for n, stats in windows.items():
             for stat in stats:
                 if n in known:
-                    value = _read(stat, lambda p, c=c, n=n: F.col(cell(c, p, n)), F.col(centre[c]))
+                    value = _read(stat, lambda p, c=c, n=n: cell(c, p, n), centre[c])
                 else:  # lengths that do not divide well use Spark's own sliding frame
-                    value = STATISTICS[stat](c).over(w.rowsBetween(-(n - 1), Window.currentRow))
+                    value = f"{STATISTICS[stat]}(`{c}`) OVER ({over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
                 results[name(c, stat, n)] = value
-    return df.select(*[c for c in kept if c not in results], *[v.alias(k) for k, v in results.items()])
+    return df.selectExpr(*[f"`{c}`" for c in kept if c not in results], *[f"{v} AS `{k}`" for k, v in results.items()])

@@ -59,6 +59,11 @@ class Series:
         order = F.col(self.time).desc() if descending else F.col(self.time).asc()
         return Window.partitionBy(*self.keys, *([] if self.short_keys else [CHUNK])).orderBy(order)
 
+    def over(self) -> str:
+        """The ascending chunk window in SQL, for plans that state many columns as text."""
+        keys = ", ".join(f"`{k}`" for k in [*self.keys, *([] if self.short_keys else [CHUNK])])
+        return f"PARTITION BY {keys} ORDER BY `{self.time}`"
+
     def summary_window(self, descending: bool = False) -> WindowSpec:
         order = F.col(CHUNK).desc() if descending else F.col(CHUNK).asc()
         return Window.partitionBy(*self.keys).orderBy(order)

@@ -87,6 +87,17 @@ class Tables:
         """Regular and filled."""
         return regularise_and_fill(self.grid_observed, HOURLY, GRID_VALUES)
 
+    @cached_property
+    def user_series(self) -> DataFrame:
+        """One regular, filled series per user: many keys, most hours empty."""
+        hour = self.readings.groupBy(F.col("user_id").cast("string").alias("zone"), "datetime").agg(
+            F.sum("whole").cast("double").alias(GRID_VALUES[0]),
+            F.count(F.lit(1)).cast("double").alias(GRID_VALUES[4]),
+            F.max("k").cast("double").alias(WEATHER_VALUES[0]),
+            F.min("k").cast("double").alias(WEATHER_VALUES[1]),
+        )
+        return regularise_and_fill(hour, HOURLY, [GRID_VALUES[0], GRID_VALUES[4], WEATHER_VALUES[0], WEATHER_VALUES[1]])
+
     @cached_property
     def weather(self) -> DataFrame:
         """Hourly weather of each zone, from order lines."""
@@ -239,6 +250,17 @@ FROM orders GROUP BY 1, 2""",
   CAST((o_custkey * 7) % 101 AS DOUBLE) AS cloud_cover_pct
 FROM orders""",
     ),
+    "user_hours": (
+        ("readings",),
+        """SELECT CAST(user_id AS VARCHAR) AS zone, datetime, CAST(sum(whole) AS DOUBLE) AS carbon_intensity_gco2_per_kwh,
+  CAST(count(*) AS DOUBLE) AS total_load_mw, CAST(max(k) AS DOUBLE) AS temperature_2m_c, CAST(min(k) AS DOUBLE) AS wind_speed_100m_ms
+FROM readings GROUP BY 1, 2""",
+    ),
+    "user_axis": (("user_hours",), _axis("user_hours")),
+    "user_series": (
+        ("user_axis",),
+        _filled((GRID_VALUES[0], GRID_VALUES[4], WEATHER_VALUES[0], WEATHER_VALUES[1]), "user_axis"),
+    ),
     "forecasts": (
         ("grid",),
         """SELECT zone, CAST(CAST(datetime AS DATE) AS VARCHAR) AS run, datetime,

@@ -190,7 +190,7 @@ FROM grid WINDOW w AS ({ROWS} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""",
 )
 def _(t: Tables) -> DataFrame:
     return series.in_chunks(
-        t.grid, HOURLY, 23, 0, lambda rows, w: features.full_window_std(rows, w, LOAD, 24, "load_variability")
+        t.grid, HOURLY, 23, 0, lambda rows, w: features.full_window_std(rows, HOURLY.over(), LOAD, 24, "load_variability")
     ).select("zone", "datetime", "load_variability")
 
 

@@ -729,6 +729,29 @@ def _(t: Tables) -> DataFrame:
     return features.build_features(t.merged).select("zone", "datetime", *FEATURE_COLUMNS, "solar_potential")
 
 
+USER_SUMS = [c for c in FEATURE_COLUMNS if "_std_" not in c and c != "load_variability"]
+
+
+def _user_feature_sql() -> str:
+    over = "OVER (PARTITION BY zone ORDER BY datetime"
+    names = {"mean": "avg", "min": "min", "max": "max"}
+    made = [f"coalesce(lag({c}, {n}) {over}), 0) AS {c}_lag_{n}h" for c in features.TRAIN.lag_columns for n in features.TRAIN.lags]
+    for c, windows in features.TRAIN.rolling.items():
+        for n, stats in windows.items():
+            made += [f"{names[s]}({c}) {over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS {c}_{s}_{n}h" for s in stats if s != "std"]
+    made.append(f"coalesce({CI} - lag({CI}) {over}), 0) AS carbon_change_1h")
+    sums = ", ".join(f"sum({c}) AS {c}" for c in USER_SUMS)
+    return f"SELECT zone, count(*) AS rows, {sums} FROM (SELECT zone, datetime, {', '.join(made)} FROM user_series) GROUP BY zone"
+
+
+@query("feature_sums_by_user", _user_feature_sql(), floats=" ".join(USER_SUMS), digits=4, ctes="user_series")
+def _(t: Tables) -> DataFrame:
+    """Window features of every user's series, added up per user."""
+    empty = {c: F.lit(0.0) for c in (CFE, REN, "cloud_cover_pct")}
+    built = features.build_features(t.user_series.withColumns(empty), fill="causal")
+    return built.groupBy("zone").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in USER_SUMS])
+
+
 @query(
     "entry_latest_green_windows",
     """WITH tail AS (SELECT zone, datetime, carbon_intensity_gco2_per_kwh AS predicted_carbon_intensity FROM grid
