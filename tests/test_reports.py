@@ -87,6 +87,18 @@ def test_noisy_oversample(spark):
     assert 0 < drift < 5 * 0.01 * np.std(range(20), ddof=1)
 
 
+def test_permutation_importance_finds_the_driver(spark):
+    from tidemark.operators import model
+
+    rng = random.Random(5)
+    rows = [(i, rng.random(), rng.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, x double, noise double").withColumn("y", F.col("x") * 100)
+    params = model.TreeParams(trees=3, depth=3, step=0.5, subsample=1.0, columns=1.0)
+    fitted = model.fit_horizon(df, None, ["x", "noise"], "y", params)
+    got = {r["feature"]: r["mae_increase"] for r in model.permutation_importance(fitted, df, ["x", "noise"], "y", ["id"]).collect()}
+    assert got["x"] > 10 and abs(got["noise"]) < 2
+
+
 def weather(spark, zones=("A",), **change):
     rows = [(START + dt.timedelta(hours=i), z, 15.0, 50) for z in zones for i in range(10)]
     df = spark.createDataFrame(rows, "datetime timestamp, zone string, temperature_2m_c double, cloud_cover_pct int")

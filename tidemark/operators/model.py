@@ -11,11 +11,12 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators.metrics import scores, with_errors
+from tidemark.operators.resample import with_class_index
 
 FEATURES = "_features"
 
@@ -167,20 +168,18 @@ def sensitivity(df: DataFrame, features: Sequence[str], label: str, base: TreePa
     return df.sparkSession.createDataFrame(rows, "parameter string, value double, mae double")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, key: Sequence[str], seed: int = 42) -> DataFrame:
+def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, key: Sequence[str]) -> DataFrame:
     """How much the error grows when one feature's values are dealt to other rows.
 
-    The permutation pairs each row with the next one in hashed order inside hashed
-    blocks, so no task sorts the whole table.
+    Rows get a dense index in hashed order without one task seeing them all, and each row
+    is paired with the next one by a join on the index.
     """
-    clean = df.dropna(subset=[label, *features]).withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(4096)))
-    inside = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), *key))
-    first = Window.partitionBy("_block").orderBy(F.xxhash64(F.lit(seed + 1), *key)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    dealt = clean.select(
-        "*", *[F.coalesce(F.lead(f).over(inside), F.first(f).over(first)).alias(f"_s_{f}") for f in features]
+    clean = df.dropna(subset=[label, *features]).withColumn("_all", F.lit(0))
+    indexed = with_class_index(clean, "_all", key)
+    dealer = indexed.select(
+        F.pmod(F.col("_at") + 1, F.col("_size")).alias("_at"), *[F.col(f).alias(f"_s_{f}") for f in features]
     )
+    dealt = indexed.join(dealer, "_at")
     # One scan: each row once as it is (no name) and once per permuted feature.
     repeated = dealt.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in ["", *features]])))
     table = repeated.select(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS = 65_536
 DRAW_BLOCK = 10_000
 
 
@@ -19,7 +19,8 @@ def with_class_index(df: DataFrame, label: str, key: Sequence[str], buckets: int
     """Dense index 0..n-1 of each row within its class, and the class size.
 
     Rows are numbered inside hash buckets of ``key`` and shifted by the bucket offset,
-    so a class of any size is spread over all buckets. ``key`` must identify a row.
+    so a class of any size is spread over all buckets; a bucket is one task's sort. ``key``
+    must identify a row.
     """
     base = df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
     sizes = base.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -90,11 +90,14 @@ def gate_batches(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         ok = F.coalesce(valid, F.lit(False))
+        # Both writes read the batch; keep it for the length of this call.
+        batch = batch.persist()
         batch.filter(ok).write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
         bad = batch.filter(~ok)
         bad.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
         if on_issues:
             on_issues(bad)
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
