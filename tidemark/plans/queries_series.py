@@ -86,11 +86,13 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "j3_unmatched",
-    "SELECT w.zone, w.datetime FROM weather w ANTI JOIN observed o ON w.zone = o.zone AND w.datetime = o.datetime",
+    f"""SELECT w.zone, w.datetime FROM weather w
+ANTI JOIN (SELECT * FROM observed WHERE {CI} >= 100) o ON w.zone = o.zone AND w.datetime = o.datetime""",
     ctes="observed weather",
 )
 def _(t: Tables) -> DataFrame:
-    return clean.unmatched(t.weather.select("zone", "datetime"), t.grid_observed)
+    """Weather hours without a grid hour above the lowest level."""
+    return clean.unmatched(t.weather.select("zone", "datetime"), t.grid_observed.filter(F.col(CI) >= 100))
 
 
 SPLIT_SQL = """CASE WHEN datetime <= TIMESTAMP '1999-06-30 23:00:00' THEN 'train'
