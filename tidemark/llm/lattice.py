@@ -4,10 +4,11 @@ A document is a sequence of tokens, its words and one end. A token is generated
 a lattice, and the paths are summed:
 
 * whole-token edge: the token as counted in the training documents;
-* piece edges: every segmentation of the word into pieces of an existing vocabulary. Its scores are
-  merge ranks; a piece weighs 1 / (rank + 10), normalised among word beginnings and among
-  continuations, and after every piece the word ends with a fixed probability. Characters without
-  a piece fall back to bytes. A forward recursion in log space sums all segmentations of a word;
+* piece edges: every segmentation of the word into pieces of an existing vocabulary. Its scores,
+  merge ranks, are the prior; the weights follow from the best segmentations of all distinct training
+  words under that prior, normalised among word beginnings and among continuations, and after every
+  piece the word ends with a fixed probability. Characters without a piece fall back to
+  bytes. A forward recursion in log space sums all segmentations of a word;
 * copy edge: an earlier token of the same document, by its share of them.
 
 With N training tokens, V distinct ones and L the lattice probability of a word, a word of count c
@@ -37,13 +38,14 @@ from tidemark.llm.common import remainder, stored
 MARK = "▁"
 STOP = 1 / 3
 BYTE_MASS = 1e-3
+PRIOR = 50.0
 LONGEST = 16
 HEAD = 200_000
 COPY = 0.2
 END_MASS = 0.01
 FLUSH = 200_000
 
-COUNTS = "word string, n long, training long"
+COUNTS = "word string, training long"
 SCORED = (
     "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
     "rare array<struct<word: string, copies: array<double>>>"
@@ -64,47 +66,53 @@ SCORED_SCHEMA = pa.schema(
 
 
 class Pieces:
-    """Natural-log weights of the pieces of a vocabulary, at word beginnings and inside words."""
-
-    def __init__(self, model_file: str):
-        import sentencepiece
-
-        library = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        first, inner = {}, {}
-        for i in range(library.get_piece_size()):
-            piece = library.id_to_piece(i)
-            if library.is_byte(i) or library.is_control(i) or library.is_unknown(i):
-                continue
-            weight = 1 / (10 + min(max(-library.get_score(i), 0.0), 1e5))
-            if piece[0] != MARK:
-                inner[piece] = weight
-            elif MARK not in piece[1:]:
-                first[piece[1:]] = weight
+    """Natural-log weights of vocabulary pieces, at word beginnings and inside words.
+
+    ``first`` has the pieces that follow the mark, the empty one for the mark alone; ``inner`` all
+    others. A word goes on after a piece or ends, by ``more`` and ``stop``.
+    """
+
+    def __init__(self, first: dict[str, float], inner: dict[str, float], stop: float):
         self.first, self.inner = _logs(first, 1.0), _logs(inner, 1 - BYTE_MASS)
+        self.more, self.stop = math.log1p(-stop), math.log(stop)
         self.byte = math.log(BYTE_MASS / 256)
 
     def word_log(self, word: str) -> float:
         """Natural log of the summed probability of all segmentations of a word."""
-        first, inner, n = self.first, self.inner, len(word)
-        more, stop = math.log1p(-STOP), math.log(STOP)
+        first, inner, more = self.first.get, self.inner.get, self.more
         # reach[j]: log probability of all piece sequences that spell word[:j] (the mark included).
-        reach = [first[""]]
-        for j in range(1, n + 1):
+        reach = [self.first[""]]
+        for j in range(1, len(word) + 1):
             terms = []
             for i in range(max(0, j - LONGEST), j):
-                piece = word[i:j]
-                p = inner.get(piece)
+                p = inner(word[i:j])
                 if p is not None:
                     terms.append(reach[i] + more + p)
-                if i == 0:
-                    p = first.get(piece)
-                    if p is not None:
-                        terms.append(p)
-            if word[j - 1] not in inner:
+            p = first(word[:j]) if j <= LONGEST else None
+            if p is not None:
+                terms.append(p)
+            if word[j - 1] not in self.inner:
                 terms.append(reach[j - 1] + (more + self.byte) * len(word[j - 1].encode("utf-8", "replace")))
             top = max(terms)
-            reach.append(top if len(terms) == 1 else top + math.log(sum(math.exp(t - top) for t in terms)))
-        return reach[n] + stop
+            reach.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
+        return reach[-1] + self.stop
+
+    def adapted(self, counts: dict[str, int], words: int) -> Pieces:
+        """Weights from the pieces (with their mark) of the best segmentations of ``words`` words."""
+        if not words:
+            return self
+        first = {k: PRIOR * math.exp(v) + counts.get(MARK + k, 0) for k, v in self.first.items()}
+        inner = {k: PRIOR * math.exp(v) + counts.get(k, 0) for k, v in self.inner.items()}
+        going_on = sum(counts.get(k, 0) for k in self.inner)
+        return Pieces(first, inner, (words + 1) / (words + going_on + 3))
+
+    def segmenter(self):
+        """The library's best-segmentation search over these weights, for words behind a mark."""
+        from tokenizers import Tokenizer
+        from tokenizers.models import Unigram
+
+        weights = {MARK + k: v for k, v in self.first.items()} | {k: v + self.more for k, v in self.inner.items()}
+        return Tokenizer(Unigram([("<unk>", -100.0), *weights.items()], 0, False)), ["", *weights]
 
 
 def _logs(weights: dict[str, float], mass: float) -> dict[str, float]:
@@ -113,8 +121,50 @@ def _logs(weights: dict[str, float], mass: float) -> dict[str, float]:
 
 
 @lru_cache(maxsize=2)
-def _pieces(model_file: str) -> Pieces:
-    return Pieces(model_file)
+def vocabulary(model_file: str) -> Pieces:
+    """Pieces by their existing scores, merge ranks: a piece weighs 1 / (rank + 10)."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    first, inner = {}, {}
+    for i in range(library.get_piece_size()):
+        piece = library.id_to_piece(i)
+        if library.is_byte(i) or library.is_control(i) or library.is_unknown(i):
+            continue
+        weight = 1 / (10 + min(max(-library.get_score(i), 0.0), 1e5))
+        if piece[0] != MARK:
+            inner[piece] = weight
+        elif MARK not in piece[1:]:
+            first[piece[1:]] = weight
+    return Pieces(first, inner, STOP)
+
+
+def _best_pieces(model_file: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces in the best segmentations of a partition's words; one row per piece seen."""
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        library, names = vocabulary(model_file).segmenter()
+        counts = np.zeros(len(names), np.int64)
+        for batch in batches:
+            found = library.encode_batch_fast([MARK + w for w in batch.column(0).to_pylist()], add_special_tokens=False)
+            ids = np.array([i for e in found for i in e.ids], np.int64)
+            counts += np.bincount(ids, minlength=len(names))
+        seen = np.flatnonzero(counts[1:]) + 1
+        yield pa.record_batch({"piece": pa.array([names[i] for i in seen], pa.string()), "n": pa.array(counts[seen])})
+
+    return run
+
+
+def adapted_pieces(words: DataFrame, model_file: str) -> Pieces:
+    """The vocabulary's weights after one look at all training words, each counted once.
+
+    At most one row per vocabulary piece comes to the driver.
+    """
+    training = words.where("c > 0").select("word")
+    counts = training.mapInArrow(_best_pieces(model_file), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    return vocabulary(model_file).adapted({r["piece"]: r["n"] for r in counts}, training.count())
 
 
 @dataclass(frozen=True)
@@ -144,33 +194,29 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a partition with their counts in all and in training documents."""
-    counts: dict[bytes, int] = {}
+    """Words of a partition with their counts in training documents, 0 for words of the others."""
+    other: dict[bytes, int] = {}
     training: dict[bytes, int] = {}
 
     def flush() -> pa.RecordBatch:
-        words = list(counts)
-        for w in training:
-            if w not in counts:
-                words.append(w)
+        words = [*training, *(w for w in other if w not in training)]
         batch = pa.record_batch(
             {
                 "word": pa.array(words, pa.binary()).cast(pa.string()),
-                "n": pa.array([counts.get(w, 0) + training.get(w, 0) for w in words], pa.int64()),
                 "training": pa.array([training.get(w, 0) for w in words], pa.int64()),
             }
         )
-        counts.clear()
+        other.clear()
         training.clear()
         return batch
 
     for batch in batches:
         for text, learns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            into = training if learns else counts
+            into = training if learns else other
             get = into.get
             for w in words_of(text):
                 into[w] = get(w, 0) + 1
-            if len(counts) + len(training) > FLUSH:
+            if len(other) + len(training) > FLUSH:
                 yield flush()
     yield flush()
 
@@ -178,14 +224,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_table(docs: DataFrame, model_file: str) -> DataFrame:
     """word, c (training count), lattice (its probability over all segmentations), for all words."""
     counted = docs.select("text", "learns").mapInArrow(_count, COUNTS)
-    totals = counted.groupBy("word").agg(F.sum("training").alias("c"))
+    words = stored(counted.groupBy("word").agg(F.sum("training").alias("c")), "counts")
+    shared = docs.sparkSession.sparkContext.broadcast(adapted_pieces(words, model_file))
 
     @F.pandas_udf("double")
     def lattice(column: pd.Series) -> pd.Series:
-        pieces = _pieces(model_file)
-        return pd.Series([math.exp(max(pieces.word_log(w), -700.0)) for w in column], dtype="float64")
+        word_log = shared.value.word_log
+        return pd.Series([math.exp(max(word_log(w), -700.0)) for w in column], dtype="float64")
 
-    return totals.select("word", "c", (lattice("word") * (1 - END_MASS)).alias("lattice"))
+    return words.select("word", "c", (lattice("word") * (1 - END_MASS)).alias("lattice"))
 
 
 def document_terms(words: list[bytes], known: dict[bytes, tuple[float, float]], totals: Totals, copy: float):
