@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import buckets_for, stored
@@ -42,6 +42,10 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def whole_numbers(first: int, last: int) -> Column:
+    return F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))
+
+
 def top_k(
     vectors: DataFrame, k: int, every: int, search: Search, score_type: str, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
@@ -52,10 +56,10 @@ def top_k(
     rows = stored(vectors, "vectors")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     shards, width = buckets_for(size["n"], shard_rows), size["width"] or 1
-    asked = rows.where(F.col("vec_id") % every == 0)
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("asked_id"), F.col("v").alias("asked_v"))
     blocks = buckets_for(asked.count(), query_block)
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("asked_id", F.lit(1)), F.lit(blocks)))
     best: DataFrame | None = None
     schema = f"query_id long, vec_id long, score {score_type}"
 
@@ -63,12 +67,12 @@ def top_k(
         if not left.num_rows or not right.num_rows:
             q, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            left, right = left.sort_by("vec_id"), right.sort_by("vec_id")
+            left, right = left.sort_by("vec_id"), right.sort_by("asked_id")
             q, ids, scores = search(
                 left["vec_id"].to_numpy(),
                 matrix(left["v"], width),
-                right["vec_id"].to_numpy(),
-                matrix(right["v"], width),
+                right["asked_id"].to_numpy(),
+                matrix(right["asked_v"], width),
                 right["kth"].to_numpy().astype(np.float64),
             )
         kind = pa.int64() if score_type == "long" else pa.float64()
@@ -79,15 +83,15 @@ def top_k(
         last = min(last, shards)
         part = dealt.where((F.col("shard") >= first) & (F.col("shard") < last))
         # Every shard meets every block of the stated query set; copies of rows are one per block.
-        left = part.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("vec_id", "v", "shard", "block")
+        left = part.select("vec_id", "v", "shard", F.explode(whole_numbers(0, blocks - 1)).alias("block"))
         if best is None:
             right = asked.withColumn("kth", F.lit(float("-inf")))
         else:
-            bound = best.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
-            right = asked.join(bound, "vec_id", "left").fillna({"kth": float("-inf")})
-        right = right.withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).select("vec_id", "v", "kth", F.col("shard").cast("long").alias("shard"), F.col("block").cast("long").alias("block"))
-        left = left.select("vec_id", "v", F.col("shard").cast("long").alias("shard"), F.col("block").cast("long").alias("block"))
-        found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(task, schema)
+            bound = best.where(F.col("rank") == k).select(F.col("query_id").alias("asked_id"), F.col("score").cast("double").alias("kth"))
+            right = asked.join(bound, "asked_id", "left").fillna({"kth": float("-inf")})
+        shard = F.explode(whole_numbers(first, last - 1)).alias("asked_shard")
+        right = right.select("asked_id", "asked_v", "kth", F.col("block").alias("asked_block"), shard)
+        found = left.groupBy("shard", "block").cogroup(right.groupBy("asked_shard", "asked_block")).applyInArrow(task, schema)
         if best is not None:
             found = found.unionByName(best.select("query_id", "vec_id", "score"))
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
