@@ -10,10 +10,13 @@ cut into sequences whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,6 +30,8 @@ SLACK = 8
 PARTITIONS_PER_MERGE = 64
 END_ID = 1
 REMEMBERED = 300_000
+WORDS_AT_ONCE = 512
+_MARKS = re.compile(rb"(?<=[a-z0-9])([.,!?;:*%&#$|]+)(?=[\x20\x09-\x0D]|\Z)")
 ID_BYTES = 4
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -39,43 +44,59 @@ SCHEMA = pa.schema(
 class WordEncoder:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space before it looks at words, so a text's ids are those of its
-    white-space-separated words in order. Words are encoded by the library once and remembered.
-    Only white space on which Python and the library agree separates; rarer kinds stay inside a
-    word, where the library splits them itself.
+    The tokenizer composes and lower-cases characters, drops white space and splits letters from
+    other characters before it merges. So a text's ids are those of its words in order, where
+    words may be cut at ASCII white space and before marks that follow a letter or digit and
+    end a word. Words are encoded by the library once and remembered; new words of letters only
+    go to it many at a time, one blank apart, and their ids are told apart by their word-end tokens.
+    A text that may hold a special string is left to the library as a whole.
     """
 
     def __init__(self, tokenizer_file: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text; the library sees each new word of the batch once."""
         special = [t for t in batch if "<|" in t]
-        split = [() if "<|" in t else t.encode().split() for t in batch]
+        split = [() if "<|" in t else _MARKS.sub(rb" \1", t.encode().lower()).split() for t in batch]
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            found = self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, _packed(e.ids)) for w, e in zip(part, found))
-        direct = iter(self.library.encode_batch_fast(special, add_special_tokens=False)) if special else iter(())
-        # A text that may hold a special string is left to the library as a whole.
-        return [_packed(next(direct).ids) if "<|" in t else b"".join(map(known.__getitem__, w)) for t, w in zip(batch, split)]
+        self.learn(list({w for words in split for w in words if w not in known}))
+        whole = iter(self._each(special))
+        return [next(whole) if "<|" in t else b"".join(map(known.__getitem__, w)) for t, w in zip(batch, split)]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Ids of new words, in chunks that do not depend on how many there are."""
+        decoded = [w.decode() for w in new]
+        letters = [w for w in decoded if w.isalpha()]
+        rest = [w for w in decoded if not w.isalpha()]
+        for i in range(0, len(letters), WORDS_AT_ONCE):
+            words = letters[i : i + WORDS_AT_ONCE]
+            ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ID_BYTES).tolist()
+            if len(cuts) == len(words):
+                packed = ids.tobytes()
+                self.known.update((w.encode(), packed[a:b]) for w, a, b in zip(words, [0, *cuts], cuts))
+            else:
+                # A letter that composition or lower-casing splits; these words go one by one.
+                rest += words
+        self.known.update(zip((w.encode() for w in rest), self._each(rest)))
 
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-def _packed(ids: list[int]) -> bytes:
-    import numpy as np
 
+def _packed(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
