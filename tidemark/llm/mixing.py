@@ -133,10 +133,11 @@ def mix_sources(
     wanted = F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(0.0)
     cells = stored(cells.select("shard", "source", "words", wanted.alias("wanted")), "cells")
     quotas = block_quotas(cells, block).select(F.col("shard").alias("qs"), F.col("source").alias("qn"), "quota")
-    line = Window.partitionBy("shard", "source").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size")
-    whole = Window.partitionBy("shard", "source")
+    # One column names the cell: rows that a join has dealt by source would else stay together.
+    cell = Window.partitionBy(F.struct("shard", "source"))
+    line = cell.orderBy("draw", F.col("doc_id").asc_nulls_last(), "size")
     placed = dealt.withColumn("ends", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "words", F.sum("size").over(whole)
+        "words", F.sum("size").over(cell)
     )
     drawn = placed.join(quotas, (F.col("shard") == F.col("qs")) & F.col("source").eqNullSafe(F.col("qn")))
     words = F.least(F.col("quota") * block, F.col("words") * cap)
