@@ -85,12 +85,26 @@ def test_equal_values_have_no_spread(spark):
 
 
 @pytest.mark.parametrize("profile", ["train", "serve"])
-def test_parity_fill_equals_general_fill(spark, profile):
+def test_one_pass_fill_of_complete_columns_equals_general_fill(spark, profile):
     df = table(spark, {"A": 400, "B": 168, "C": 169, "D": 2, "E": 1})
-    parity = features.build_features(df, profile=profile)
-    general = features.build_features(df, profile=profile, fill="general")
-    names = [c for c in features.numeric_columns(parity)]
-    close(rows_of(parity, names), rows_of(general, names))
+    complete = features.build_features(df, profile=profile, fill="complete")
+    general = features.build_features(df, profile=profile)
+    names = [c for c in features.numeric_columns(complete)]
+    close(rows_of(complete, names), rows_of(general, names))
+
+
+def test_default_fill_takes_the_next_value_over_raw_nulls(spark):
+    df = table(spark, {"A": 30}).withColumn(features.TARGET, F.when(F.hour("datetime") > 1, F.lit(2.0)))
+    got = [r[0] for r in rows_of(features.build_features(df), [f"{features.TARGET}_lag_1h"])]
+    assert got[:4] == [2.0, 2.0, 2.0, 2.0]
+
+
+@pytest.mark.parametrize("rows", [4, 12, 17, 24])
+def test_deviation_after_a_large_step(spark, rows):
+    values = [1.0, 2.0, *[1e9 + i for i in range(60)]]
+    df = spark.createDataFrame([("A", START + dt.timedelta(hours=i), v) for i, v in enumerate(values)], "zone string, datetime timestamp, v double")
+    got = rows_of(features.add_rolling_features(df, Series(), {"v": {rows: ("std",)}}), [f"v_std_{rows}h"])
+    assert got[-1][0] == pytest.approx((rows * (rows + 1) / 12) ** 0.5, rel=1e-9)
 
 
 def test_train_profile_has_all_columns(spark):

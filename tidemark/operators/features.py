@@ -155,7 +155,7 @@ def build_features(
     df: DataFrame,
     series: Series = Series(),
     profile: str = "train",
-    fill: str = "parity",
+    fill: str = "general",
 ) -> DataFrame:
     """All features of a profile in one pass over the series.
 
@@ -164,19 +164,19 @@ def build_features(
 
     ``fill`` decides about features that lack history:
 
-    * ``parity``: train features are filled backward, forward, then with 0, so early rows
-      get values from later ones; serve features are filled forward, then backward. The
-      raw columns must be complete, as cleaning leaves them, or wholly missing for a key.
-      The fill then reaches no further than the longest lag and stays in the same pass.
-    * ``general``: the same fills for raw columns with any pattern of nulls, in a second,
-      two-phase pass.
+    * ``general``: train features are filled backward, forward, then with 0, so early rows
+      get values from later ones; serve features are filled forward, then backward. Raw columns
+      may hold any pattern of nulls; the fill is a second, two-phase pass.
+    * ``complete``: the same result for raw columns that are complete, as cleaning leaves
+      them, or wholly missing for a key. The fill then reaches no further than the longest
+      lag and stays in the same pass. The precondition is not checked.
     * ``causal``: never looks ahead; missing history is 0.
     * ``none``: nulls stay.
     """
-    if fill not in ("parity", "general", "causal", "none"):
+    if fill not in ("general", "complete", "causal", "none"):
         raise ValueError(f"unknown fill {fill!r}")
     spec = PROFILES[profile]
-    ahead = fill == "parity"
+    ahead = fill == "complete"
 
     def windowed(rows: DataFrame, w: WindowSpec) -> DataFrame:
         rows = add_lags(rows, series.over(), spec.lag_columns, spec.lags, spec.lag_name)

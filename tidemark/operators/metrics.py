@@ -214,13 +214,24 @@ def rare_slice_check(df: DataFrame, by: Sequence[str], limit: float = 100.0, lev
 
 
 def bucket_confusion(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Counts of actual level against predicted level; levels are 0 to 4."""
+    """Counts of actual level against predicted level; levels are 0 to 4.
+
+    Every group has a row for each of the five actual levels, with zeros where none was seen;
+    without ``by`` that holds for an empty table too.
+    """
     classes = list(range(len(buckets.LEVELS)))
     seen = df.filter(F.col("actual").isNotNull() & F.col("predicted").isNotNull()).select(
         *by, buckets.level_index(F.col("actual")).alias("actual_level"), buckets.level_index(F.col("predicted")).alias("p")
     )
-    counts = seen.groupBy(*by, "actual_level").agg(*[F.count_if(F.col("p") == c).alias(f"predicted_{c}") for c in classes])
-    return counts
+    # One pass: each group's 25 cells as five structs, then a row per struct.
+    cells = [
+        F.struct(
+            F.lit(a).alias("actual_level"),
+            *[F.count_if((F.col("actual_level") == a) & (F.col("p") == c)).alias(f"predicted_{c}") for c in classes],
+        )
+        for a in classes
+    ]
+    return seen.groupBy(*by).agg(F.array(*cells).alias("_rows")).select(*by, F.inline("_rows"))
 
 
 def residual_stats(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from tidemark.operators.metrics import scores, with_errors
 from tidemark.operators.resample import with_class_index
 
 FEATURES = "_features"
+VALUE, MISSING = "_value_", "_missing_"
 
 
 @dataclass(frozen=True)
@@ -62,16 +63,30 @@ def fit_horizon(
     if validation is not None:
         data = data.unionByName(validation.withColumn("_validation", F.lit(True)))
     data = data.dropna(subset=[label])
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="skip"),
-        params.regressor(label, weight, "_validation" if validation is not None else None),
-    ]
+    stages = [*input_stages(train, features), params.regressor(label, weight, "_validation" if validation is not None else None)]
     return Pipeline(stages=stages).fit(data)
 
 
+def input_stages(train: DataFrame, features: Sequence[str]) -> list:
+    """Stages from feature columns to the vector, for any pattern of nulls and NaN.
+
+    A missing value takes the median of the training rows (0 where a feature has none), and every
+    feature brings a column that tells where it was missing. No row is dropped, in fitting or
+    in prediction.
+    """
+    number = {f: f"nullif(CAST(`{f}` AS DOUBLE), CAST('NaN' AS DOUBLE))" for f in features}
+    medians = train.agg(*[F.expr(f"percentile_approx({e}, 0.5)").alias(f"m{i}") for i, e in enumerate(number.values())]).first()
+    values = [f"coalesce({e}, {float(medians[i] or 0.0)!r}D) AS `{VALUE}{f}`" for i, (f, e) in enumerate(number.items())]
+    missing = [f"CAST({e} IS NULL AS DOUBLE) AS `{MISSING}{f}`" for f, e in number.items()]
+    return [
+        SQLTransformer(statement=f"SELECT *, {', '.join([*values, *missing])} FROM __THIS__"),
+        VectorAssembler(inputCols=[p + f for p in (VALUE, MISSING) for f in features], outputCol=FEATURES, handleInvalid="error"),
+    ]
+
+
 def predict(model: PipelineModel, df: DataFrame, floor: float = 0.0) -> DataFrame:
-    """Add ``predicted``, not below the floor."""
-    scored = model.transform(df).drop(FEATURES)
+    """Add ``predicted``, not below the floor. Every row gets one."""
+    scored = model.transform(df).select(*[F.col(f"`{c}`") for c in df.columns if c != "predicted"], "predicted")
     return scored.withColumn("predicted", scalars.floor_at(F.col("predicted"), floor))
 
 
@@ -79,14 +94,14 @@ def predict_horizons(models: Mapping[int, PipelineModel], df: DataFrame, keep: S
     """One row per (row, horizon), from a single scan of the table."""
     scored = df
     for horizon, model in models.items():
-        scored = model.transform(scored).drop(FEATURES).withColumnRenamed("predicted", f"_p{horizon}")
+        scored = predict(model, scored).withColumnRenamed("predicted", f"_p{horizon}")
     rows = F.array(
         *[
             F.struct(
                 F.lit(h).alias("horizon_hours"),
                 F.lit(name).alias("model"),
                 (F.col(targets[h]) if targets else F.lit(None)).cast("double").alias("actual"),
-                scalars.floor_at(F.col(f"_p{h}"), 0.0).alias("predicted"),
+                F.col(f"_p{h}").alias("predicted"),
             )
             for h in models
         ]
@@ -98,6 +113,30 @@ def prediction_table(models: Mapping[int, PipelineModel], df: DataFrame, targets
     return with_errors(predict_horizons(models, df, ["zone", "datetime"], targets))
 
 
+def save_models(models: Mapping[int, PipelineModel], path: str) -> None:
+    """One folder per horizon."""
+    for horizon, model in models.items():
+        model.write().overwrite().save(f"{path}/horizon={horizon}")
+
+
+def load_models(horizons: Sequence[int], paths: Sequence[str]) -> dict[int, PipelineModel]:
+    """The fitted model of each horizon from the first of ``paths`` that has it."""
+    found: dict[int, PipelineModel] = {}
+    for horizon in horizons:
+        places = [f"{p}/horizon={horizon}" for p in paths]
+        place = next((p for p in places if _exists(p)), None)
+        if place is None:
+            raise FileNotFoundError(f"no model for horizon {horizon} in {list(paths)}")
+        found[horizon] = PipelineModel.load(place)
+    return found
+
+
+def _exists(path: str) -> bool:
+    spark = SparkSession.active()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def split_scores(model: PipelineModel, splits: Mapping[str, DataFrame], label: str) -> DataFrame:
     table: DataFrame | None = None
     for name, df in splits.items():
@@ -107,10 +146,12 @@ def split_scores(model: PipelineModel, splits: Mapping[str, DataFrame], label: s
 
 
 def importances(model: PipelineModel) -> DataFrame:
-    """Feature importances, largest first. One row per feature."""
-    columns = model.stages[0].getInputCols()
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(c, float(v)) for c, v in zip(columns, values)]
+    """Feature importances, largest first. One row per feature, its missing mark included."""
+    total: dict[str, float] = {}
+    for column, value in zip(model.stages[-2].getInputCols(), model.stages[-1].featureImportances.toArray()):
+        feature = column.removeprefix(VALUE).removeprefix(MISSING)
+        total[feature] = total.get(feature, 0.0) + float(value)
+    rows = list(total.items())
     return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
@@ -148,9 +189,8 @@ def random_search(
 
 def sensitivity(df: DataFrame, features: Sequence[str], label: str, base: TreeParams, values: Mapping[str, Sequence], folds: int = 3, parallelism: int = 2) -> DataFrame:
     """Cross-validated error when one parameter at a time takes other values."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol=FEATURES, handleInvalid="skip").transform(
-        df.dropna(subset=[label])
-    )
+    labelled = df.dropna(subset=[label])
+    assembled = Pipeline(stages=input_stages(labelled, features)).fit(labelled).transform(labelled)
     regressor = base.regressor(label)
     names = {"trees": regressor.maxIter, "depth": regressor.maxDepth, "step": regressor.stepSize}
     maps = [(p, v, {names[p]: v}) for p, options in values.items() for v in options]
@@ -174,7 +214,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     Rows get a dense index in hashed order without one task seeing them all, and each row
     is paired with the next one by a join on the index.
     """
-    clean = df.dropna(subset=[label, *features]).withColumn("_all", F.lit(0))
+    clean = df.dropna(subset=[label]).withColumn("_all", F.lit(0))
     indexed = with_class_index(clean, "_all", key)
     dealer = indexed.select(
         F.pmod(F.col("_at") + 1, F.col("_size")).alias("_at"), *[F.col(f).alias(f"_s_{f}") for f in features]

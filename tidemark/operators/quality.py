@@ -15,26 +15,22 @@ ANOMALY_SCHEMA = "dataset string, column string, anomaly string, detail string,
 PSI_FLOOR = 1e-6
 
 
-def infer_baseline(df: DataFrame, max_domain: int = 1000, name: str = "") -> DataFrame:
+def infer_baseline(df: DataFrame, open_columns: Sequence[str] = (), name: str = "") -> DataFrame:
     """Schema table: one row per column, plus one row per value of each text column.
 
-    A text column with more than ``max_domain`` distinct values has no closed domain;
-    it gets its schema row and no value rows.
+    Every text column has a closed domain, whatever its size, unless it is declared open; an open
+    column gets its schema row only and its values are not read.
     """
     spark = df.sparkSession
     columns = spark.createDataFrame(
         [(name, f.name, f.dataType.simpleString(), None) for f in df.schema.fields],
         "dataset string, column string, type string, value string",
     )
-    text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    text = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name not in open_columns]
     if not text:
         return columns
     values = _text_values(df, text)
-    sizes = values.groupBy("column").agg(F.count(F.lit(1)).alias("_size"))
-    closed = values.join(sizes.filter(F.col("_size") <= max_domain), "column", "left_semi")
-    return columns.unionByName(
-        closed.select(F.lit(name).alias("dataset"), "column", F.lit("string").alias("type"), "value")
-    )
+    return columns.unionByName(values.select(F.lit(name).alias("dataset"), "column", F.lit("string").alias("type"), "value"))
 
 
 def _text_values(df: DataFrame, text: Sequence[str]) -> DataFrame:

@@ -1,13 +1,9 @@
-"""Lags and rolling statistics in few window steps.
+"""Lags and rolling statistics stated as SQL text.
 
-Spark evaluates a sliding frame by visiting all its rows again for every row, once per
-aggregate. Here the statistics of a frame are merged from those of shorter frames a fixed
-number of rows back: 24 rows are two blocks of 12, 12 are three blocks of 4, 4 are four
-single rows. Spark evaluates all lags of one distance together, so a step costs a few
-lags whatever the number of columns and statistics.
-
-The many columns are stated as SQL text: one call to the JVM per step instead of several
-per column. ``over`` is a window such as ``Series.over`` gives.
+The many columns of a step need one call to the JVM instead of several per column.
+Statistics are Spark's own sliding frames, whose deviation is built from means and squared
+deviations and so does not lose digits when values move far from where they began. Frames of
+one length share a window step. ``over`` is a window such as ``Series.over`` gives.
 """
 
 from __future__ import annotations
@@ -17,9 +13,6 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 
 STATISTICS = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "count": "count"}
-# Parts kept per block: rows, sum, sum of squares (both of centred values), smallest, largest.
-NEEDS = {"mean": "ns", "std": "nsqlh", "min": "l", "max": "h", "count": "n"}
-MAX_BLOCKS = 16
 
 
 def add_columns(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -33,35 +26,6 @@ def add_lags(df: DataFrame, over: str, columns: Sequence[str], lags: Sequence[in
     return add_columns(df, {name(c, n): f"lag(`{c}`, {n}) OVER ({over})" for n in lags for c in columns})
 
 
-def _merge(part: str, values: list[str]) -> str:
-    if part in "lh":
-        return f"{'least' if part == 'l' else 'greatest'}({', '.join(values)})"
-    return " + ".join(f"coalesce({v}, {'0' if part == 'n' else '0D'})" for v in values)
-
-
-def _single(part: str, value: str, centre: str) -> str:
-    value = f"CAST({value} AS DOUBLE)"
-    moved = f"coalesce({value} - {centre}, 0D)"
-    return {"n": f"CAST({value} IS NOT NULL AS INT)", "s": moved, "q": f"{moved} * {moved}", "l": value, "h": value}[part]
-
-
-def _read(stat: str, part: Callable[[str], str], centre: str) -> str:
-    if stat in ("min", "max", "count"):
-        return part(NEEDS[stat])
-    n, s = part("n"), part("s")
-    if stat == "mean":
-        return f"CASE WHEN {n} > 0 THEN {centre} + {s} / {n} END"
-    # Equal values have no spread, whatever the sums round to.
-    spread = f"greatest({part('q')} - {s} * {s} / {n}, 0D)"
-    return f"CASE WHEN {n} > 1 THEN CASE WHEN {part('l')} = {part('h')} THEN 0D ELSE sqrt({spread} / ({n} - 1)) END END"
-
-
-def _base(rows: int, known: Sequence[int]) -> int | None:
-    """The longest known frame that splits ``rows`` into few whole blocks."""
-    fitting = [k for k in known if rows % k == 0 and rows // k <= MAX_BLOCKS]
-    return max(fitting) if fitting else None
-
-
 def add_rolling(
     df: DataFrame,
     over: str,
@@ -71,45 +35,13 @@ def add_rolling(
     """Statistics over the current and the ``n - 1`` rows before it, nulls left out.
 
     ``rolling`` maps column -> rows -> statistics; ``name(column, statistic, rows)`` names
-    the results. Besides mean, std, min and max there is count.
+    the results. Besides mean, std, min and max there is count. Every length is computed by the
+    same formula.
     """
-    kept = df.columns
-    lengths = sorted({n for windows in rolling.values() for n in windows})
-    ids = {c: i for i, c in enumerate(rolling)}
-    parts = {
-        c: [p for p in "nsqlh" if any(p in NEEDS[s] for stats in windows.values() for s in stats)]
+    results = {
+        name(c, stat, n): f"{STATISTICS[stat]}(`{c}`) OVER ({over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
         for c, windows in rolling.items()
+        for n, stats in windows.items()
+        for stat in stats
     }
-    pairs = [(c, p) for c in rolling for p in parts[c]]
-
-    def cell(c: str, part: str, length: int, step: int = 0) -> str:
-        return f"_{part}{ids[c]}_{length}" + (f"_{step}" if step else "")
-
-    # Sums are taken around a value of the chunk, which keeps squares small.
-    centre = {c: f"_centre{i}" for c, i in ids.items()}
-    running = f"OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    df = add_columns(df, {centre[c]: f"first(CAST(`{c}` AS DOUBLE), true) {running}" for c in rolling})
-    df = add_columns(df, {cell(c, p, 1): _single(p, f"`{c}`", centre[c]) for c, p in pairs})
-    known = [1]
-    for n in lengths:
-        size = _base(n, known)
-        if size is None or n == 1:
-            continue
-        steps = range(1, n // size)
-        df = add_columns(
-            df, {cell(c, p, size, i): f"lag({cell(c, p, size)}, {i * size}) OVER ({over})" for i in steps for c, p in pairs}
-        )
-        df = add_columns(
-            df, {cell(c, p, n): _merge(p, [cell(c, p, size), *[cell(c, p, size, i) for i in steps]]) for c, p in pairs}
-        ).drop(*[cell(c, p, size, i) for i in steps for c, p in pairs])
-        known.append(n)
-    results = {}
-    for c, windows in rolling.items():
-        for n, stats in windows.items():
-            for stat in stats:
-                if n in known:
-                    value = _read(stat, lambda p, c=c, n=n: cell(c, p, n), centre[c])
-                else:  # lengths that do not divide well use Spark's own sliding frame
-                    value = f"{STATISTICS[stat]}(`{c}`) OVER ({over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-                results[name(c, stat, n)] = value
-    return df.selectExpr(*[f"`{c}`" for c in kept if c not in results], *[f"{v} AS `{k}`" for k, v in results.items()])
+    return add_columns(df, results)

@@ -43,32 +43,44 @@ def _(t: Tables) -> DataFrame:
 
 
 def landed_csv(t: Tables) -> str:
-    """Weather CSV folders per location, in two header variants."""
+    """Weather CSV folders per location, in three header forms, and one file that has no times."""
     path = scratch_path(t.spark, "weather")
     text = t.weather.select(
-        F.col("zone").alias("location"), F.date_format("datetime", "yyyy-MM-dd'T'HH:mm").alias("time"), *WEATHER_VALUES[:3]
+        F.col("zone").alias("location"), F.date_format("datetime", "yyyy-MM-dd'T'HH:mm").alias("time"), *WEATHER_VALUES
     )
-    text.filter(F.col("location") < "p").write.option("header", "true").partitionBy("location").csv(f"{path}/wide")
-    narrow = text.filter(F.col("location") >= "p").select("location", "time", WEATHER_VALUES[2], WEATHER_VALUES[0])
-    narrow.write.option("header", "true").partitionBy("location").csv(f"{path}/narrow")
+    by_location = lambda rows, form, **options: rows.write.options(header="true", **options).partitionBy("location").csv(f"{path}/{form}")
+    by_location(text.filter(F.col("location") < "p"), "wide")
+    by_location(text.filter(F.col("location") == "purchase").select("location", *reversed(WEATHER_VALUES), "time"), "turned")
+    narrow = text.filter(F.col("location") > "purchase").select("location", WEATHER_VALUES[2], "time", WEATHER_VALUES[0])
+    by_location(narrow, "quoted", quoteAll="true")
+    text.limit(3).select("location", F.lit("no times").alias("remark")).write.option("header", "true").partitionBy("location").csv(f"{path}/broken")
     return path
 
 
-CSV_SQL = """SELECT {zone} strftime(datetime, '%Y-%m-%dT%H:%M') AS time, temperature_2m_c,
-  CASE WHEN zone < 'p' THEN wind_speed_100m_ms END AS wind_speed_100m_ms, cloud_cover_pct FROM weather"""
+CSV_SQL = (
+    "SELECT {zone} strftime(datetime, '%Y-%m-%dT%H:%M') AS time, "
+    + ", ".join(c if c in (WEATHER_VALUES[0], WEATHER_VALUES[2]) else f"CASE WHEN zone <= 'purchase' THEN {c} END AS {c}" for c in WEATHER_VALUES)
+    + " FROM weather"
+)
 
 
 @query("s2_read_csv", CSV_SQL.format(zone=""), ctes="weather")
 def _(t: Tables) -> DataFrame:
     rows = landing.read_csv_folder(t.spark, landed_csv(t))
-    return rows.select("time", *[parsing.to_number(F.col(c)).alias(c) for c in WEATHER_VALUES[:3]])
+    return rows.select("time", *[parsing.to_number(F.col(c)).alias(c) for c in WEATHER_VALUES])
+
+
+@query("s2_quarantined_csv", "SELECT 'remark' AS header, true AS some FROM weather LIMIT 1", ctes="weather")
+def _(t: Tables) -> DataFrame:
+    bad = landing.csv_quarantine(t.spark, landed_csv(t))
+    return bad.groupBy("header").agg((F.count(F.lit(1)) > 0).alias("some"))
 
 
 @query("s3_tag_zones", CSV_SQL.format(zone="zone,"), ctes="weather")
 def _(t: Tables) -> DataFrame:
     folders = t.readings.select("zone", F.concat(F.lit("location="), "zone").alias("folder")).distinct()
     rows = landing.tag_zone(landing.read_csv_folder(t.spark, landed_csv(t)), folders)
-    return rows.select("zone", "time", *[parsing.to_number(F.col(c)).alias(c) for c in WEATHER_VALUES[:3]])
+    return rows.select("zone", "time", *[parsing.to_number(F.col(c)).alias(c) for c in WEATHER_VALUES])
 
 
 def file_names(t: Tables) -> DataFrame:
@@ -77,7 +89,7 @@ def file_names(t: Tables) -> DataFrame:
     signal = F.when(F.col("k") < 50, "carbon-intensity").otherwise("total-load")
     name = chunks.chunk_file_name(day, day + F.expr("interval '1' day"))
     return t.readings.select(
-        "event_id", F.concat(F.lit("s3a://raw/hourly/zone="), "zone", F.lit("/"), signal, F.lit("/"), name).alias("file")
+        "event_id", F.concat(F.lit("raw/hourly/zone="), "zone", F.lit("/"), signal, F.lit("/"), name).alias("file")
     )
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import half_even
 from tidemark.functions import buckets, parsing
-from tidemark.operators import features, model
+from tidemark.operators import features, metrics, model
 from tidemark.operators.series import latest_rows
-from tidemark.plans.canonical import GRID_VALUES, HOURLY, Tables
-from tidemark.plans.queries_reports import LAG_24, TARGETS, labelled_grid
+from tidemark.plans.canonical import GRID_VALUES, HOURLY, ZONES, Tables
+from tidemark.plans.queries_reports import TARGETS
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
 from tidemark.sources import tables
@@ -206,78 +206,202 @@ def _(t: Tables) -> DataFrame:
 
 # --- models ------------------------------------------------------------------------------
 
-INPUTS = [CI, LAG_24, "hour_of_day", "day_of_week", "is_weekend", "is_daytime", "hour_sin", "hour_cos"]
-SMALL = model.TreeParams(trees=5, depth=3, step=0.3, subsample=1.0, columns=1.0)
+# Few shallow trees: the queries show the flow, not the accuracy.
+SMALL = model.TreeParams(trees=4, depth=3, step=0.3, subsample=1.0, columns=1.0)
+FIT_ROWS = 2000
+FIRST, SECOND = "2024-01-18", "2024-01-23"
+MODEL_SQL = f"""WITH lab AS (SELECT zone, datetime, {', '.join(f'lead({CI}, {h}) OVER w AS t{h}' for h in TARGETS)}
+  FROM merged WINDOW w AS (PARTITION BY zone ORDER BY datetime)),
+part AS (SELECT *, CASE WHEN datetime <= TIMESTAMP '{FIRST}' THEN 'train' WHEN datetime <= TIMESTAMP '{SECOND}' THEN 'val' ELSE 'test' END AS split FROM lab),
+long AS ({" UNION ALL ".join(f"SELECT zone, datetime, split, {h} AS horizon_hours, t{h} AS actual FROM part" for h in TARGETS)})"""
+
+
+# Folders of the matrix and the models by (application, tables): the model queries of a run share them.
+WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written(t: Tables, label: str, write) -> str:
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, label)
+    if key not in WRITTEN:
+        path = scratch_path(t.spark, label)
+        write(path)
+        WRITTEN[key] = path
+    return WRITTEN[key]
 
 
 def model_table(t: Tables) -> DataFrame:
-    """Labelled features with their weight, written once: training reads it many times."""
-    path = scratch_path(t.spark, "model_ready")
-    ready = features.add_calendar(labelled_grid(t)).withColumn("weight", buckets.rarity_weight(F.col(CI)))
-    tables.write_table(ready.dropna(subset=[LAG_24, *TARGETS.values()]), path)
-    return t.spark.read.parquet(path)
+    """The feature matrix with targets and weight, written once: training reads it many times."""
+    return t.spark.read.parquet(written(t, "model_ready", lambda path: write_model_table(t, path)))
+
+
+def write_model_table(t: Tables, path: str) -> None:
+    """Part of one weather column is missing, as in tables that did not pass cleaning."""
+    labelled = features.add_targets(features.build_features(t.merged), HOURLY, CI, list(TARGETS))
+    ready = labelled.withColumn("weight", buckets.rarity_weight(F.col(CI)))
+    holes = ready.withColumn("rain_mm", F.when(F.hour("datetime") != 7, F.col("rain_mm")))
+    tables.write_table(features.one_hot(holes.withColumn("zone_name", F.col("zone")), "zone", ZONES).withColumnRenamed("zone_name", "zone"), path)
+
+
+def matrix_columns(df: DataFrame) -> list[str]:
+    chosen = features.FeatureColumns(categories={"zone": ZONES}).choose(df)
+    return [c for c in chosen if c not in (*TARGETS.values(), "weight")]
 
 
 def divided(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    first, second = (F.lit(d).cast("timestamp") for d in ("2024-01-18", "2024-01-23"))
+    first, second = (F.lit(d).cast("timestamp") for d in (FIRST, SECOND))
     ts = F.col("datetime")
     return df.filter(ts <= first), df.filter((ts > first) & (ts <= second)), df.filter(ts > second)
 
 
-def fitted(t: Tables, horizon: int = 12):
+def some(df: DataFrame, label: str) -> DataFrame:
+    """At most FIT_ROWS labelled rows to fit on; scores and predictions cover every row."""
+    return df.dropna(subset=[label]).orderBy(F.xxhash64("zone", "datetime"), "zone", "datetime").limit(FIT_ROWS)
+
+
+def fitted(t: Tables) -> tuple[dict, tuple[DataFrame, DataFrame, DataFrame]]:
+    """One model per horizon, saved and loaded again, and the parts."""
     parts = divided(model_table(t))
-    return model.fit_horizon(parts[0], parts[1], INPUTS, TARGETS[horizon], SMALL, "weight"), parts
+    inputs = matrix_columns(parts[0])
 
+    def fit(path: str) -> None:
+        made = {h: model.fit_horizon(some(parts[0], c), some(parts[1], c), inputs, c, SMALL, "weight") for h, c in TARGETS.items()}
+        model.save_models(made, path)
 
-@query("m5_fit_and_score")
-def _(t: Tables) -> DataFrame:
-    trained, (train, val, test) = fitted(t)
-    return model.split_scores(trained, {"train": train, "val": val, "test": test}, TARGETS[12])
+    path = written(t, "models", fit)
+    return model.load_models(list(TARGETS), [f"{path}-newer", path]), parts
 
 
-@query("m6_importances")
+@query(
+    "m5_fit_and_score",
+    f"""{MODEL_SQL} SELECT horizon_hours, split, count(actual) AS n_samples, avg(actual) AS mean_actual, true AS in_range FROM long GROUP BY 1, 2""",
+    floats="mean_actual",
+    ctes="merged",
+)
 def _(t: Tables) -> DataFrame:
-    return model.importances(fitted(t)[0])
+    """Scores of every horizon and split: their rows, and that 0 <= mae <= rmse and r2 <= 1."""
+    models, (train, val, test) = fitted(t)
+    table: DataFrame | None = None
+    for h, c in TARGETS.items():
+        splits = {"train": train, "val": val, "test": test}
+        scored = model.split_scores(models[h], splits, c)
+        sizes = train.unionByName(val).unionByName(test).dropna(subset=[c])
+        split = F.when(F.col("datetime") <= F.lit(FIRST).cast("timestamp"), "train").when(F.col("datetime") <= F.lit(SECOND).cast("timestamp"), "val").otherwise("test")
+        counted = sizes.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n_samples"), F.avg(c).alias("mean_actual"))
+        fine = (F.col("mae") >= 0) & (F.col("mae") <= F.col("rmse")) & (F.col("r2") <= 1)
+        part = counted.join(scored, "split").select(F.lit(h).alias("horizon_hours"), "split", "n_samples", "mean_actual", fine.alias("in_range"))
+        table = part if table is None else table.unionByName(part)
+    return table
+
+
+@query("m6_importances", f"""SELECT h AS horizon_hours, features, 1.0::DOUBLE AS total FROM (SELECT unnest([{', '.join(map(str, TARGETS))}]) AS h, 94 AS features, count(*) AS n FROM merged)""", ctes="merged")
+def _(t: Tables) -> DataFrame:
+    """Every feature of the matrix has an importance, and they add up to one."""
+    models, _parts = fitted(t)
+    table: DataFrame | None = None
+    for h, fit in models.items():
+        part = model.importances(fit).agg(F.lit(h).alias("horizon_hours"), F.count("feature").cast("int").alias("features"), F.sum("importance").alias("total"))
+        table = part if table is None else table.unionByName(part)
+    return table
+
 
+SEARCHED = {"trees": (2, 5), "depth": (2, 4), "step": (0.05, 0.3), "subsample": (0.5, 1.0), "columns": (0.5, 1.0), "min_rows": (1, 20)}
+TRIALS = 20
 
-@query("m7_random_search")
+
+@query("m7_random_search", f"SELECT {TRIALS} AS trials, 1 AS best, true AS in_space, true AS best_is_smallest FROM (SELECT count(*) FROM merged)", ctes="merged")
 def _(t: Tables) -> DataFrame:
+    """All trials of the search over its six parameters."""
     train, val, _test = divided(model_table(t))
-    space = {"trees": (3, 6), "depth": (2, 4), "step": (0.1, 0.3)}
-    best, history = model.random_search(train, val, INPUTS, TARGETS[12], 2, space, "weight")
-    rows = [(p.trees, p.depth, p.step, float(mae), p == best) for p, mae in history]
-    return t.spark.createDataFrame(rows, "trees int, depth int, step double, val_mae double, best boolean")
+    label = TARGETS[12]
+    best, history = model.random_search(some(train, label).cache(), some(val, label).cache(), matrix_columns(train), label, TRIALS, SEARCHED, "weight")
+    inside = all(a <= getattr(p, k) <= b for p, _mae in history for k, (a, b) in SEARCHED.items())
+    smallest = min(mae for _p, mae in history) == next(mae for p, mae in history if p == best)
+    rows = [(len(history), sum(p == best for p, _mae in history), inside, smallest)]
+    return t.spark.createDataFrame(rows, "trials int, best int, in_space boolean, best_is_smallest boolean")
+
 
+POINTS = {"trees": (1, 2, 3, 4, 5), "depth": (1, 2, 3, 4, 5), "step": (0.05, 0.1, 0.15, 0.2, 0.3)}
 
-@query("m8_sensitivity")
+
+@query(
+    "m8_sensitivity",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {float(v)}::DOUBLE, true)" for p, vs in POINTS.items() for v in vs) + ") v(parameter, value, measured) WHERE (SELECT count(*) FROM merged) > 0",
+    ctes="merged",
+)
 def _(t: Tables) -> DataFrame:
+    """Five points each for tree count, depth and step."""
     train, _val, _test = divided(model_table(t))
-    return model.sensitivity(train, INPUTS, TARGETS[12], SMALL, {"depth": (2, 3), "step": (0.1, 0.3)})
+    found = model.sensitivity(some(train, TARGETS[12]).cache(), matrix_columns(train), TARGETS[12], SMALL, POINTS, parallelism=4)
+    return found.select("parameter", "value", (F.col("mae") > 0).alias("measured"))
 
 
-@query("m9_permutation_importance")
+@query("m9_permutation_importance", f"""{MODEL_SQL} SELECT count(actual) AS rows_measured, 94 AS features, true AS finite FROM long WHERE split = 'val' AND horizon_hours = 12""", ctes="merged")
 def _(t: Tables) -> DataFrame:
-    trained, (_train, val, _test) = fitted(t)
-    return model.permutation_importance(trained, val, INPUTS, TARGETS[12], ["zone", "datetime"])
+    """Every feature is permuted over all labelled rows, those with missing features too."""
+    models, (_train, val, _test) = fitted(t)
+    table = model.permutation_importance(models[12], val, matrix_columns(val), TARGETS[12], ["zone", "datetime"])
+    summary = table.agg(F.count(F.lit(1)).cast("int").alias("features"), F.every(F.col("mae_increase").isNotNull() & ~F.isnan("mae_increase")).alias("finite"))
+    rows = val.dropna(subset=[TARGETS[12]]).agg(F.count(F.lit(1)).alias("rows_measured"))
+    return rows.withColumn("_one", F.lit(1)).join(summary.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+PREDICTED_SQL = f"""{MODEL_SQL} SELECT zone, datetime, horizon_hours, 'gbt' AS model, actual, true AS at_floor FROM long WHERE split = 'test'"""
 
 
-@query("m10_predict_horizons")
+@query("m10_predict_horizons", PREDICTED_SQL, ctes="merged")
 def _(t: Tables) -> DataFrame:
-    train, val, test = divided(model_table(t))
-    models = {h: model.fit_horizon(train, val, INPUTS, c, SMALL, "weight") for h, c in TARGETS.items()}
-    return model.predict_horizons(models, test, ["zone", "datetime"], TARGETS)
+    """Every test row has a prediction per horizon, not below 0."""
+    models, (_train, _val, test) = fitted(t)
+    rows = model.predict_horizons(models, test, ["zone", "datetime"], TARGETS)
+    return rows.select("zone", "datetime", "horizon_hours", "model", "actual", (F.col("predicted") >= 0).alias("at_floor"))
 
 
-@query("m11_prediction_table")
+@query("m11_prediction_table", PREDICTED_SQL.replace("true AS at_floor", "actual IS NOT NULL AS has_error"), ctes="merged")
 def _(t: Tables) -> DataFrame:
-    trained, (_train, _val, test) = fitted(t)
-    return model.prediction_table({12: trained}, test, TARGETS)
+    models, (_train, _val, test) = fitted(t)
+    table = model.prediction_table(models, test, TARGETS)
+    right = F.abs(F.col("predicted") - F.col("actual")) - F.col("abs_error")
+    return table.select("zone", "datetime", "horizon_hours", "model", "actual", F.coalesce(F.abs(right) < 0.011, F.lit(False)).alias("has_error"))
 
 
-@query("m16_zone_forecasts")
+@query(
+    "m16_zone_forecasts",
+    f"""SELECT zone, datetime, h AS horizon_hours, true AS at_floor, true AS has_level FROM (SELECT zone, datetime, unnest([{', '.join(map(str, TARGETS))}]) AS h
+FROM merged QUALIFY row_number() OVER (PARTITION BY zone ORDER BY datetime DESC) <= 24)""",
+    ctes="merged",
+)
 def _(t: Tables) -> DataFrame:
     """The next day of every zone from its last 24 rows, with the level it is served under."""
-    trained, (_train, _val, test) = fitted(t, 1)
-    scored = model.predict(trained, latest_rows(test, HOURLY, 24), 50.0)
-    served = half_even(F.col("predicted"), 1)
-    return scored.select("zone", "datetime", served.alias("intensity"), buckets.service_level(served).alias("level"))
+    models, (_train, _val, test) = fitted(t)
+    scored = model.predict_horizons(models, latest_rows(test, HOURLY, 24), ["zone", "datetime"])
+    served = half_even(F.greatest(F.col("predicted"), F.lit(50.0)), 1)
+    levels = F.lit(50.0) <= served
+    return scored.select("zone", "datetime", "horizon_hours", levels.alias("at_floor"), buckets.service_level(served).isNotNull().alias("has_level"))
+
+
+@query(
+    "m18_rows_in_rows_out",
+    """SELECT count(*) AS rows_in, count(*) AS rows_predicted, count(*) FILTER (hour(datetime) = 7) AS rows_with_missing FROM merged""",
+    ctes="merged",
+)
+def _(t: Tables) -> DataFrame:
+    """Rows with a missing feature are predicted like any other."""
+    models, parts = fitted(t)
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    counts = model.predict(models[12], every).agg(F.count("predicted").alias("rows_predicted"), F.count_if(F.col("rain_mm").isNull()).alias("rows_with_missing"))
+    rows = every.agg(F.count(F.lit(1)).alias("rows_in")).withColumn("_one", F.lit(1))
+    return rows.join(counts.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+AUDIT_SQL = f"""{MODEL_SQL} SELECT horizon_hours, zone AS slice_value, count(*) AS n_samples FROM long WHERE split = 'test' AND actual IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10"""
+
+
+@query("m19_model_slice_audit", AUDIT_SQL, ctes="merged")
+def _(t: Tables) -> DataFrame:
+    """Fit, predict, score per slice, compare the slices with the whole."""
+    models, (_train, _val, test) = fitted(t)
+    path = scratch_path(t.spark, "predictions")
+    keep = ["zone", "datetime", "temperature_2m_c", "wind_speed_100m_ms", "cloud_cover_pct"]
+    tables.write_table(model.predict_horizons(models, test, keep, TARGETS).filter(F.col("actual").isNotNull()), path)
+    found = metrics.disparities(metrics.slice_scores(t.spark.read.parquet(path)))
+    return found.filter(F.col("slice_type") == "zone").select("horizon_hours", "slice_value", "n_samples")

@@ -204,13 +204,15 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "a14_bucket_confusion",
-    f"""SELECT {LEVEL_INDEX_SQL.format(c='actual')} AS actual_level, """
-    + ", ".join(f"count(*) FILTER ({LEVEL_INDEX_SQL.format(c='predicted')} = {i}) AS predicted_{i}" for i in range(5))
-    + " FROM scores GROUP BY 1",
+    f"""WITH seen AS (SELECT {LEVEL_INDEX_SQL.format(c='actual')} AS a, {LEVEL_INDEX_SQL.format(c='predicted')} AS p FROM scores WHERE actual >= 350)
+SELECT CAST(g.l AS INTEGER) AS actual_level, """
+    + ", ".join(f"count(*) FILTER (seen.p = {i}) AS predicted_{i}" for i in range(5))
+    + " FROM generate_series(0, 4) g(l) LEFT JOIN seen ON seen.a = g.l GROUP BY g.l",
     ctes="scores",
 )
 def _(t: Tables) -> DataFrame:
-    return metrics.bucket_confusion(t.scores)
+    """Scores of high values only: the lower levels have rows of zeros."""
+    return metrics.bucket_confusion(t.scores.filter(F.col("actual") >= 350))
 
 
 @query(
@@ -488,10 +490,15 @@ def _(t: Tables) -> DataFrame:
     """SELECT 'orders' AS dataset, c AS "column", ty AS type, NULL::VARCHAR AS value
 FROM (VALUES ('o_orderkey', 'bigint'), ('o_orderstatus', 'string'), ('o_orderpriority', 'string')) v(c, ty)
 UNION ALL SELECT DISTINCT 'orders', 'o_orderstatus', 'string', o_orderstatus FROM orders
-UNION ALL SELECT DISTINCT 'orders', 'o_orderpriority', 'string', o_orderpriority FROM orders""",
+UNION ALL SELECT DISTINCT 'orders', 'o_orderpriority', 'string', o_orderpriority FROM orders
+UNION ALL SELECT 'documents', c, 'string', NULL FROM (VALUES ('key'), ('text')) v(c)
+UNION ALL SELECT 'documents', 'key', 'string', CAST(l_orderkey AS VARCHAR) FROM (SELECT DISTINCT l_orderkey FROM lineitem)""",
 )
 def _(t: Tables) -> DataFrame:
-    return quality.infer_baseline(t["orders"].select("o_orderkey", "o_orderstatus", "o_orderpriority"), name="orders")
+    """A closed domain of over a thousand values, and a column declared open."""
+    orders = quality.infer_baseline(t["orders"].select("o_orderkey", "o_orderstatus", "o_orderpriority"), name="orders")
+    keys = t["lineitem"].select(F.col("l_orderkey").cast("string").alias("key"), F.lit("free").alias("text"))
+    return orders.unionByName(quality.infer_baseline(keys, open_columns=["text"], name="documents"))
 
 
 @query(
@@ -570,19 +577,31 @@ def _(t: Tables) -> DataFrame:
     return resample.class_counts(resample.oversample(labelled, "carbon_bucket", ["zone", "datetime"]), "carbon_bucket")
 
 
-@query("q8_oversampled_rows")
+@query("q8_oversampled_rows", f"SELECT *, {LEVEL_SQL.format(c=CI)} AS carbon_bucket FROM observed", ctes="observed")
 def _(t: Tables) -> DataFrame:
+    """The distinct rows of the balanced table are the original ones, unchanged."""
     labelled = t.grid_observed.withColumn("carbon_bucket", buckets.level(F.col(CI)))
     key = ["zone", "datetime"]
-    return resample.shuffled(resample.oversample(labelled, "carbon_bucket", key), key)
+    return resample.shuffled(resample.oversample(labelled, "carbon_bucket", key), key).distinct()
 
 
-@query("q9_noisy_oversample")
+@query(
+    "q9_noisy_oversample",
+    f"""SELECT zone, datetime, {', '.join(GRID_VALUES)}, 0::BIGINT AS synthetic_rows FROM observed
+UNION ALL SELECT NULL, NULL, {', '.join('NULL' for _ in GRID_VALUES)}, greatest(4000 - count(*), 0) FROM observed WHERE {LEVEL_SQL.format(c=CI)} = 'Very Low'""",
+    ctes="observed",
+)
 def _(t: Tables) -> DataFrame:
+    """All original rows unchanged, and the number of synthetic ones."""
     labelled = t.grid_observed.withColumn("carbon_bucket", buckets.level_with_range(F.col(CI)))
-    return resample.oversample_with_noise(
+    made = resample.oversample_with_noise(
         labelled, "carbon_bucket", "Very Low (0-100)", 4000, ["zone", "datetime"], [c for c in GRID_VALUES if c != CI]
     )
+    columns = ["zone", "datetime", *GRID_VALUES]
+    original = made.filter(~F.col("is_synthetic")).select(*columns, F.lit(0).cast("long").alias("synthetic_rows"))
+    types = {f.name: f.dataType for f in original.schema.fields}
+    count = made.agg(F.count_if("is_synthetic").alias("synthetic_rows")).select(*[F.lit(None).cast(types[c]).alias(c) for c in columns], "synthetic_rows")
+    return original.unionByName(count)
 
 
 @query(

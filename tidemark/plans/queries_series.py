@@ -182,6 +182,24 @@ def _(t: Tables) -> DataFrame:
     return rolled.drop(*GRID_VALUES, *WEATHER_VALUES)
 
 
+STEPPED = f"CASE WHEN datetime < TIMESTAMP '2024-01-08' THEN {CI} % 10 ELSE {CI} + 1e9 END"
+
+
+@query(
+    "w3_rolling_after_step",
+    "SELECT zone, datetime, "
+    + ", ".join(_rolling_sql("v", s, n) + f" AS v_{s}_{n}h" for n in (4, 12, 17, 24) for s in ("mean", "std", "min", "max"))
+    + f" FROM (SELECT zone, datetime, {STEPPED} AS v FROM grid)",
+    floats=" ".join(f"v_{s}_{n}h" for n in (4, 12, 17, 24) for s in ("mean", "std")),
+    digits=2,
+    ctes="grid",
+)
+def _(t: Tables) -> DataFrame:
+    """Values that jump from below 10 to above 1e9."""
+    stepped = t.grid.select("zone", "datetime", F.expr(STEPPED.replace("1e9", "1e9D")).alias("v"))
+    return features.add_rolling_features(stepped, HOURLY, {"v": {n: features.ALL_STATS for n in (4, 12, 17, 24)}}).drop("v")
+
+
 @query(
     "w4_full_window_std",
     f"""SELECT zone, datetime, CASE WHEN count({LOAD}) OVER w = 24 THEN stddev_samp({LOAD}) OVER w ELSE 0.0 END AS load_variability

@@ -90,40 +90,67 @@ def quarantine(
     )
 
 
-def csv_headers(spark: SparkSession, path: str, first_column: str = "time") -> dict[str, list[str]]:
-    """Files per header line; a read of file names and headers only."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"))
-        .filter((F.col("value") == first_column) | F.col("value").startswith(first_column + ","))
-        .distinct()
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of the CSV files below ``path`` with their file, its block and an order within it."""
+    return (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.csv")
+        .text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+        .withColumn("_line", F.monotonically_increasing_id())
     )
-    headers: dict[str, list[str]] = {}
-    for row in lines.collect():
-        headers.setdefault(row["value"].strip(), []).append(row["file"])
-    return headers
 
 
-def read_csv_folder(spark: SparkSession, path: str, first_column: str = "time") -> DataFrame:
+def csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, header and _first (the header's place) of every CSV file: the first line of its first block."""
+    first = _csv_lines(spark, path).filter((F.col("_block") == 0) & (F.trim("value") != ""))
+    return first.groupBy("file").agg(
+        F.regexp_replace(F.min_by("value", "_line"), "^\ufeff", "").alias("header"), F.min("_line").alias("_first")
+    )
+
+
+def _csv_fields(text: Column, width: int) -> Column:
+    """The fields of one line as an array, quotes resolved."""
+    schema = ", ".join(f"_{i} string" for i in range(width))
+    row = F.from_csv(text, schema, {"quote": '"', "escape": '"'})
+    return F.array(*[row[f"_{i}"] for i in range(width)])
+
+
+def _named_headers(headers: DataFrame) -> tuple[DataFrame, int]:
+    """Headers with ``_columns``, and the largest number of columns (one number on the driver)."""
+    width = headers.agg(F.max(F.size(F.split("header", ","))).alias("n")).first()["n"] or 1
+    names = F.transform(F.filter(_csv_fields(F.col("header"), width), lambda c: c.isNotNull()), lambda c: F.trim(c))
+    return headers.withColumn("_columns", names), width
+
+
+def csv_quarantine(spark: SparkSession, path: str, required: str = "time") -> DataFrame:
+    """file and header of the CSV files that have no ``required`` column."""
+    headers, _width = _named_headers(csv_headers(spark, path))
+    return headers.filter(~F.array_contains("_columns", required)).select("file", "header")
+
+
+def read_csv_folder(spark: SparkSession, path: str, required: str = "time") -> DataFrame:
     """All CSV files below ``path`` by column name, as text, with ``file`` and ``_columns``.
 
-    Files are grouped by header so that each group is one scan. A file without the
-    expected header is skipped.
+    Columns may stand in any order, quoted or not, and differ between files; a column that a file
+    lacks is null. Lines meet the header of their file in a join, so no list of files reaches
+    the driver, only the distinct column names. Files without the ``required`` column are
+    left out and listed by :func:`csv_quarantine`. A quoted line break is not supported.
     """
-    parts = []
-    for header, files in sorted(csv_headers(spark, path, first_column).items()):
-        columns = header.split(",")
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        part = spark.read.schema(schema).option("header", "true").csv(sorted(files))
-        parts.append(
-            part.select("*", F.col("_metadata.file_path").alias("file"), F.array(*[F.lit(c) for c in columns]).alias("_columns"))
-        )
-    if not parts:
+    headers, width = _named_headers(csv_headers(spark, path))
+    good = headers.filter(F.array_contains("_columns", required))
+    columns = sorted(r["c"] for r in good.select(F.explode("_columns").alias("c")).distinct().collect())
+    if not columns:
         raise FileNotFoundError(f"no readable CSV files in {path}")
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part, allowMissingColumns=True)
-    return result
+    lines = _csv_lines(spark, path).filter(F.trim("value") != "")
+    data = lines.join(good, "file").filter((F.col("_block") != 0) | (F.col("_line") != F.col("_first")))
+    split = data.select("file", "_columns", _csv_fields(F.col("value"), width).alias("_fields"))
+
+    def field(name: str) -> Column:
+        at = F.array_position("_columns", F.lit(name))
+        return F.when(at > 0, F.get("_fields", (at - 1).cast("int")))
+
+    return split.select(*[field(c).alias(c) for c in columns], "file", "_columns")
 
 
 def folder_of(path: Column) -> Column:
