@@ -320,6 +320,12 @@ def drift_table(current: DataFrame, baseline: DataFrame, columns: Sequence[str])
     )
 
 
+def drift_flag(drift: DataFrame, limit: float = 0.5) -> DataFrame:
+    """drift_detected: whether any column's mean moved by more than ``limit`` baseline deviations."""
+    moved = F.abs(F.col("mean_change")) > F.lit(limit) * F.col("baseline_std")
+    return drift.agg(F.coalesce(F.bool_or(moved), F.lit(False)).alias("drift_detected"))
+
+
 def population_stability(current: DataFrame, baseline: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """Population stability index per column over the baseline's quantile bins."""
 

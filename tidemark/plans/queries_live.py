@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import half_even
 from tidemark.functions import buckets, parsing
-from tidemark.operators import features, metrics, model
+from tidemark.operators import features, metrics, model, quality
 from tidemark.operators.series import latest_rows
 from tidemark.plans.canonical import GRID_VALUES, HOURLY, ZONES, Tables
 from tidemark.plans.queries_reports import TARGETS
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
 from tidemark.sources import tables
-from tidemark.streaming import hourly, live
+from tidemark.streaming import alerts, hourly, live
 
 CI, LOAD = GRID_VALUES[0], GRID_VALUES[4]
 READING_SCHEMA = "zone string, signal string, datetime string, value double"
@@ -73,9 +73,9 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "x4_rolling_stream",
-    """SELECT zone, window_end, count(*) AS readings, avg(whole) AS mean, stddev_samp(whole) AS std, CAST(min(whole) AS DOUBLE) AS min, CAST(max(whole) AS DOUBLE) AS max
-FROM (SELECT zone, whole, datetime + to_hours(CAST(h AS INTEGER)) AS window_end FROM readings, generate_series(1, 4) g(h))
-WHERE window_end <= (SELECT max(ts) - INTERVAL 2 HOUR FROM readings) GROUP BY zone, window_end""",
+    """SELECT hours, zone, window_end, count(*) AS readings, avg(whole) AS mean, stddev_samp(whole) AS std, CAST(min(whole) AS DOUBLE) AS min, CAST(max(whole) AS DOUBLE) AS max
+FROM (SELECT n.hours, zone, whole, datetime + to_hours(CAST(h AS INTEGER)) AS window_end FROM (VALUES (4), (12), (24)) n(hours), readings, generate_series(1, 24) g(h) WHERE h <= n.hours)
+WHERE window_end <= (SELECT max(ts) - INTERVAL 2 HOUR FROM readings) GROUP BY hours, zone, window_end""",
     floats="mean std",
     digits=5,
     ctes="readings",
@@ -83,7 +83,8 @@ WHERE window_end <= (SELECT max(ts) - INTERVAL 2 HOUR FROM readings) GROUP BY zo
 def _(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "landing")
     land(t, t.readings, path)
-    return streamed(t, hourly.rolling_values(landed_stream(t, path), 4))
+    parts = [streamed(t, hourly.rolling_values(landed_stream(t, path), n)).select(F.lit(n).alias("hours"), "*") for n in (4, 12, 24)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @contextmanager
@@ -98,74 +99,115 @@ def rocksdb(spark):
         spark.conf.set(key, before)
 
 
-LIVE_COLUMNS = [f.name for f in live.OUTPUT.fields]
+LIVE_COLUMNS = [f.name for f in live.OUTPUT.fields if f.name != "status"]
 _W = "OVER (PARTITION BY zone ORDER BY datetime"
+# Held back until a later batch: one hour within the lateness, one beyond it.
+SECOND_BATCH, THIRD_BATCH = "2024-01-15 00:00:00", "2024-01-20 00:00:00"
+IN_TIME, TOO_LATE = "2024-01-14 05:00:00", "2024-01-10 05:00:00"
+
+
+def run_live(t: Tables) -> DataFrame:
+    """All rows that three batches write: two bring late hours, one an hour of the far future."""
+    out = scratch_path(t.spark, "live")
+    hours = t.grid_observed.select("zone", "datetime", F.col(CI).alias("value"))
+    at = {name: F.lit(name).cast("timestamp") for name in (SECOND_BATCH, THIRD_BATCH, IN_TIME, TOO_LATE)}
+    ts = F.col("datetime")
+    arrives = (
+        F.when(ts == at[IN_TIME], 2).when(ts == at[TOO_LATE], 3).when(ts < at[SECOND_BATCH], 1).when(ts < at[THIRD_BATCH], 2).otherwise(3)
+    )
+    future = hours.select("zone", F.lit("2199-01-01").cast("timestamp").alias("datetime"), F.lit(1.0).alias("value")).distinct()
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
+
+    for n in (1, 2, 3):
+        part = hours.filter(arrives == n)
+        (part.unionByName(future) if n == 2 else part).coalesce(1).write.mode("append").parquet(f"{out}/hours")
+        with rocksdb(t.spark):
+            stream = t.spark.readStream.schema("zone string, datetime timestamp, value double").parquet(f"{out}/hours")
+            running = (
+                live.live_features(stream)
+                .writeStream.foreachBatch(write)
+                .outputMode("update")
+                .option("checkpointLocation", f"{out}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+            )
+            running.awaitTermination()
+    return t.spark.read.parquet(f"{out}/table")
 
 
 @query(
     "x5_live_features",
-    f"""SELECT * FROM (SELECT zone, datetime, {CI} AS value, """
-    + ", ".join(f"lag({CI}, {n}) {_W}) AS lag_{n}h" for n in live.LAGS)
+    """SELECT * FROM (SELECT zone, datetime, v AS value, """
+    + ", ".join(f"lag(v, {n}) {_W}) AS lag_{n}h" for n in live.LAGS)
     + ", "
-    + ", ".join(f"avg({CI}) {_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS rolling_mean_{n}h" for n in live.WINDOWS)
-    + f", stddev_samp({CI}) {_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS rolling_std_24h FROM axis) WHERE value IS NOT NULL",
+    + ", ".join(f"avg(v) {_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS rolling_mean_{n}h" for n in live.WINDOWS)
+    + f""", stddev_samp(v) {_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS rolling_std_24h, v - lag(v) {_W}) AS carbon_change_1h
+FROM (SELECT zone, datetime, CASE WHEN datetime <> TIMESTAMP '{TOO_LATE}' THEN {CI} END AS v FROM axis)) WHERE value IS NOT NULL""",
     floats="rolling_mean_4h rolling_mean_12h rolling_mean_24h rolling_std_24h",
     digits=5,
     ctes="axis",
 )
 def _(t: Tables) -> DataFrame:
-    out = scratch_path(t.spark, "live")
-    t.grid_observed.select("zone", "datetime", F.col(CI).alias("value")).write.parquet(f"{out}/hours")
-    hours = t.spark.readStream.schema("zone string, datetime timestamp, value double").parquet(f"{out}/hours")
+    return live.newest_rows(run_live(t)).select(*LIVE_COLUMNS)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
 
-    with rocksdb(t.spark):
-        running = (
-            live.live_features(hours)
-            .writeStream.foreachBatch(write)
-            .outputMode("update")
-            .option("checkpointLocation", f"{out}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        running.awaitTermination()
-    return t.spark.read.parquet(f"{out}/table").select(*LIVE_COLUMNS)
+@query(
+    "x5_hours_not_taken",
+    f"""SELECT zone, count(*) FILTER (datetime = TIMESTAMP '{TOO_LATE}') AS late, 1::BIGINT AS ahead FROM observed GROUP BY zone""",
+    ctes="observed",
+)
+def _(t: Tables) -> DataFrame:
+    return run_live(t).groupBy("zone").agg(*[F.count_if(F.col("status") == s).alias(s) for s in (live.LATE, live.AHEAD)])
 
 
 @query(
     "x6_gated_batches",
-    """SELECT zone, 'good' AS outcome, count(*) AS rows FROM readings WHERE whole > 0 GROUP BY zone
-UNION ALL SELECT zone, 'quarantine', count(*) FROM readings WHERE whole <= 0 GROUP BY zone""",
+    f"""WITH l AS (SELECT zone, date_trunc('day', datetime) AS day, CASE WHEN k <> 13 THEN datetime END AS dt, CASE WHEN k >= 30 THEN whole END AS v FROM readings),
+s AS (SELECT zone, day, count(*) AS n, count(*) FILTER (dt IS NULL) AS bad, avg(CAST(v IS NULL AS INTEGER)) AS rate FROM l GROUP BY ALL),
+r AS (SELECT zone, day, sum(c - 1) AS dup FROM (SELECT zone, day, dt, count(*) AS c FROM l GROUP BY ALL) GROUP BY ALL),
+i AS (SELECT *, CAST(bad > 0 AS INTEGER) + CAST(dup > 0 AS INTEGER) + CAST(rate > 0.5 AS INTEGER) AS issues FROM s JOIN r USING (zone, day))
+SELECT zone, CASE WHEN issues = 0 THEN 'good' ELSE 'quarantine' END AS outcome, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(issues) AS BIGINT) AS issues FROM i GROUP BY 1, 2""",
     ctes="readings",
 )
 def _(t: Tables) -> DataFrame:
+    """Each micro-batch runs the landing checks; files with an issue are quarantined, issues go to a table."""
     out = scratch_path(t.spark, "gate")
-    land(t, t.readings, f"{out}/landing")
-    valid = F.col("datetime").isNotNull() & (F.col("value") > 0)
-    hourly.gate_batches(
-        landed_stream(t, f"{out}/landing"), valid, f"{out}/good", f"{out}/quarantine", f"{out}/checkpoint"
-    ).awaitTermination()
-    parts = [t.spark.read.parquet(f"{out}/{p}").groupBy("zone").agg(F.lit(p).alias("outcome"), F.count(F.lit(1)).alias("rows")) for p in ("good", "quarantine")]
-    return parts[0].unionByName(parts[1])
+    record = F.struct(
+        F.when(F.col("k") == 13, "yesterday").otherwise(parsing.format_iso_z(F.col("datetime"))).alias("datetime"),
+        F.when(F.col("k") < 30, "n/a").otherwise(F.col("whole").cast("string")).alias("value"),
+    )
+    t.readings.select("zone", F.date_format("datetime", "yyyyMMdd").alias("file"), F.to_json(record).alias("value")).write.json(f"{out}/landing")
+    lines = t.spark.readStream.schema("zone string, file string, value string").json(f"{out}/landing")
+    records = quality.file_records(lines.withColumn("signal", F.concat(F.lit("day-"), "file")))
+
+    def check(batch: DataFrame) -> DataFrame:
+        return quality.grid_file_issues(batch.select("zone", "signal", "file", "record"), batch.select("zone", "signal").distinct())
+
+    hourly.gate_files(records, check, ["zone", "signal", "file"], f"{out}/good", f"{out}/quarantine", f"{out}/issues", f"{out}/checkpoint").awaitTermination()
+    counts = [t.spark.read.parquet(f"{out}/{p}").groupBy("zone").agg(F.lit(p).alias("outcome"), F.count(F.lit(1)).alias("rows")) for p in ("good", "quarantine")]
+    issues = t.spark.read.parquet(f"{out}/issues").groupBy("zone").agg(F.count(F.lit(1)).alias("issues")).withColumn("outcome", F.lit("quarantine"))
+    return counts[0].unionByName(counts[1]).join(issues, ["zone", "outcome"], "left").fillna(0, ["issues"])
 
 
 @query(
     "x7_violation_sessions",
-    """WITH v AS (SELECT zone, ts, lag(ts) OVER (PARTITION BY zone ORDER BY ts) AS p FROM readings WHERE whole >= 20),
-g AS (SELECT zone, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY zone ORDER BY ts) AS grp FROM v)
-SELECT zone, min(ts) AS started_at, max(ts) AS last_seen, count(*) AS samples FROM g GROUP BY zone, grp
-HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM readings WHERE whole >= 20)""",
+    """WITH s AS (SELECT zone, ts, max(whole) AS v FROM readings GROUP BY zone, ts),
+p AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY ts) AS pos, max(ts) OVER (PARTITION BY zone) - INTERVAL 2 HOUR AS judged FROM s),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY zone ORDER BY ts) AS grp FROM p WHERE v >= 20 AND ts <= judged),
+e AS (SELECT zone, max(ts) AS last_good FROM p WHERE v < 20 AND ts <= judged GROUP BY zone)
+SELECT g.zone, min(ts) AS started_at, max(ts) AS last_seen, CAST(max(v) AS DOUBLE) AS worst_value FROM g JOIN e ON g.zone = e.zone
+GROUP BY g.zone, grp HAVING epoch(max(ts)) - epoch(min(ts)) >= 1800 AND max(ts) < max(last_good)""",
     ctes="readings",
 )
 def _(t: Tables) -> DataFrame:
+    """Ended runs of values of 20 or more that held for half an hour; a lower value ends a run."""
     path = scratch_path(t.spark, "landing")
-    land(t, t.readings, path)
-    sessions = hourly.violation_sessions(
-        landed_stream(t, path), F.col("value") >= 20, ("zone",), "1 hour", "2 hours", "datetime"
-    )
-    return streamed(t, sessions)
+    land(t, t.readings.groupBy("zone", "ts").agg(F.max("whole").alias("whole")), path)
+    with rocksdb(t.spark):
+        found = streamed(t, alerts.held_intervals(landed_stream(t, path), "zone", F.col("value") >= 20, 1800, 7200, "datetime"))
+    return found.withColumnRenamed("key", "zone")
 
 
 @query(

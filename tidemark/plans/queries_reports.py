@@ -773,8 +773,12 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "m15_metric_alerts",
-    f"""WITH {CHANGE_SQL}, m AS (SELECT 'mae' AS metric, CAST(horizon_hours AS VARCHAR) AS label, mae AS value FROM ms WHERE model = 'gbt_tuned'
-  UNION ALL SELECT 'mae_pct_change', CAST(horizon AS VARCHAR), pct_change FROM ch UNION ALL SELECT 'drift_detected', 'all', 1.0 UNION ALL SELECT 'bias_critical_count', 'all', 3.0)
+    f"""WITH {CHANGE_SQL}, half AS (SELECT CASE WHEN datetime < TIMESTAMP '1999-01-01' THEN 0 ELSE 1 END AS h, actual FROM scores),
+moments AS (SELECT avg(actual) FILTER (h = 0) AS m0, avg(actual) FILTER (h = 1) AS m1, stddev_samp(actual) FILTER (h = 0) AS s0 FROM half),
+drift AS (SELECT CASE WHEN abs(m1 - m0) > 0.01 * s0 THEN 1.0 ELSE 0.0 END AS d FROM moments),
+crit AS (SELECT CAST(count(*) FILTER (abs(round_even((predicted - actual) / 64 * 100, 1)) > 80) AS DOUBLE) AS c FROM scores),
+m AS (SELECT 'mae' AS metric, CAST(horizon_hours AS VARCHAR) AS label, mae AS value FROM ms WHERE model = 'gbt_tuned'
+  UNION ALL SELECT 'mae_pct_change', CAST(horizon AS VARCHAR), pct_change FROM ch UNION ALL SELECT 'drift_detected', 'all', d FROM drift UNION ALL SELECT 'bias_critical_count', 'all', c FROM crit)
 SELECT metric, label, value, 'ModelDecayWarning' AS rule, 'warning' AS severity FROM m WHERE metric = 'mae_pct_change' AND value > 0.20
 UNION ALL SELECT metric, label, value, 'ModelDecayCritical', 'critical' FROM m WHERE metric = 'mae_pct_change' AND value > 0.35
 UNION ALL SELECT metric, label, value, 'DataDriftDetected', 'critical' FROM m WHERE metric = 'drift_detected' AND value = 1
@@ -784,9 +788,13 @@ UNION ALL SELECT metric, label, value, 'BiasCheckFailed', 'warning' FROM m WHERE
     ctes="scores",
 )
 def _(t: Tables) -> DataFrame:
-    one = t.scores.agg(F.lit(True).alias("drift_detected"), F.lit(3).alias("critical"), F.max("datetime").alias("ts"))
+    """Drift comes from the profiles of two halves, the critical count from the deviations."""
+    later = F.col("datetime") >= F.lit("1999-01-01").cast("timestamp")
+    drift = quality.drift_flag(quality.drift_table(t.scores.filter(later), t.scores.filter(~later), ["actual"]), 0.01)
+    deviation = signed_percent((F.col("predicted") - F.col("actual")) / 64)
+    critical = metrics.critical_count(t.scores.select(deviation.alias("pct_deviation")))
     tuned = model_scores(t).filter(F.col("model_type") == "gbt_tuned")
-    table = decisions.metric_table(F.current_timestamp(), tuned, changes(t), one, one)
+    table = decisions.metric_table(F.current_timestamp(), tuned, changes(t), drift, critical)
     return decisions.evaluate_rules(table)
 
 
@@ -909,16 +917,20 @@ def _(t: Tables) -> DataFrame:
     return planned(t).groupBy("zone", "runtime_hours", "hours_to_wait").agg(F.count(F.lit(1)).alias("jobs"))
 
 
+def _one_digit(value: str) -> str:
+    """One digit of the shortest decimal form, ties upwards."""
+    return f"CAST(CAST(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38, 20)) AS DECIMAL(28, 1)) AS VARCHAR)"
+
+
 @query(
     "f14_recommendation",
-    f"""WITH {PLAN_SQL} SELECT job_id, CASE WHEN hours_to_wait > 0 THEN 'Wait ' || hours_to_wait || ' hours — start at ' || strftime(recommended_start, '%Y-%m-%d %H:%M:%S') WHEN hours_to_wait = 0 THEN 'Run now — this is already the optimal window' END AS advice FROM plan""",
+    f"""WITH {PLAN_SQL}, raw AS (SELECT job_id, b.pos AS wait, b.dt AS start, now_m * energy_kwh / 1000 - b.m * energy_kwh / 1000 AS saved, now_m * energy_kwh / 1000 AS now_kg FROM jobs j LEFT JOIN best b USING (job_id))
+SELECT job_id, CASE WHEN wait > 0 THEN 'Wait ' || wait || ' hours — start at ' || strftime(start, '%Y-%m-%d %H:%M:%S') || '. Save ' || {_one_digit('saved')}
+  || ' kg CO₂ (' || {_one_digit('CASE WHEN now_kg > 0 THEN saved / now_kg * 100 ELSE 0 END')} || '% reduction).' WHEN wait = 0 THEN 'Run now — this is already the optimal window.' END AS advice FROM raw""",
     ctes="forecasts jobs",
 )
 def _(t: Tables) -> DataFrame:
-    """The text up to its first full stop followed by a space or the end; the numbers are in the plan query."""
-    return planned(t).select("job_id", F.regexp_extract("recommendation", r"^(.*?)\.(?: |$)", 1).alias("advice")).withColumn(
-        "advice", F.nullif(F.col("advice"), F.lit(""))
-    )
+    return planned(t).select("job_id", F.col("recommendation").alias("advice"))
 
 
 @query(

@@ -20,6 +20,9 @@ SIGNALS = {
     "carbon-intensity": CI,
     "carbon-free-energy": GRID_VALUES[1],
     "total-load": LOAD,
+    "renewable-energy": GRID_VALUES[3],
+    "fossil-carbon-intensity": GRID_VALUES[2],
+    "net-load": GRID_VALUES[5],
 }
 
 
@@ -32,6 +35,9 @@ def signal_readings(t: Tables) -> DataFrame:
             F.col("user_id") > 20,
             F.struct(F.lit("total-load").alias("signal"), F.col("user_id").cast("double").alias("value")),
         ),
+        F.when(F.col("k") >= 30, F.struct(F.lit("renewable-energy").alias("signal"), F.col("k").cast("double").alias("value"))),
+        F.when(F.col("whole") > 10, F.struct(F.lit("fossil-carbon-intensity").alias("signal"), F.col("whole").cast("double").alias("value"))),
+        F.when(F.col("user_id") <= 60, F.struct(F.lit("net-load").alias("signal"), F.col("user_id").cast("double").alias("value"))),
     )
     return t.readings.select("zone", "datetime", "event_id", F.inline(F.array_compact(pairs)))
 
@@ -40,13 +46,19 @@ SIGNAL_SQL = """
 signals AS (
   SELECT zone, datetime, event_id, 'carbon-intensity' AS signal, CAST(whole AS DOUBLE) AS value FROM readings
   UNION ALL SELECT zone, datetime, event_id, 'carbon-free-energy', CAST(k AS DOUBLE) FROM readings WHERE k < 50
-  UNION ALL SELECT zone, datetime, event_id, 'total-load', CAST(user_id AS DOUBLE) FROM readings WHERE user_id > 20),
+  UNION ALL SELECT zone, datetime, event_id, 'total-load', CAST(user_id AS DOUBLE) FROM readings WHERE user_id > 20
+  UNION ALL SELECT zone, datetime, event_id, 'renewable-energy', CAST(k AS DOUBLE) FROM readings WHERE k >= 30
+  UNION ALL SELECT zone, datetime, event_id, 'fossil-carbon-intensity', CAST(whole AS DOUBLE) FROM readings WHERE whole > 10
+  UNION ALL SELECT zone, datetime, event_id, 'net-load', CAST(user_id AS DOUBLE) FROM readings WHERE user_id <= 60),
 firsts AS (SELECT * FROM signals QUALIFY row_number() OVER (PARTITION BY zone, datetime, signal ORDER BY event_id) = 1),
 a AS (SELECT zone, datetime, value AS carbon_intensity_gco2_per_kwh FROM firsts WHERE signal = 'carbon-intensity'),
 b AS (SELECT zone, datetime, value AS carbon_free_energy_pct FROM firsts WHERE signal = 'carbon-free-energy'),
-c AS (SELECT zone, datetime, value AS total_load_mw FROM firsts WHERE signal = 'total-load')
+c AS (SELECT zone, datetime, value AS total_load_mw FROM firsts WHERE signal = 'total-load'),
+d AS (SELECT zone, datetime, value AS renewable_energy_pct FROM firsts WHERE signal = 'renewable-energy'),
+e AS (SELECT zone, datetime, value AS carbon_intensity_fossil_gco2_per_kwh FROM firsts WHERE signal = 'fossil-carbon-intensity'),
+f AS (SELECT zone, datetime, value AS net_load_mw FROM firsts WHERE signal = 'net-load')
 """
-SIGNAL_JOIN_SQL = f"WITH {SIGNAL_SQL} SELECT * FROM a FULL JOIN b USING (zone, datetime) FULL JOIN c USING (zone, datetime)"
+SIGNAL_JOIN_SQL = f"WITH {SIGNAL_SQL} SELECT * FROM a FULL JOIN b USING (zone, datetime) FULL JOIN c USING (zone, datetime) FULL JOIN d USING (zone, datetime) FULL JOIN e USING (zone, datetime) FULL JOIN f USING (zone, datetime)"
 
 
 @query("j1_signal_full_outer", SIGNAL_JOIN_SQL, ctes="readings")

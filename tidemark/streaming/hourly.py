@@ -63,17 +63,6 @@ def join_weather(grid: DataFrame, weather: DataFrame, delay: str = "2 hours") ->
     return left.join(right, ["zone", "datetime"], "inner")
 
 
-def violation_sessions(samples: DataFrame, bad: Column, keys: tuple[str, ...], gap: str, delay: str, time: str = "ts") -> DataFrame:
-    """Spans of violating samples that follow each other within ``gap``."""
-    return (
-        samples.filter(bad)
-        .withWatermark(time, delay)
-        .groupBy(*keys, F.session_window(time, gap))
-        .agg(F.min(time).alias("started_at"), F.max(time).alias("last_seen"), F.count(F.lit(1)).alias("samples"))
-        .select(*keys, "started_at", "last_seen", "samples")
-    )
-
-
 def gate_batches(
     stream: DataFrame,
     valid: Column,
@@ -104,6 +93,37 @@ def gate_batches(
     )
 
 
+def gate_files(
+    stream: DataFrame,
+    check: Callable[[DataFrame], DataFrame],
+    keys: list[str],
+    good_path: str,
+    quarantine_path: str,
+    issues_path: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Run the landing checks on each micro-batch and part its files by the outcome.
+
+    ``check`` gives the issues of a batch, with the ``keys`` of a file. All rows of a file with an
+    issue are quarantined; the issues become a table. Every output has a folder per batch, so
+    a replayed batch replaces its rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Three writes read the batch; keep it for the length of this call.
+        batch = batch.persist()
+        issues = check(batch)
+        issues.write.mode("overwrite").parquet(f"{issues_path}/batch={batch_id}")
+        found = batch.sparkSession.read.schema(issues.schema).parquet(f"{issues_path}/batch={batch_id}").select(*keys).distinct()
+        batch.join(found, keys, "left_anti").write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
+        batch.join(found, keys, "left_semi").write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
+        batch.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def write_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything that has landed into Parquet, then stop."""
     return (
