@@ -151,6 +151,26 @@ def clean_series(
     return training_window(clipped, *window, time=series.time) if window else clipped
 
 
+def clean_signals(
+    long: DataFrame,
+    signals: Mapping[str, str],
+    order: Sequence[str],
+    series: Series,
+    ranges: Mapping[str, tuple[float, float]],
+    dimension: DataFrame | None = None,
+    dimension_columns: Sequence[str] = (),
+    window: tuple[str, str] | None = None,
+) -> DataFrame:
+    """From long (key, time, signal, value) readings to the clean wide table.
+
+    Signals are pivoted and their repeats resolved to the first in ``order`` by one aggregate; then
+    axis, fill, clip, zone mapping and the date window.
+    """
+    wide = pivot_signals(long, signals, order, (*series.keys, series.time))
+    table = clean_series(wide, series, list(signals.values()), ranges, window)
+    return map_zone(table, dimension, dimension_columns, series.keys[0]) if dimension is not None else table
+
+
 def merge_on_key(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("zone", "datetime")) -> DataFrame:
     return left.join(right, list(keys), "inner")
 

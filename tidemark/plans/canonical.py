@@ -184,11 +184,11 @@ _FILL = """coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY zone ORDER B
   first_value({c} IGNORE NULLS) OVER (PARTITION BY zone ORDER BY datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}"""
 
 
-def _filled(columns: tuple[str, ...], source: str) -> str:
+def filled_sql(columns: tuple[str, ...], source: str) -> str:
     return "SELECT zone, datetime, " + ",\n".join(_FILL.format(c=c) for c in columns) + f"\nFROM {source}"
 
 
-def _axis(source: str) -> str:
+def axis_sql(source: str) -> str:
     return f"""SELECT a.zone, a.datetime, o.* EXCLUDE (zone, datetime) FROM (
   SELECT zone, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS datetime
   FROM (SELECT zone, min(datetime) AS lo, max(datetime) AS hi FROM {source} GROUP BY zone)) a
@@ -213,8 +213,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   CAST(sum(user_id) - 10 * count(*) AS DOUBLE) AS net_load_mw
 FROM readings GROUP BY zone, datetime""",
     ),
-    "axis": (("observed",), _axis("observed")),
-    "grid": (("axis",), _filled(GRID_VALUES, "axis")),
+    "axis": (("observed",), axis_sql("observed")),
+    "grid": (("axis",), filled_sql(GRID_VALUES, "axis")),
     "weather": (
         (),
         """SELECT list_extract(['click','error','purchase','signup','view'], CAST(l_partkey % 5 + 1 AS INTEGER)) AS zone,
@@ -228,8 +228,8 @@ FROM readings GROUP BY zone, datetime""",
   CAST(sum(l_suppkey) % 100 AS DOUBLE) AS weather_code
 FROM lineitem GROUP BY 1, 2""",
     ),
-    "weather_axis": (("weather",), _axis("weather")),
-    "weather_filled": (("weather_axis",), _filled(WEATHER_VALUES, "weather_axis")),
+    "weather_axis": (("weather",), axis_sql("weather")),
+    "weather_filled": (("weather_axis",), filled_sql(WEATHER_VALUES, "weather_axis")),
     "merged": (("grid", "weather_filled"), "SELECT * FROM grid JOIN weather_filled USING (zone, datetime)"),
     "daily": (
         (),
@@ -256,10 +256,10 @@ FROM orders""",
   CAST(count(*) AS DOUBLE) AS total_load_mw, CAST(max(k) AS DOUBLE) AS temperature_2m_c, CAST(min(k) AS DOUBLE) AS wind_speed_100m_ms
 FROM readings GROUP BY 1, 2""",
     ),
-    "user_axis": (("user_hours",), _axis("user_hours")),
+    "user_axis": (("user_hours",), axis_sql("user_hours")),
     "user_series": (
         ("user_axis",),
-        _filled((GRID_VALUES[0], GRID_VALUES[4], WEATHER_VALUES[0], WEATHER_VALUES[1]), "user_axis"),
+        filled_sql((GRID_VALUES[0], GRID_VALUES[4], WEATHER_VALUES[0], WEATHER_VALUES[1]), "user_axis"),
     ),
     "forecasts": (
         ("grid",),

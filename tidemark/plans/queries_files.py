@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import parsing
-from tidemark.operators import profile, quality, split
-from tidemark.plans.canonical import GRID_VALUES, TRAIN_END, VAL_END, WEATHER_VALUES, Tables
+from tidemark.operators import clean, features, profile, quality, split
+from tidemark.operators.series import regularise_and_fill
+from tidemark.plans.canonical import GRID_VALUES, HOURLY, TRAIN_END, VAL_END, WEATHER_VALUES, Tables, axis_sql, filled_sql
 from tidemark.plans.queries_reports import DISTRIBUTION_FLOATS, DISTRIBUTION_SQL, SLICED_SQL, audit, sliced
+from tidemark.plans.queries_series import SIGNAL_SQL, SIGNALS, signal_readings
 from tidemark.plans.queries_tables import RAW_SQL, SPLIT_CASE, raw_signal
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
 from tidemark.sources import chunks, landing, tables
 
-CI = GRID_VALUES[0]
+CI, LOAD = GRID_VALUES[0], GRID_VALUES[4]
 SIGNAL_SCHEMA = "event_id long, datetime string, carbonIntensity string"
 
 
@@ -83,6 +85,58 @@ def _(t: Tables) -> DataFrame:
     return rows.select("zone", "time", *[parsing.to_number(F.col(c)).alias(c) for c in WEATHER_VALUES])
 
 
+RANGES = {CI: (5.0, 30.0), LOAD: (10.0, 80.0)}
+CLEAN_WINDOW = ("2024-01-03", "2024-01-27")
+
+
+def _clipped(c: str) -> str:
+    low, high = RANGES[c]
+    return f"CASE WHEN {c} IS NOT NULL THEN greatest({low}, least({high}, {c})) END AS {c}"
+
+
+E2E_SQL = f"""WITH {SIGNAL_SQL},
+joined AS (SELECT * FROM a FULL JOIN b USING (zone, datetime) FULL JOIN c USING (zone, datetime) FULL JOIN d USING (zone, datetime) FULL JOIN e USING (zone, datetime) FULL JOIN f USING (zone, datetime)),
+steps AS ({axis_sql('joined')}), whole AS ({filled_sql(GRID_VALUES, 'steps')}),
+cleaned AS (SELECT * REPLACE ({_clipped(CI)}, {_clipped(LOAD)}) FROM whole WHERE datetime >= TIMESTAMP '{CLEAN_WINDOW[0]}' AND datetime < TIMESTAMP '{CLEAN_WINDOW[1]}' + INTERVAL 1 DAY),
+both_sides AS (SELECT c.*, v.temperature_2m_c, v.cloud_cover_pct FROM cleaned c JOIN weather_filled v USING (zone, datetime)),
+made AS (SELECT zone, datetime, {CI}, {LOAD}, temperature_2m_c, lag({CI}, 24) OVER w AS l24, avg({CI}) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS m24, lead({CI}, 12) OVER w AS carbon_intensity_target_12h
+  FROM both_sides WINDOW w AS (PARTITION BY zone ORDER BY datetime))
+SELECT zone, datetime, CASE WHEN zone < 'p' THEN upper(zone) ELSE 'unknown' END AS cloud_region, {CI}, {LOAD}, temperature_2m_c,
+  coalesce(l24, first_value(l24 IGNORE NULLS) OVER (PARTITION BY zone ORDER BY datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS {CI}_lag_24h,
+  m24 AS {CI}_mean_24h, carbon_intensity_target_12h,
+  CASE WHEN datetime <= TIMESTAMP '2024-01-18' THEN 'train' WHEN datetime <= TIMESTAMP '2024-01-23' THEN 'val' ELSE 'test' END AS split
+FROM made WHERE carbon_intensity_target_12h IS NOT NULL"""
+
+
+@query("e1_files_to_splits", E2E_SQL, floats=f"{CI}_mean_24h", digits=5, ctes="readings weather_filled")
+def _(t: Tables) -> DataFrame:
+    """Landed signal lines and weather files to clean, merged, featured, labelled and split rows."""
+    path = scratch_path(t.spark, "e2e")
+    line = F.to_json(F.struct("event_id", parsing.format_iso_z(F.col("datetime")).alias("datetime"), F.col("value").cast("string").alias("value")))
+    signal_readings(t).select("zone", "signal", line.alias("line")).write.partitionBy("zone", "signal").text(f"{path}/signals")
+    lines = landing.read_jsonl(t.spark, f"{path}/signals", "event_id long, datetime string, value string", pattern="*.txt")
+    long = lines.select(
+        F.regexp_extract("file", "zone=([^/]+)/", 1).alias("zone"),
+        F.regexp_extract("file", "signal=([^/]+)/", 1).alias("signal"),
+        parsing.parse_utc(F.col("datetime")).alias("datetime"),
+        parsing.to_number(F.col("value")).alias("value"),
+        "event_id",
+    )
+    zones = t.readings.filter(F.col("zone") < "p").select("zone", F.upper("zone").alias("cloud_region")).distinct()
+    grid = clean.clean_signals(long, SIGNALS, ["event_id"], HOURLY, RANGES, zones, ["cloud_region"], CLEAN_WINDOW)
+    folders = t.readings.select("zone", F.concat(F.lit("location="), "zone").alias("folder")).distinct()
+    rows = landing.tag_zone(landing.read_csv_folder(t.spark, landed_csv(t)), folders)
+    hours = rows.select("zone", F.to_timestamp("time").alias("datetime"), *[parsing.to_number(F.col(c)).alias(c) for c in WEATHER_VALUES])
+    weather = regularise_and_fill(clean.keep_first(hours, ["zone", "datetime"], list(WEATHER_VALUES)), HOURLY, WEATHER_VALUES)
+    stage = f"{path}/merged"
+    tables.write_table(clean.merge_on_key(grid, weather), stage)
+    ready = features.add_targets(features.build_features(t.spark.read.parquet(stage)), HOURLY, CI, [12])
+    done = split.assign_split(split.drop_unlabelled(ready), "2024-01-18", "2024-01-23")
+    return done.select(
+        "zone", "datetime", "cloud_region", CI, LOAD, "temperature_2m_c", f"{CI}_lag_24h", f"{CI}_mean_24h", "carbon_intensity_target_12h", "split"
+    )
+
+
 def file_names(t: Tables) -> DataFrame:
     """The landing file each event would arrive in: one per zone, signal and day."""
     day = F.date_trunc("day", "datetime")

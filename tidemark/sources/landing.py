@@ -90,61 +90,48 @@ def quarantine(
     )
 
 
-def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """All lines of the CSV files below ``path`` with their file, its block and an order within it."""
-    return (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
-        .withColumn("_line", F.monotonically_increasing_id())
-    )
+def _csv_fields(line: Column) -> Column:
+    """The fields of one CSV line as an array, quotes resolved; an empty field is null."""
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("([^"]|"")*"|[^,]*)'), F.lit(1))
+    plain = lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(parts, lambda x: F.nullif(plain(x), F.lit("")))
 
 
-def csv_headers(spark: SparkSession, path: str) -> DataFrame:
-    """file, header and _first (the header's place) of every CSV file: the first line of its first block."""
-    first = _csv_lines(spark, path).filter((F.col("_block") == 0) & (F.trim("value") != ""))
-    return first.groupBy("file").agg(
-        F.regexp_replace(F.min_by("value", "_line"), "^\ufeff", "").alias("header"), F.min("_line").alias("_first")
+def _csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """file, its lines, and _columns, the names in its first line."""
+    whole = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.csv")
+        .text(path, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
+        .filter(F.size("lines") > 0)
     )
-
-
-def _csv_fields(text: Column, width: int) -> Column:
-    """The fields of one line as an array, quotes resolved."""
-    schema = ", ".join(f"_{i} string" for i in range(width))
-    row = F.from_csv(text, schema, {"quote": '"', "escape": '"'})
-    return F.array(*[row[f"_{i}"] for i in range(width)])
-
-
-def _named_headers(headers: DataFrame) -> tuple[DataFrame, int]:
-    """Headers with ``_columns``, and the largest number of columns (one number on the driver)."""
-    width = headers.agg(F.max(F.size(F.split("header", ","))).alias("n")).first()["n"] or 1
-    names = F.transform(F.filter(_csv_fields(F.col("header"), width), lambda c: c.isNotNull()), lambda c: F.trim(c))
-    return headers.withColumn("_columns", names), width
+    names = _csv_fields(F.regexp_replace(F.get("lines", F.lit(0)), "^\ufeff", ""))
+    return whole.withColumn("_columns", F.transform(names, lambda c: F.coalesce(F.trim(c), F.lit(""))))
 
 
 def csv_quarantine(spark: SparkSession, path: str, required: str = "time") -> DataFrame:
     """file and header of the CSV files that have no ``required`` column."""
-    headers, _width = _named_headers(csv_headers(spark, path))
-    return headers.filter(~F.array_contains("_columns", required)).select("file", "header")
+    bad = _csv_files(spark, path).filter(~F.array_contains("_columns", required))
+    return bad.select("file", F.get("lines", F.lit(0)).alias("header"))
 
 
-def read_csv_folder(spark: SparkSession, path: str, required: str = "time") -> DataFrame:
+def read_csv_folder(spark: SparkSession, path: str, required: str = "time", columns: Sequence[str] | None = None) -> DataFrame:
     """All CSV files below ``path`` by column name, as text, with ``file`` and ``_columns``.
 
     Columns may stand in any order, quoted or not, and differ between files; a column that a file
-    lacks is null. Lines meet the header of their file in a join, so no list of files reaches
-    the driver, only the distinct column names. Files without the ``required`` column are
-    left out and listed by :func:`csv_quarantine`. A quoted line break is not supported.
+    lacks is null. Each file is read whole by one task, as landing files hold one delivery each, so
+    every line meets the header of its own file. ``columns`` names the wanted ones; without it a first scan
+    collects the distinct names, never the files. Files without the ``required`` column are left
+    out and listed by :func:`csv_quarantine`. A quoted line break is not supported.
     """
-    headers, width = _named_headers(csv_headers(spark, path))
-    good = headers.filter(F.array_contains("_columns", required))
-    columns = sorted(r["c"] for r in good.select(F.explode("_columns").alias("c")).distinct().collect())
+    good = _csv_files(spark, path).filter(F.array_contains("_columns", required))
+    if columns is None:
+        columns = sorted(r["c"] for r in good.select(F.explode("_columns").alias("c")).distinct().collect())
     if not columns:
         raise FileNotFoundError(f"no readable CSV files in {path}")
-    lines = _csv_lines(spark, path).filter(F.trim("value") != "")
-    data = lines.join(good, "file").filter((F.col("_block") != 0) | (F.col("_line") != F.col("_first")))
-    split = data.select("file", "_columns", _csv_fields(F.col("value"), width).alias("_fields"))
+    lines = good.select("file", "_columns", F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("_line"))
+    split = lines.select("file", "_columns", _csv_fields(F.col("_line")).alias("_fields"))
 
     def field(name: str) -> Column:
         at = F.array_position("_columns", F.lit(name))
