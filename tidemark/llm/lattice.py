@@ -235,6 +235,27 @@ def word_table(docs: DataFrame, model_file: str) -> DataFrame:
     return words.select("word", "c", (lattice("word") * (1 - END_MASS)).alias("lattice"))
 
 
+def frequent_words(table: DataFrame, totals: Totals, head: int) -> dict[bytes, tuple[float, float]]:
+    """Count and probability of the words above a count that at most ``head`` words reach.
+
+    The limit comes from the sizes of count classes, eight to a power of two: a few hundred rows.
+    """
+    classes = table.where("c > 0").withColumn("class", F.floor(F.log2("c") * 8).cast("int"))
+    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("class").desc()).collect()
+    least, held = None, 0
+    for r in sizes:
+        held += r["n"]
+        if held > head:
+            break
+        least = r["class"]
+    if least is None:
+        return {}
+    found = classes.where(F.col("class") >= least).select("word", "c", "lattice").toArrow()
+    counts = found["c"].to_numpy().astype(float)
+    probability = totals.probability(counts, found["lattice"].to_numpy())
+    return {w.encode(): pair for w, pair in zip(found["word"].to_pylist(), zip(counts.tolist(), probability.tolist()))}
+
+
 def document_terms(words: list[bytes], known: dict[bytes, tuple[float, float]], totals: Totals, copy: float):
     """Known tokens, base and score of the words in ``known`` and the end; the other words with their copy shares.
 
@@ -308,10 +329,7 @@ def score_documents(docs: DataFrame, model_file: str, folds: int = 7, held: int
     found = table.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     documents = source.where(~F.col("held_out")).count()
     totals = Totals((found["n"] or 0) + documents, (found["v"] or 0) + (documents > 0), documents)
-    top = table.orderBy(F.col("c").desc(), "word").limit(head).toPandas()
-    probability = totals.probability(top["c"].to_numpy(float), top["lattice"].to_numpy(float))
-    known = {w.encode(): (float(c), float(p)) for w, c, p in zip(top["word"], top["c"], probability)}
-    shared = spark.sparkContext.broadcast(known)
+    shared = spark.sparkContext.broadcast(frequent_words(table, totals, head))
     scored = stored(source.select("doc_id", "held_out", "text").mapInArrow(_score(shared, totals, copy), SCORED), "scored")
     unseen = max(totals.distinct, 1)
     rare = scored.select("uid", F.inline("rare")).join(table, "word")
