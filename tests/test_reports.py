@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import buckets, scalars
-from tidemark.operators import decisions, metrics, profile, quality, ranks, resample, schedule
+from tidemark.operators import decisions, metrics, profile, quality, ranks, resample, schedule, series
 from tidemark.operators.series import Series
 from tidemark.session import scratch_path
 from tidemark.sources import landing, tables
@@ -246,3 +246,18 @@ def test_latest_rows_limit_before_the_shuffle(spark):
 
     plan = latest_rows(forecast(spark), Series(), 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_start_options_of_long_series_equal_those_of_short_ones(spark):
+    rng = np.random.default_rng(2)
+    rows = [(z, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(v)) for z in "AB" for i, v in enumerate(rng.integers(0, 50, 200))]
+    df = spark.createDataFrame(rows, "zone string, datetime timestamp, predicted_carbon_intensity double")
+    short, long = (schedule.start_options(df, Series(**kw), [1, 3]) for kw in ({"short_keys": True}, {"chunk_steps": 16}))
+    assert sorted(short.collect()) == sorted(long.select(*short.columns).collect())
+
+
+def test_many_latest_rows_are_cut_in_parts(spark):
+    df = spark.range(9000).select((F.col("id") % 2).alias("zone"), F.timestamp_seconds(F.col("id") * 3600).alias("datetime"), "id")
+    got = series.latest_rows(df, Series(), 1500)
+    assert sorted(r["id"] for r in got.collect()) == list(range(6000, 9000))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Window") >= 2

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import half_even
 from tidemark.functions import buckets, calendar
 from tidemark.operators.ranks import quantile_columns
+from tidemark.operators.series import top_n
+from tidemark.session import written
 from tidemark.operators.series import CHUNK, Series, with_chunk
 
 SLICES = ("hour_of_day", "day_of_week", "season", "month", "is_weekend", "carbon_intensity_bucket")
@@ -206,17 +208,23 @@ def exact_distinct(df: DataFrame) -> DataFrame:
     return df.distinct()
 
 
-def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
+def _long(df: DataFrame, columns: Sequence[str], kind: str, by: Sequence[str] = ()) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns])
-    return df.select(F.inline(pairs))
+    return df.select(*by, F.inline(pairs))
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], quantiles: Mapping[str, float] | None = None, approximate: bool = False) -> DataFrame:
-    """Count, nulls, zeros, range, moments, distinct values and quantiles per column."""
+def numeric_profile(
+    df: DataFrame, columns: Sequence[str], quantiles: Mapping[str, float] | None = None, approximate: bool = False, by: Sequence[str] = ()
+) -> DataFrame:
+    """Count, nulls, zeros, range, moments, distinct values and quantiles per column (and group).
+
+    Two passes over the table: moments, and the counted values that serve distinct and quantiles.
+    """
     quantiles = quantiles or {"p25": 0.25, "median": 0.5, "p75": 0.75}
-    long = _long(df, columns, "double")
+    keys = [*by, "column"]
+    long = _long(df, columns, "double", by)
     v = F.col("value")
-    stats = long.groupBy("column").agg(
+    stats = long.groupBy(*keys).agg(
         F.count(v).alias("count"),
         F.count_if(v.isNull()).alias("nulls"),
         F.count_if(F.coalesce(v == 0, F.lit(False))).alias("zeros"),
@@ -224,11 +232,13 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], quantiles: Mapping[st
         F.max(v).alias("max"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
+        *([F.approx_count_distinct(v).alias("distinct")] if approximate else []),
     )
-    distinct = long.groupBy("column").agg(
-        (F.approx_count_distinct(v) if approximate else F.count_distinct(v)).alias("distinct")
-    )
-    return stats.join(distinct, "column").join(quantile_columns(long, ["column"], "value", quantiles), "column", "left")
+    counts = written(long.filter(v.isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("times")), "profile-counts")
+    if not approximate:
+        distinct = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct"))
+        stats = stats.join(distinct, keys, "left").fillna(0, ["distinct"])
+    return stats.join(quantile_columns(counts, keys, "value", quantiles, weight="times"), keys, "left")
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
@@ -236,8 +246,7 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     counts = _long(df, columns, "string").filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("count")
     )
-    order = Window.partitionBy("column").orderBy(F.col("count").desc(), "value")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return top_n(counts, ["column"], [F.col("count").desc(), F.col("value")], k, "rank")
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:

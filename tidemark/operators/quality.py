@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import buckets, parsing
 from tidemark.operators.ranks import exact_quantiles
 from tidemark.operators.profile import numeric_profile
+from tidemark.session import written
 
 ANOMALY_SCHEMA = "dataset string, column string, anomaly string, detail string, rows long"
 PSI_FLOOR = 1e-6
@@ -305,17 +307,16 @@ def require_no_issues(issues: DataFrame) -> None:
 
 
 def drift_table(current: DataFrame, baseline: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Differences of mean, deviation, null share and quartiles per column."""
-    left = numeric_profile(baseline, columns)
-    right = numeric_profile(current, columns)
+    """Differences of mean, deviation, null share and quartiles per column; both sides in one grouped pass."""
     measures = ["mean", "std", "p25", "median", "p75"]
-
-    def named(df: DataFrame, side: str) -> DataFrame:
-        rate = F.col("nulls") / (F.col("nulls") + F.col("count"))
-        return df.select("column", *[F.col(m).alias(f"{side}_{m}") for m in measures], rate.alias(f"{side}_null_rate"))
-
-    joined = named(left, "baseline").join(named(right, "current"), "column", "full")
-    return joined.withColumns(
+    sides = {"baseline": baseline, "current": current}
+    both = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("side"), *columns) for n, df in sides.items()])
+    table = numeric_profile(both, columns, by=["side"])
+    rate = F.col("nulls") / (F.col("nulls") + F.col("count"))
+    wide = table.withColumn("null_rate", rate).groupBy("column").agg(
+        *[F.max(F.when(F.col("side") == n, F.col(m))).alias(f"{n}_{m}") for n in sides for m in [*measures, "null_rate"]]
+    )
+    return wide.withColumns(
         {f"{m}_change": F.col(f"current_{m}") - F.col(f"baseline_{m}") for m in [*measures, "null_rate"]}
     )
 
@@ -327,28 +328,27 @@ def drift_flag(drift: DataFrame, limit: float = 0.5) -> DataFrame:
 
 
 def population_stability(current: DataFrame, baseline: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Population stability index per column over the baseline's quantile bins."""
+    """Population stability index per column over the baseline's quantile bins.
 
-    def long(df: DataFrame) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-        return df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
-
-    base = long(baseline)
-    cuts = exact_quantiles(base, ["feature"], "value", [i / bins for i in range(1, bins)])
+    Both sides are reduced once to counted values; edges, shares and totals come from that table.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    sides = [df.select(F.lit(n).alias("side"), F.inline(pairs)) for n, df in (("_p", baseline), ("_q", current))]
+    counted = written(
+        reduce(DataFrame.unionByName, sides).filter(F.col("value").isNotNull()).groupBy("side", "feature", "value").agg(F.count(F.lit(1)).alias("times")),
+        "stability",
+    )
+    base = counted.filter(F.col("side") == "_p")
+    cuts = exact_quantiles(base, ["feature"], "value", [i / bins for i in range(1, bins)], weight="times")
     # features x (bins - 1) values.
     edges = cuts.groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("_edges"))
-
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        index = F.size(F.filter("_edges", lambda e: e < F.col("value")))
-        counted = (
-            df.join(F.broadcast(edges), "feature")
-            .groupBy("feature", index.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("_n"))
-        )
-        totals = counted.groupBy("feature").agg(F.sum("_n").alias("_total"))
-        return counted.join(F.broadcast(totals), "feature").select("feature", "bin", (F.col("_n") / F.col("_total")).alias(name))
-
-    both = shares(base, "_p").join(shares(long(current), "_q"), ["feature", "bin"], "full")
+    index = F.size(F.filter("_edges", lambda e: e < F.col("value")))
+    binned = counted.join(F.broadcast(edges), "feature").groupBy("feature", index.alias("bin")).agg(
+        *[F.sum(F.when(F.col("side") == s, F.col("times"))).alias(f"{s}_n") for s in ("_p", "_q")]
+    )
+    whole = Window.partitionBy("feature")
+    # features x bins rows.
+    both = binned.select("feature", "bin", *[(F.col(f"{s}_n") / F.sum(f"{s}_n").over(whole)).alias(s) for s in ("_p", "_q")])
     p = F.greatest(F.coalesce("_p", F.lit(0.0)), F.lit(PSI_FLOOR))
     q = F.greatest(F.coalesce("_q", F.lit(0.0)), F.lit(PSI_FLOOR))
     return (

@@ -9,27 +9,41 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
+
+VALUES_PER_RANGE = 1_000_000
+LEAST_SPLITS, MOST_SPLITS = 64, 16_384
+
 
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     quantiles: Sequence[float],
-    splits: int = 512,
+    splits: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one row per (group, quantile).
 
-    Equal values are counted before the shuffle. A quantile sketch then cuts each
+    Equal values are counted before the shuffle and written once. A quantile sketch then cuts each
     group into ``splits`` value ranges, range totals locate the wanted ranks, and only
     the ranges holding a wanted rank are sorted. One group may hold any share of the
-    rows: its work is spread over its ranges. Rows with a null group or value are left out.
+    rows: its work is spread over its ranges, whose number grows with the largest group.
+    ``weight`` names a column that says how often a row counts. Rows with a null group or value
+    are left out.
     """
     by = list(by)
-    counted = (
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = written(
         df.filter(reduce(and_, [F.col(c).isNotNull() for c in [*by, value]]))
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(times.cast("long").alias("_n")),
+        "value-counts",
     )
+    if splits is None:
+        largest = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d").alias("d")).first()["d"] or 0
+        splits = min(MOST_SPLITS, max(LEAST_SPLITS, -(-largest // VALUES_PER_RANGE)))
     points = [i / splits for i in range(1, splits)]
     cuts = counted.groupBy(*by).agg(
         F.percentile_approx("_v", points, F.lit(20 * splits)).alias("_cuts"), F.sum("_n").alias("_total")
@@ -39,7 +53,7 @@ def exact_quantiles(
     else:
         # A single row of cut points.
         ranged = counted.withColumn("_all", F.lit(0)).join(F.broadcast(cuts.withColumn("_all", F.lit(0))), "_all")
-    ranged = ranged.withColumn("_range", _lower_bound(F.col("_cuts"), F.col("_v"), splits))
+    ranged = written(ranged.select(*by, "_v", "_n", "_total", _lower_bound(F.col("_cuts"), F.col("_v"), splits).alias("_range")), "value-ranges")
     totals = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_in_range"), F.max("_total").alias("_total"))
     upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     wanted = totals.withColumn("_before", F.coalesce(F.sum("_in_range").over(upto), F.lit(0))).withColumn(
@@ -84,9 +98,9 @@ def _lower_bound(cuts: Column, value: Column, splits: int) -> Column:
     return F.aggregate(F.array(*[F.lit(w) for w in widths]), F.lit(0), probe)
 
 
-def quantile_columns(df: DataFrame, by: Sequence[str], value: str, named: dict[str, float], splits: int = 512) -> DataFrame:
+def quantile_columns(df: DataFrame, by: Sequence[str], value: str, named: dict[str, float], splits: int | None = None, weight: str | None = None) -> DataFrame:
     """The quantiles of :func:`exact_quantiles` as one column per name."""
-    long = exact_quantiles(df, by, value, sorted(set(named.values())), splits)
+    long = exact_quantiles(df, by, value, sorted(set(named.values())), splits, weight)
     return long.groupBy(*by).agg(
         *[F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(name) for name, q in named.items()]
     )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators.ranks import quantile_columns
-from tidemark.operators.series import POSITION, Series, bounded_window, islands, with_position
+from tidemark.operators.series import CHUNK, POSITION, Series, bounded_window, floor_div, islands, with_position
+from tidemark.session import written
 
 PREDICTED = "predicted_carbon_intensity"
 
@@ -34,6 +35,7 @@ def mark_green(
         whole = Window.partitionBy(*series.keys)
         limited = df.withColumn("threshold", F.percentile(value, percentile / 100).over(whole))
     else:
+        df = written(df, "forecast")
         limited = df.join(quantile_columns(df, series.keys, value, {"threshold": percentile / 100}), list(series.keys))
     return limited.withColumn("is_green", F.col(value) <= F.col("threshold"))
 
@@ -98,17 +100,33 @@ def start_options(forecast: DataFrame, series: Series, runtimes: Sequence[int],
             F.array(*[F.struct(F.lit(r).alias("runtime_hours"), F.col(f"_m{r}").alias("mean_intensity")) for r in runtimes])
         ),
     ).filter(F.col("mean_intensity").isNotNull())
-    # A forecast has at most its horizon in hours of starts per runtime.
-    so_far = Window.partitionBy(*keys, "runtime_hours").orderBy("max_start").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
     best = F.min(F.struct("mean_intensity", F.col("max_start").alias("best_start"), F.col(series.time).alias("start_time")))
-    return long.select(
+    group = [*keys, "runtime_hours"]
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    if series.short_keys:
+        # A forecast has at most its horizon in hours of starts per runtime.
+        so_far = Window.partitionBy(*group).orderBy("max_start").rowsBetween(*upto)
+        found = long.withColumns({"_best": best.over(so_far), "immediate_intensity": F.first("mean_intensity").over(so_far)})
+    else:
+        # Running minimum within chunks; each chunk takes over the minimum of those before it.
+        long = written(long.withColumn(CHUNK, floor_div(F.col("max_start"), series.chunk_steps)), "starts")
+        inside = Window.partitionBy(*group, CHUNK).orderBy("max_start").rowsBetween(*upto)
+        chunks = long.groupBy(*group, CHUNK).agg(best.alias("_low"), F.min_by("mean_intensity", "max_start").alias("_first"))
+        over = Window.partitionBy(*group).orderBy(CHUNK)
+        carried = chunks.select(
+            *group,
+            CHUNK,
+            F.min("_low").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+            F.first("_first").over(over.rowsBetween(*upto)).alias("immediate_intensity"),
+        )
+        placed_best = long.withColumn("_own", best.over(inside)).join(carried, [*group, CHUNK])
+        found = placed_best.withColumn("_best", F.array_min(F.array_compact(F.array("_own", "_before"))))
+    return found.select(
         *keys,
         "runtime_hours",
         "max_start",
-        best.over(so_far).alias("_best"),
-        F.first("mean_intensity").over(so_far).alias("immediate_intensity"),
+        "_best",
+        "immediate_intensity",
     ).select(
         *keys,
         "runtime_hours",

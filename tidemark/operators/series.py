@@ -24,6 +24,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 CHUNK = "_chunk"
 INDEX = "_index"
 POSITION = "_position"
@@ -231,14 +233,28 @@ def dense(df: DataFrame, series: Series) -> tuple[DataFrame, Series]:
     return with_position(df, series), replace(series, index=POSITION)
 
 
-def latest_rows(df: DataFrame, series: Series, n: int, ties: Sequence[str] = ()) -> DataFrame:
-    """The last ``n`` rows per key.
+# Above this number Spark no longer limits each key in every task before the shuffle.
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
+def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
+    """The first ``n`` rows per key with their ``rank``.
 
-    Spark limits each key to ``n`` rows in every task before the shuffle, so a long key
-    does not reach one task whole.
+    Up to GROUP_LIMIT Spark cuts each key to ``n`` rows in every task. A larger ``n`` is cut in
+    SALTS parts of every key first, so that a key brings one task SALTS * n rows at most.
     """
-    newest = Window.partitionBy(*series.keys).orderBy(F.col(series.time).desc(), *ties)
-    return df.withColumn("_row", F.row_number().over(newest)).filter(F.col("_row") <= n).drop("_row")
+    if n > GROUP_LIMIT:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = salted.withColumn("_row", F.row_number().over(part)).filter(F.col("_row") <= n).drop("_row", "_salt")
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
+
+
+def latest_rows(df: DataFrame, series: Series, n: int, ties: Sequence[str] = ()) -> DataFrame:
+    """The last ``n`` rows per key; a long key does not reach one task whole."""
+    return top_n(df, series.keys, [F.col(series.time).desc(), *map(F.col, ties)], n, "_row").drop("_row")
 
 
 def middle_rows(df: DataFrame, series: Series, n: int) -> DataFrame:
@@ -325,5 +341,8 @@ def islands(df: DataFrame, series: Series, flag: Column, start: str = "_island")
             )
         },
     )
+    if not series.short_keys:
+        # The fill reads its input twice.
+        opened = written(opened, "islands")
     carried = fill_nulls(opened, series, ["_start"], ("forward",))
     return carried.withColumn(start, F.when(F.col("_flag"), F.col("_start"))).drop("_start", "_flag")
