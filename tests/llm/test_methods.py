@@ -383,6 +383,24 @@ def test_markup():
     assert html_text.settled(main)[0] == "a\nb"
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<body><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul><div class=post-content><h1>T</h1><p>a <a>b</a> c d e f</div><div id=comments><p>hi</div>", "T\na b c d e f"),
+        ("<main><header><h1>T</h1></header><p>x<div class='share-buttons'>Share</div><section class=comments><article>c</article></section></main>", "T\nx"),
+        ("<div class='elementor-widget-text'><p>kept<p class=notice>no</div><div class='cookie-bar'>no</div>", "kept"),
+        ("<article><p>a&nbsp;&amp;\n b<script>x='</p>'</script><style>p{}</style><!-- c --> d</article><div>after</div>", "a & b d"),
+        ("<p title='a>b'>one</p><p hidden>two</p><p style='display: none'>three</p>", "one"),
+        ("plain text &lt;only&gt;", "plain text <only>"),
+        ("<body><article><p>cut off <b>in the mid", "cut off in the mid"),
+        ("", ""),
+    ],
+)
+def test_pages_of_many_kinds(source, text):
+    found, free, _ = html_text.settled(html_text.page_blocks(source))
+    assert (found if found is not None else "\n".join(free)) == text
+
+
 def test_repeated_runs_by_comparing_all_windows():
     rng = random.Random(6)
     streams = [[rng.choice("abc") for _ in range(rng.randrange(0, 30))] for _ in range(12)]
