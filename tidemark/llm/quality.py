@@ -13,8 +13,8 @@ their id. Everything else covers all documents and whole texts.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -67,11 +67,6 @@ class _Words(dict):
         return pair
 
 
-@lru_cache(maxsize=1)
-def _words() -> list[_Words]:
-    return [_Words()]
-
-
 def _mix(*parts: np.ndarray) -> np.ndarray:
     h = np.zeros_like(parts[0])
     for p in parts:
@@ -80,14 +75,17 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
-def indicators(text: str) -> np.ndarray:
-    """Sorted distinct buckets of a whole text; an empty text has only its bin."""
-    holder = _words()
-    if len(holder[0]) > REMEMBERED:
-        holder[0] = _Words()
+def indicators(text: str, words: _Words | None = None) -> np.ndarray:
+    """Sorted distinct buckets of a whole text; an empty text has only its bin.
+
+    ``words`` keeps the hashes of words between texts.
+    """
+    words = _Words() if words is None else words
+    if len(words) > REMEMBERED:
+        words.clear()
     tokens = text.split()
     n = len(tokens)
-    packed = np.fromiter(map(holder[0].__getitem__, tokens), np.uint64, n)
+    packed = np.fromiter(map(words.__getitem__, tokens), np.uint64, n)
     word, form = packed >> np.uint64(32), packed & np.uint64(0xFFFFFFFF)
     pairs = _mix(word[:-1], word[1:])
     repeat = 1 - len(np.unique(word)) / n if n else 0.0
@@ -198,8 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     @F.pandas_udf("binary")
-    def encoded(column: pd.Series) -> pd.Series:
-        return pd.Series([indicators(t).tobytes() for t in texts(column)])
+    def encoded(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = _Words()
+        for column in columns:
+            yield pd.Series([indicators(t, words).tobytes() for t in texts(column)])
 
     # At most ``sample`` ids: the one side that is broadcast.
     joined = bodies.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
@@ -212,9 +212,10 @@ def quality_score(text: Column, model: Model) -> Column:
     shared = text_model(model)
 
     @F.pandas_udf("double")
-    def score(column: pd.Series) -> pd.Series:
-        known = shared.value
-        return pd.Series([known.score(indicators(t)) for t in texts(column)], dtype="float64")
+    def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, words = shared.value, _Words()
+        for column in columns:
+            yield pd.Series([known.score(indicators(t, words)) for t in texts(column)], dtype="float64")
 
     return score(text)
 
