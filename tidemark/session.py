@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,14 +43,16 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder, because there driver and executors share a disk.
+    A cluster names it in ``spark.checkpoint.dir`` and cleans it. Only a local master may fall
+    back to a temporary folder, because there driver and executors share a disk; the process
+    that made it removes it at its end.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
         folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
         return folder
     raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
