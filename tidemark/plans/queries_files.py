@@ -101,7 +101,7 @@ cleaned AS (SELECT * REPLACE ({_clipped(CI)}, {_clipped(LOAD)}) FROM whole WHERE
 both_sides AS (SELECT c.*, v.temperature_2m_c, v.cloud_cover_pct FROM cleaned c JOIN weather_filled v USING (zone, datetime)),
 made AS (SELECT zone, datetime, {CI}, {LOAD}, temperature_2m_c, lag({CI}, 24) OVER w AS l24, avg({CI}) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS m24, lead({CI}, 12) OVER w AS carbon_intensity_target_12h
   FROM both_sides WINDOW w AS (PARTITION BY zone ORDER BY datetime))
-SELECT zone, datetime, CASE WHEN zone < 'p' THEN upper(zone) ELSE 'unknown' END AS cloud_region, {CI}, {LOAD}, temperature_2m_c,
+SELECT zone, datetime, CASE WHEN zone < 'p' THEN upper(zone) ELSE 'unknown' END AS cloud_region, {CI}, coalesce({LOAD}, 0) AS {LOAD}, temperature_2m_c,
   coalesce(l24, first_value(l24 IGNORE NULLS) OVER (PARTITION BY zone ORDER BY datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS {CI}_lag_24h,
   m24 AS {CI}_mean_24h, carbon_intensity_target_12h,
   CASE WHEN datetime <= TIMESTAMP '2024-01-18' THEN 'train' WHEN datetime <= TIMESTAMP '2024-01-23' THEN 'val' ELSE 'test' END AS split
