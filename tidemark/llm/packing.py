@@ -69,7 +69,9 @@ class WordEncoder:
         special = [t for t in batch if "<|" in t]
         split = [() if "<|" in t else _MARKS.sub(rb" \1", t.encode().lower()).split() for t in batch]
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            # Words of this batch stay; the frequent ones are among them.
+            here = {w for words in split for w in words}
+            self.known = {w: ids for w, ids in self.known.items() if w in here}
         known = self.known
         self.learn(list({w for words in split for w in words if w not in known}))
         whole = iter(self._each(special))
@@ -80,12 +82,11 @@ class WordEncoder:
         decoded = [w.decode() for w in new]
         letters = [w for w in decoded if w.isalpha()]
         rest = [w for w in decoded if not w.isalpha()]
-        for i in range(0, len(letters), WORDS_AT_ONCE):
-            words = letters[i : i + WORDS_AT_ONCE]
-            ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        chunks = [letters[i : i + WORDS_AT_ONCE] for i in range(0, len(letters), WORDS_AT_ONCE)]
+        for words, packed in zip(chunks, self._each([" ".join(words) for words in chunks])):
+            ids = np.frombuffer(packed, "<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ID_BYTES).tolist()
             if len(cuts) == len(words):
-                packed = ids.tobytes()
                 self.known.update((w.encode(), packed[a:b]) for w, a, b in zip(words, [0, *cuts], cuts))
             else:
                 # A letter that composition or lower-casing splits; these words go one by one.
