@@ -26,6 +26,7 @@ from tidemark.llm.common import remainder, texts
 BUCKETS = 1 << 18
 SAMPLE = 5000
 FOLDS = 5
+CALIBRATION_FOLDS = 5
 THRESHOLD = 0.3
 REMEMBERED = 200_000
 
@@ -159,24 +160,27 @@ def fit_model(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         share = (float(y.sum()) + 0.5) / (len(y) + 1)
         zero = np.zeros(BUCKETS, np.float32)
         return Model(zero, zero, 0.0, 1.0, float(np.log(share / (1 - share))))
-    unseen = np.arange(len(y)) % 5 == 4
-    if len(np.unique(y[~unseen])) < 2 or len(np.unique(y[unseen])) < 2:
-        unseen = np.zeros(len(y), bool)
-    train = np.flatnonzero(~unseen)
-    ratios = log_count_ratios([rows[i] for i in train], y[train])
+    whole = fit_margins(rows, y)
+    margins = np.array([whole.margin(r) for r in rows])
+    for fold in range(CALIBRATION_FOLDS):
+        unseen = np.arange(len(y)) % CALIBRATION_FOLDS == fold
+        kept = np.flatnonzero(~unseen)
+        if len(np.unique(y[kept])) == 2:
+            part = fit_margins([rows[i] for i in kept], y[kept])
+            margins[unseen] = [part.margin(rows[i]) for i in np.flatnonzero(unseen)]
+    slope, offset = logistic_curve(margins, y == 1)
+    return Model(whole.weights, whole.squares, whole.bias, slope, offset)
+
+
+def fit_margins(rows: list[np.ndarray], y: np.ndarray) -> Model:
+    """Ratios and hinge-loss weights of rows of both classes, each class with the same total cost."""
+    ratios = log_count_ratios(rows, y)
     squares = ratios**2
-
-    def scaled(ids: np.ndarray) -> np.ndarray:
-        return ratios[ids] / max(float(np.sqrt(squares[ids].sum())), 1e-9)
-
-    sign = np.where(y[train] == 1, 1.0, -1.0)
-    cost = np.where(sign > 0, len(train) / (2 * (sign > 0).sum()), len(train) / (2 * (sign < 0).sum()))
-    w, bias = dual_coordinate_descent([rows[i] for i in train], [scaled(rows[i]) for i in train], sign, cost)
-    plain = Model((w * ratios).astype(np.float32), squares.astype(np.float32), bias, 1.0, 0.0)
-    held = np.flatnonzero(unseen) if unseen.any() else train
-    margins = np.array([plain.margin(rows[i]) for i in held])
-    slope, offset = logistic_curve(margins, y[held] == 1)
-    return Model(plain.weights, plain.squares, bias, slope, offset)
+    values = [ratios[ids] / max(float(np.sqrt(squares[ids].sum())), 1e-9) for ids in rows]
+    sign = np.where(y == 1, 1.0, -1.0)
+    cost = len(y) / (2 * np.where(sign > 0, (sign > 0).sum(), (sign < 0).sum()))
+    w, bias = dual_coordinate_descent(rows, values, sign, cost)
+    return Model((w * ratios).astype(np.float32), squares.astype(np.float32), bias, 1.0, 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Model:
