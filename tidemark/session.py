@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -33,7 +34,16 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
 
 
 def apply_runtime_conf(spark: SparkSession) -> SparkSession:
-    """Set the runtime settings on a session somebody else created."""
+    """Set the runtime settings on a session somebody else created.
+
+    Python workers also learn where this package lies, as the driver may have found it by its own path
+    only. A cluster gets the package with its job (``--py-files``) or installed.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
