@@ -16,10 +16,15 @@ ROWS_PER_BATCH = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A given table, under the settings that the operators expect."""
+def prepare(spark: SparkSession) -> None:
+    """The session settings that the operators expect."""
     apply_runtime_conf(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A given table, under the settings that the operators expect."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
