@@ -19,6 +19,11 @@ RANGE_LABELS = ("Very Low (0-100)", "Low (100-200)", "Medium (200-350)", "High (
 SERVICE_LABELS = ("Very Low (<100)", "Low (100-200)", "Medium (200-350)", "High (350-500)", "Very High (500+)")
 TONE_EDGES = (160.0, 230.0)
 TONES = ("green", "amber", "red")
+SEVERITIES = (("LOW", 2), ("MODERATE", 5), ("HIGH", 10))
+WORST_SEVERITY = "SEVERE"
+TIERS = (("excellent", 0.60), ("good", 0.45), ("fair", 0.25))
+LOWEST_TIER = "poor"
+RARITY_WEIGHTS = ((100.0, 3.0), (200.0, 1.5))
 
 
 def bucket(
@@ -88,9 +93,7 @@ def tone(value: Column) -> Column:
 
 def severity(ratio: Column) -> Column:
     """Class of an imbalance ratio."""
-    return (
-        F.when(ratio <= 2, "LOW").when(ratio <= 5, "MODERATE").when(ratio <= 10, "HIGH").otherwise("SEVERE")
-    )
+    return F.coalesce(*[F.when(ratio <= most, name) for name, most in SEVERITIES], F.lit(WORST_SEVERITY))
 
 
 def improvement_pct(baseline: Column, value: Column, digits: int = 2) -> Column:
@@ -99,19 +102,13 @@ def improvement_pct(baseline: Column, value: Column, digits: int = 2) -> Column:
 
 def performance_tier(mae: Column, baseline: Column) -> Column:
     gain = (baseline - mae) / F.nullif(baseline, F.lit(0.0))
-    return (
-        F.when(baseline == 0, "unknown")
-        .when(baseline.isNull(), "excellent")
-        .when(gain >= 0.60, "excellent")
-        .when(gain >= 0.45, "good")
-        .when(gain >= 0.25, "fair")
-        .otherwise("poor")
-    )
+    tiers = [F.when(gain >= least, name) for name, least in TIERS]
+    return F.coalesce(F.when(baseline == 0, "unknown"), F.when(baseline.isNull(), TIERS[0][0]), *tiers, F.lit(LOWEST_TIER))
 
 
 def rarity_weight(value: Column) -> Column:
     """Sample weight that favours rare low values."""
-    return F.when(value < 100, 3.0).when((value >= 100) & (value < 200), 1.5).otherwise(1.0)
+    return F.coalesce(*[F.when(value < below, weight) for below, weight in RARITY_WEIGHTS], F.lit(1.0))
 
 
 def zone_weight(zone: Column, favoured: str, weight: float = 3.0, synthetic: Column | None = None) -> Column:

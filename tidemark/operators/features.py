@@ -81,7 +81,14 @@ def change_column(w: WindowSpec, column: str) -> Column:
     return F.coalesce(F.col(column) - F.lag(column, 1).over(w), F.lit(0.0))
 
 
-def lead_columns(w: WindowSpec, column: str, horizons: Sequence[int], name=lambda h: f"carbon_intensity_target_{h}h") -> dict[str, Column]:
+TARGET_HORIZONS = (1, 6, 12, 24)
+
+
+def target_name(horizon: int) -> str:
+    return f"carbon_intensity_target_{horizon}h"
+
+
+def lead_columns(w: WindowSpec, column: str, horizons: Sequence[int], name=target_name) -> dict[str, Column]:
     return {name(h): F.lead(column, h).over(w) for h in horizons}
 
 
@@ -94,7 +101,7 @@ def add_rolling_features(df: DataFrame, series: Series, rolling: Mapping[str, Ma
     return in_chunks(df, series, reach, 0, lambda rows, w: add_rolling(rows, series.over(), rolling, rolling_name))
 
 
-def add_targets(df: DataFrame, series: Series, column: str = TARGET, horizons: Sequence[int] = (1, 6, 12, 24)) -> DataFrame:
+def add_targets(df: DataFrame, series: Series, column: str = TARGET, horizons: Sequence[int] = TARGET_HORIZONS) -> DataFrame:
     return bounded_window(df, series, 0, max(horizons), lambda w: lead_columns(w, column, horizons))
 
 
@@ -247,10 +254,7 @@ class FeatureColumns:
         "gcp_region",
         "azure_region",
         "season",
-        "carbon_intensity_target_1h",
-        "carbon_intensity_target_6h",
-        "carbon_intensity_target_12h",
-        "carbon_intensity_target_24h",
+        *map(target_name, TARGET_HORIZONS),
     )
     categories: Mapping[str, Sequence[str]] = field(default_factory=dict)
 

@@ -14,6 +14,9 @@ from tidemark.operators.series import CHUNK, POSITION, Series, bounded_window, f
 from tidemark.session import written
 
 PREDICTED = "predicted_carbon_intensity"
+# The recommendation texts.
+WAIT_TEXT = "Wait %d hours — start at %s. Save %.1f kg CO₂ (%.1f%% reduction)."
+NOW_TEXT = "Run now — this is already the optimal window."
 
 
 def mark_green(
@@ -183,14 +186,14 @@ def plan_jobs(
         F.when(
             F.col("hours_to_wait") > 0,
             F.format_string(
-                "Wait %d hours — start at %s. Save %.1f kg CO₂ (%.1f%% reduction).",
+                WAIT_TEXT,
                 F.col("hours_to_wait"),
                 F.date_format("recommended_start", "yyyy-MM-dd HH:mm:ss"),
                 saved,
                 pct,
             ),
         )
-        .when(F.col("hours_to_wait") == 0, "Run now — this is already the optimal window.")
+        .when(F.col("hours_to_wait") == 0, NOW_TEXT)
         .alias("recommendation"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import buckets, calendar, parsing, scalars
@@ -671,8 +671,10 @@ SELECT zone, CASE WHEN pct < 19.9 THEN 'Under' WHEN pct > 20.1 THEN 'Over' ELSE
     ctes="scores",
 )
 def _(t: Tables) -> DataFrame:
-    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())
-    shares = t.scores.groupBy("zone").agg(F.count(F.lit(1)).alias("n")).withColumn("pct", share)
+    counts = t.scores.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_one"))
+    total = counts.groupBy("_one").agg(F.sum("n").alias("total"))
+    # One row of totals.
+    shares = counts.join(F.broadcast(total), "_one").withColumn("pct", F.col("n") * 100.0 / F.col("total"))
     return shares.select("zone", buckets.representation_status(F.col("pct") < 19.9, F.col("pct") > 20.1).alias("status"))
 
 
