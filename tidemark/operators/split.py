@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.features import TARGET
 from tidemark.operators.metrics import baseline_scores, long_predictions, scores
 from tidemark.operators.series import Series, bounded_window
+from tidemark.session import written
 
 SPLITS = ("train", "val", "test")
 
@@ -51,6 +52,20 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").partitionBy("split").parquet(path)
 
 
+def _with_previous(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Each row's ``value`` of the row before it in key order, one row per key.
+
+    Keys are dealt to tasks by range; only one row per range is ordered in a single task.
+    """
+    ranged = written(df.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "key-ranges")
+    ends = ranged.groupBy("_range").agg(F.max_by(F.struct(value), key).alias("_end"))
+    before = ends.select("_range", F.lag("_end").over(Window.orderBy("_range")).alias("_before"))
+    inside = F.lag(F.struct(value)).over(Window.partitionBy("_range").orderBy(key))
+    return ranged.withColumn("_own", inside).join(before, "_range").select(
+        *df.columns, F.coalesce("_own", "_before")[value].alias(name)
+    )
+
+
 def with_series_baselines(df: DataFrame, series: Series = Series(), target: str = TARGET, across_zones: bool = False) -> DataFrame:
     """Add persistence (1 and 24 rows back) and hourly-mean forecasts of the current value.
 
@@ -69,10 +84,7 @@ def with_series_baselines(df: DataFrame, series: Series = Series(), target: str
         edges = df.groupBy(key).agg(
             F.max_by(target, series.time).alias("_last"), F.min(series.time).alias("_first_time")
         )
-        # One row per zone: the zone before each zone.
-        previous = edges.select(
-            key, "_first_time", F.lag("_last").over(Window.orderBy(key)).alias("_previous_last")
-        )
+        previous = _with_previous(edges, key, "_last", "_previous_last").drop("_last")
         lagged = (
             lagged.join(previous, key)
             .withColumn(
