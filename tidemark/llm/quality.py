@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import remainder, texts
@@ -211,9 +211,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     return fit_model([np.frombuffer(b, np.int32) for b in table["ids"]], table["quality"].to_numpy())
 
 
-def quality_score(text: Column, model: Model) -> Column:
-    """Score from 0 to 1 of each whole text; null counts as empty."""
-    shared = text_model(model)
+def quality_score(spark: SparkSession, text: Column, model: Model) -> Column:
+    """Score from 0 to 1 of each whole text; null counts as empty.
+
+    The model is broadcast; its size is fixed, two floats per bucket.
+    """
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -224,13 +227,6 @@ def quality_score(text: Column, model: Model) -> Column:
     return score(text)
 
 
-def text_model(model: Model):
-    """The model as a broadcast variable of fixed size (two floats per bucket)."""
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession().sparkContext.broadcast(model)
-
-
 def score_documents(docs: DataFrame, model: Model, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
@@ -240,11 +236,11 @@ def score_documents(docs: DataFrame, model: Model, folds: int = FOLDS, threshold
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(remainder(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"),
-        quality_score(F.col("text"), model).alias("score"),
+        quality_score(docs.sparkSession, F.col("text"), model).alias("score"),
     )
     return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose text the model does not reject, with all their columns."""
-    return docs.where(quality_score(F.col("text"), model) >= threshold)
+    return docs.where(quality_score(docs.sparkSession, F.col("text"), model) >= threshold)
