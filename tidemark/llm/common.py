@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.session import apply_runtime_conf, scratch_path
 
 # Texts vary from empty to megabytes: small Arrow batches keep a Python worker's memory low.
-ROWS_PER_BATCH = 1000
+ROWS_PER_BATCH = 400
 
 # Words are runs of anything but the six ASCII white-space characters (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
