@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import balltree, html_text, lattice, mixing, ownership, packing, quality, search, simhash, vptree
+from tidemark.llm import balltree, html_text, lattice, mixing, ownership, packing, quality, resemblance, search, simhash, vptree
 from tidemark.llm.queries import PIECES, QUERIES, WORDS, tokenizer_path
 
 SF = "/root/testdata/sf0.01"
@@ -338,6 +338,48 @@ def test_one_row_of_each_group_stays(spark, documents):
     assert all(r["text"] == documents[r["doc_id"]]["text"] for r in kept)
 
 
+def near_copies() -> dict[int, str]:
+    """Texts with copies of similarity 0.6 to 1 (some chained), and one family larger than a dense group."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size, copies, changed in [*[(rng.randint(60, 300), 3, rng.choice((0.01, 0.02, 0.03, 0.04))) for _ in range(40)], (200, 90, 0.01)]:
+        text = rng.choices(words, k=size)
+        texts.append(text)
+        for _ in range(copies):
+            text = [rng.choice(words) if rng.random() < changed else w for w in (texts[-1] if size != 200 else text)]
+            texts.append(text)
+    common = rng.choices(words, k=100)
+    texts += [common + rng.choices(words, k=60) for _ in range(90)] + [[], [], ["A"], ["a"]]
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+def test_one_row_of_each_similar_group_stays(spark):
+    texts = near_copies()
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = 0
+    for i, j in itertools.combinations(sets, 2):
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            close += 1
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in resemblance.keep_one_of_similar(docs).collect())
+    assert close > 200 and kept == sorted({find(i) for i in sets})
+    by_bits = simhash.keep_one_per_group(docs).count()
+    assert by_bits > len(kept)
+
+
 # -- op9 ---------------------------------------------------------------------------------------
 
 

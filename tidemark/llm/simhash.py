@@ -199,16 +199,24 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     All columns stay. Equal rows of that id are reduced to one, the one with the smallest text; a
     component without any id keeps one row.
     """
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    keyed = with_ids(docs)
+    ids = keyed.select("doc_id", fingerprint(F.col("body")).alias("fp"), "digest")
+    return keep_heads(keyed, with_components(stored(ids, "prints"), "doc_id"))
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """row (all columns), doc_id, body and the digest of the body."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     keyed = packed.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("body"))
-    ids = keyed.select("doc_id", fingerprint(F.col("body")).alias("fp"), F.sha2("body", 256).alias("digest"))
-    heads = with_components(stored(ids, "prints"), "doc_id").groupBy("component_id").agg(
+    return keyed.withColumn("digest", F.sha2("body", 256))
+
+
+def keep_heads(keyed: DataFrame, named: DataFrame) -> DataFrame:
+    """Of each component_id in ``named`` the row with its smallest (doc_id, digest)."""
+    heads = named.groupBy("component_id").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("order"), F.col("digest"))).alias("head")
     )
     chosen = heads.select(F.col("head.order").alias("order"), F.col("head.digest").alias("digest"))
-    found = keyed.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("order"), F.sha2("body", 256).alias("digest"), "row").join(
-        chosen, ["order", "digest"], "left_semi"
-    )
+    found = keyed.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("order"), "digest", "row").join(chosen, ["order", "digest"], "left_semi")
     repeats = found.groupBy("order", "digest")
     return repeats.agg(F.first("row").alias("row")).select("row.*")
