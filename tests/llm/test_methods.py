@@ -338,6 +338,21 @@ def test_one_row_of_each_group_stays(spark, documents):
     assert all(r["text"] == documents[r["doc_id"]]["text"] for r in kept)
 
 
+@pytest.mark.parametrize("head", [0, 1000])
+def test_long_words_cost_all_their_characters(spark, head):
+    """A blob of twice the length has about twice the log."""
+    rng = random.Random(5)
+    blob = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=4000))
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    learned = [(i, "plain words here") for i in range(200) if i not in held]
+    docs = spark.createDataFrame([(held[0], blob[:2000]), (held[1], blob), *learned], "doc_id long, text string")
+    table = {r["word"]: r["lattice_log"] for r in lattice.word_table(docs.withColumn("learns", ~F.col("doc_id").isin(held)), tokenizer_path(PIECES)).collect()}
+    got = {r["doc_id"]: r["score"] for r in lattice.score_documents(docs, tokenizer_path(PIECES), head=head).collect()}
+    assert got[held[1]] < -4000 and got[held[1]] / got[held[0]] == pytest.approx(2, abs=0.2)
+    step = (table[blob] - table[blob[:2000]]) / math.log(10)
+    assert got[held[1]] - got[held[0]] == pytest.approx(step, rel=1e-9)
+
+
 def near_copies() -> dict[int, str]:
     """Texts with copies of similarity 0.6 to 1 (some chained), and one family larger than a dense group."""
     rng = random.Random(7)

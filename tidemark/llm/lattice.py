@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import remainder, stored
@@ -179,13 +179,15 @@ class Totals:
         """log10 of (c + 1) / (N + V + 1)."""
         return np.log10(counts + 1.0) - math.log10(self.tokens + self.distinct + 1)
 
-    def probability(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-        """Share of whole-token and piece edges."""
+    def log_probability(self, counts: np.ndarray, lattice_log: np.ndarray) -> np.ndarray:
+        """Natural log of the share of whole-token and piece edges; no word is too long for it."""
         unseen = max(self.distinct, 1)
-        return (counts + unseen * lattice) / (self.tokens + unseen)
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(counts), math.log(unseen) + lattice_log) - math.log(self.tokens + unseen)
 
     def end(self) -> float:
-        return float(self.probability(np.array(float(self.documents)), np.array(END_MASS)))
+        """Natural log of the end's probability."""
+        return float(self.log_probability(np.array(float(self.documents)), np.array(math.log(END_MASS))))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -222,7 +224,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_table(docs: DataFrame, model_file: str) -> DataFrame:
-    """word, c (training count), lattice (its probability over all segmentations), for all words."""
+    """word, c (training count), lattice (its probability over all segmentations) and lattice_log, for all words.
+
+    Scores come from lattice_log, the natural log; the probability of a long word is 0 as a double.
+    """
     counted = docs.select("text", "learns").mapInArrow(_count, COUNTS)
     words = stored(counted.groupBy("word").agg(F.sum("training").alias("c")), "counts")
     shared = docs.sparkSession.sparkContext.broadcast(adapted_pieces(words, model_file))
@@ -230,13 +235,14 @@ def word_table(docs: DataFrame, model_file: str) -> DataFrame:
     @F.pandas_udf("double")
     def lattice(column: pd.Series) -> pd.Series:
         word_log = shared.value.word_log
-        return pd.Series([math.exp(max(word_log(w), -700.0)) for w in column], dtype="float64")
+        return pd.Series([word_log(w) for w in column], dtype="float64")
 
-    return words.select("word", "c", (lattice("word") * (1 - END_MASS)).alias("lattice"))
+    logs = words.select("word", "c", (lattice("word") + math.log1p(-END_MASS)).alias("lattice_log"))
+    return logs.select("word", "c", F.exp("lattice_log").alias("lattice"), "lattice_log")
 
 
 def frequent_words(table: DataFrame, totals: Totals, head: int) -> dict[bytes, tuple[float, float]]:
-    """Count and probability of the words above a count that at most ``head`` words reach.
+    """Count and log probability of the words above a count that at most ``head`` words reach.
 
     The limit comes from the sizes of count classes, eight to a power of two: a few hundred rows.
     """
@@ -250,16 +256,16 @@ def frequent_words(table: DataFrame, totals: Totals, head: int) -> dict[bytes, t
         least = r["class"]
     if least is None:
         return {}
-    found = classes.where(F.col("class") >= least).select("word", "c", "lattice").toArrow()
+    found = classes.where(F.col("class") >= least).select("word", "c", "lattice_log").toArrow()
     counts = found["c"].to_numpy().astype(float)
-    probability = totals.probability(counts, found["lattice"].to_numpy())
+    probability = totals.log_probability(counts, found["lattice_log"].to_numpy())
     return {w.encode(): pair for w, pair in zip(found["word"].to_pylist(), zip(counts.tolist(), probability.tolist()))}
 
 
 def document_terms(words: list[bytes], known: dict[bytes, tuple[float, float]], totals: Totals, copy: float):
     """Known tokens, base and score of the words in ``known`` and the end; the other words with their copy shares.
 
-    ``known`` has the count and probability of a word.
+    ``known`` has the count and the natural log of the probability of a word.
     """
     n = len(words)
     places: dict[bytes, int] = {}
@@ -279,7 +285,9 @@ def document_terms(words: list[bytes], known: dict[bytes, tuple[float, float]],
     at = count[ids] if n else np.zeros(0)
     here = at >= 0
     base = float(totals.base(at[here]).sum()) + float(totals.base(np.array(float(totals.documents))))
-    score = float(np.log10(left[:n][here] * prob[ids[here]] + copies[here]).sum()) + math.log10(left[n] * totals.end())
+    with np.errstate(divide="ignore"):
+        logs = np.logaddexp(np.log(left[:n][here]) + prob[ids[here]], np.log(copies[here]))
+        score = (float(logs.sum()) + float(np.log(left[n])) + totals.end()) / math.log(10)
     known_tokens = int((at[here] > 0).sum()) + int(totals.documents > 0)
     rare = []
     missing = np.flatnonzero(count < 0)
@@ -310,6 +318,12 @@ def _score(head, totals: Totals, copy: float):
     return run
 
 
+def _log_sum(a: Column, b: Column) -> Column:
+    """Log of the sum of two numbers given by their natural logs."""
+    top = F.greatest(a, b)
+    return top + F.log1p(F.exp(F.least(a, b) - top))
+
+
 def score_documents(docs: DataFrame, model_file: str, folds: int = 7, held: int = 2, head: int = HEAD, copy: float = COPY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -333,10 +347,11 @@ def score_documents(docs: DataFrame, model_file: str, folds: int = 7, held: int
     scored = stored(source.select("doc_id", "held_out", "text").mapInArrow(_score(shared, totals, copy), SCORED), "scored")
     unseen = max(totals.distinct, 1)
     rare = scored.select("uid", F.inline("rare")).join(table, "word")
-    p = (F.col("c") + unseen * F.col("lattice")) / F.lit(float(totals.tokens + unseen))
-    per_token = F.aggregate(
-        "copies", F.lit(0.0), lambda a, x: a + F.log10(F.when(x < 0, F.col("p")).otherwise(F.lit(1 - copy) * F.col("p") + x))
-    )
+    piece = F.col("lattice_log") + math.log(unseen)
+    p = F.when(F.col("c") > 0, _log_sum(F.log(F.col("c").cast("double")), piece)).otherwise(piece) - math.log(totals.tokens + unseen)
+    new = F.col("p") + (math.log1p(-copy) if copy < 1 else -math.inf)
+    token = lambda x: F.when(x < 0, F.col("p")).when(x > 0, _log_sum(new, F.log(x))).otherwise(new)
+    per_token = F.aggregate("copies", F.lit(0.0), lambda a, x: a + token(x)) / math.log(10)
     times = F.size("copies")
     joined = rare.withColumn("p", p).select(
         "uid",
