@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import balltree, html_text, lattice, mixing, ownership, packing, quality, simhash, tokens, vptree
+from tidemark.llm import alignment, balltree, html_text, idfiles, importance, lattice, mixing, ownership, packing, quality, simhash, tokens, vptree
 from tidemark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def tokenizer_path(name: str) -> str:
 
 PIECES = "piece_bpe_32k.model"
 WORDS = "word_bpe_49k.json"
+BYTES = "byte_bpe_50k.json"
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,18 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.token_files(read(spark, sf_dir, "documents"), tokenizer_path(WORDS))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_align(read(spark, sf_dir, "documents"), tokenizer_path(BYTES), tokenizer_path(PIECES))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -77,6 +90,9 @@ QUERIES: dict[str, Query] = {
         op8_token_counts,
         op9_packing,
         op10_page_text,
+        op11_target_resampling,
+        op12_token_files,
+        op13_token_alignment,
     )
 }
 
