@@ -17,6 +17,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 
 HEAD_PAIRS = 1 << 20
-REMEMBERED = 150_000
+REMEMBERED = 200_000
+UNITS_AT_ONCE = 2_000
 REMEMBERED_LINKS = 4_000_000
 MARK = "▁"
 # A blank or line feed between characters that are no white space: both tokenizers start anew there. The byte-level one
 # splits texts by a pattern in which no match goes on from such a character to white space, and a blank or
 # line feed before such a character begins a match; the other has no piece across these places (``Pieces`` proves it).
 _UNIT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_PLAIN = re.compile(r"[ \n]\S+")
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>"
 
@@ -55,9 +58,10 @@ class ByteLevel:
         for token, i in vocabulary.items():
             # A special token is written plainly; it never occurs in a text's ids.
             self.token[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        self.size = np.array([len(t) for t in self.token], np.int64)
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 
 def _byte_letters() -> dict[str, int]:
@@ -84,15 +88,15 @@ class Pieces:
             plain = not (self.library.is_control(i) or self.library.is_unknown(i))
             if plain and (MARK in piece.lstrip(MARK) or "\n" in piece):
                 raise ValueError("a piece crosses the borders of units; texts of this model cannot be split")
-        self.line = self.library.encode("\n")
-        if self.library.encode("") or len(self.line) != 2:
+        self.size = np.array([len(t) for t in self.token], np.int64)
+        if self.library.encode("") or len(self.library.encode("\n")) != 2:
             raise ValueError("the model does not put one mark before a text")
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        """Ids of units, each with its leading blank or line feed."""
-        ids = self.library.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        # A unit that begins with a line feed got a mark that its text does not have.
-        return [x if u[0] == " " else x[1:] for u, x in zip(units, ids)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that begin with a blank or a line feed."""
+        ids = self.library.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1) if texts else []
+        # A text that begins with a line feed got a mark that it does not have.
+        return [x if t[0] == " " else x[1:] for t, x in zip(texts, ids)]
 
 
 class Tokenized:
@@ -113,32 +117,69 @@ class Tokenized:
         if len(self.known) > REMEMBERED:
             here = {u for units in split for u in units}
             self.known = {u: x for u, x in self.known.items() if u in here}
-        self._learn(list({u for units in split for u in units if u not in self.known}))
+        known = self.known
+        self._learn(list({u for units in split for u in units if u not in known}))
         out: list[tuple[bytes, bytes] | None] = []
         for text, units in zip(batch, split):
-            found = [self.known[u] for u in units]
-            a, b = b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+            if not units:
+                out.append(None)
+                continue
+            parts_a, parts_b, same = zip(*map(known.__getitem__, units))
+            a, b = b"".join(parts_a), b"".join(parts_b)
             # Units that are equal to their tokens make an equal text; otherwise the whole is compared.
-            equal = all([x[2] for x in found]) or self._same(" " + text, a, b)
-            out.append((a, b) if found and equal else None)
+            out.append((a, b) if all(same) or self._same(" " + text, a, b) else None)
         return out
 
     def _learn(self, new: list[str]) -> None:
-        for unit, a, b in zip(new, self.a.encode(new) if new else [], self.b.encode(new) if new else []):
+        """Ids of new units. Units without inner white space go to the libraries joined, many at a time, and their ids
+        are told apart by their bytes; where the bytes do not fit, and for other units, each goes on its own."""
+        plain = [u for u in new if _PLAIN.fullmatch(u)]
+        rest = [u for u in new if not _PLAIN.fullmatch(u)]
+        for first in range(0, len(plain), UNITS_AT_ONCE):
+            units = plain[first : first + UNITS_AT_ONCE]
+            ends = np.cumsum([len(u.encode()) for u in units])
+            cut = [self._cut(t, "".join(units), ends) for t in (self.a, self.b)]
+            if None in cut:
+                rest += units
+            else:
+                self.known.update(zip(units, zip(*cut, repeat(True))))
+        for unit, a, b in zip(rest, self.a.encode(rest), self.b.encode(rest)):
             a, b = np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()
             self.known[unit] = (a, b, self._same(unit, a, b))
 
+    def _cut(self, tokenizer, joined: str, ends: np.ndarray) -> list[bytes] | None:
+        """Ids of each of the joined units, or none where the tokens are not the text or cross the units' ends."""
+        ids = tokenizer.encode([joined])[0]
+        if b"".join(map(tokenizer.token.__getitem__, ids)) != joined.encode():
+            return None
+        ids = np.array(ids, "<u2")
+        at = np.cumsum(tokenizer.size[ids])
+        last = np.searchsorted(at, ends)
+        if not np.array_equal(at[last], ends):
+            return None
+        packed, cuts = ids.tobytes(), (2 * (last + 1)).tolist()
+        return [packed[i:j] for i, j in zip([0, *cuts], cuts)]
+
     def _same(self, text: str, a: bytes, b: bytes) -> bool:
         want = text.encode()
         return all(b"".join([t.token[i] for i in memoryview(ids).cast("H")]) == want for t, ids in ((self.a, a), (self.b, b)))
 
 
+# What follows an id in a text of groups: another of its group, the other side, the next group, nothing.
+_AFTER = (",", "|", ";", "")
+
+
+@lru_cache(maxsize=1)
+def _written_ids() -> list[str]:
+    """The text of id i before ``_AFTER[k]`` at 4 * i + k."""
+    return [f"{i}{after}" for i in range(1 << 16) for after in _AFTER]
+
+
 class Windows:
     """Alignments of windows by their id tuples: groups, links, the groups' text."""
 
-    def __init__(self, a: list[bytes], b: list[bytes]):
-        self.size_a, self.size_b = ([len(t) for t in tokens] for tokens in (a, b))
-        self.base = len(b)
+    def __init__(self, size_a: np.ndarray, size_b: np.ndarray):
+        self.size_a, self.size_b, self.base = size_a, size_b, len(size_b)
         self.at: dict[tuple[bytes, bytes], int] = {}
         self.groups, self.texts = array("q"), []
         self.links, self.first = array("i"), array("q", [0])
@@ -148,37 +189,41 @@ class Windows:
 
     def places(self, keys: list[tuple[bytes, bytes]]) -> np.ndarray:
         """Where the alignments of these windows are kept; new ones are computed."""
-        at = self.at
-        for key in keys:
-            if key not in at:
-                at[key] = len(self.texts)
-                self._align(*key)
-        return np.fromiter(map(at.__getitem__, keys), np.int64, len(keys))
-
-    def _align(self, a: bytes, b: bytes) -> None:
-        ids_a, ids_b = memoryview(a).cast("H"), memoryview(b).cast("H")
-        size_a, size_b, base = self.size_a, self.size_b, self.base
-        parts: list[str] = []
-        i = j = from_a = from_b = 0
-        end_a, end_b = size_a[ids_a[0]], size_b[ids_b[0]]
-        while True:
-            self.links.append(ids_a[i] * base + ids_b[j])
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                parts.append(",".join(map(str, ids_a[from_a:i])) + "|" + ",".join(map(str, ids_b[from_b:j])))
-                if i == len(ids_a):
-                    break
-                from_a, from_b = i, j
-                end_a, end_b = end_a + size_a[ids_a[i]], end_b + size_b[ids_b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += size_a[ids_a[i]]
-            else:
-                j += 1
-                end_b += size_b[ids_b[j]]
-        self.first.append(len(self.links))
-        self.groups.append(len(parts))
-        self.texts.append(";".join(parts))
+        found = list(map(self.at.get, keys))
+        if None in found:
+            new = list(dict.fromkeys([k for k, at in zip(keys, found) if at is None]))
+            self.at.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
+            self._align([a for a, _ in new], [b for _, b in new])
+            found = [self.at[k] if at is None else at for k, at in zip(keys, found)]
+        return np.array(found, np.int64)
+
+    def _align(self, a: list[bytes], b: list[bytes]) -> None:
+        """Align new windows, laid end to end; a window has the same bytes on both sides."""
+        ids_a, ids_b = np.frombuffer(b"".join(a), "<u2"), np.frombuffer(b"".join(b), "<u2")
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        last = ends_a[np.cumsum([len(x) // 2 for x in a]) - 1]
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        # Between two neighbouring ends of either side, one token of each side overlap.
+        steps = np.union1d(ends_a, ends_b)
+        pairs = ids_a[np.searchsorted(ends_a, steps)].astype(np.int32) * np.int32(self.base) + ids_b[np.searchsorted(ends_b, steps)]
+        before = len(self.links)
+        self.links.frombytes(pairs.astype(np.int32).tobytes())
+        self.first.frombytes((before + np.searchsorted(steps, last, "right")).astype(np.int64).tobytes())
+        self.groups.frombytes(np.diff(np.searchsorted(shared, last, "right"), prepend=0).astype(np.int64).tobytes())
+        # Ids in the order of the text: group by group, one side after the other.
+        written, sides = [], []
+        for side, (ids, ends) in enumerate(((ids_a, ends_a), (ids_b, ends_b))):
+            group = np.searchsorted(shared, ends)
+            closes = shared[group] == ends
+            after = np.where(closes, 1 + side, 0)
+            if side:
+                after[np.searchsorted(ends, last)] = 3
+            written.append(4 * ids.astype(np.int64) + after)
+            sides.append(2 * group + side)
+        order = np.argsort(np.concatenate(sides), kind="stable")
+        names = list(map(_written_ids().__getitem__, np.concatenate(written)[order].tolist()))
+        cuts = np.cumsum([(len(x) + len(y)) // 2 for x, y in zip(a, b)]).tolist()
+        self.texts += ["".join(names[i:j]) for i, j in zip([0, *cuts], cuts)]
 
 
 def _positions(ids: np.ndarray, size: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,10 +237,8 @@ class Aligner:
 
     def __init__(self, byte_file: str, piece_file: str):
         self.tokens = Tokenized(byte_file, piece_file)
-        self.tables = []
-        for t in (self.tokens.a, self.tokens.b):
-            self.tables.append((np.array([len(x) for x in t.token], np.int64), np.array([x[:1] == b" " for x in t.token])))
-        self.windows = Windows(self.tokens.a.token, self.tokens.b.token)
+        self.tables = [(t.size, np.array([x[:1] == b" " for x in t.token])) for t in (self.tokens.a, self.tokens.b)]
+        self.windows = Windows(self.tokens.a.size, self.tokens.b.size)
 
     def batch(self, doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
         encoded = self.tokens.encode(texts)
@@ -205,7 +248,7 @@ class Aligner:
         pairs = times = np.zeros(0, np.int32)
         if held:
             if self.windows.full():
-                self.windows = Windows(self.tokens.a.token, self.tokens.b.token)
+                self.windows = Windows(self.tokens.a.size, self.tokens.b.size)
             held = np.array(held)
             a, b = (b"".join([encoded[i][k] for i in held]) for k in (0, 1))
             n_a[held], n_b[held] = ([len(encoded[i][k]) // 2 for i in held] for k in (0, 1))
