@@ -257,10 +257,28 @@ def test_alignment_of_odd_rows(spark, odd, head):
 
 def test_units_give_the_libraries_ids():
     files = tokenizer_path(BYTES), tokenizer_path(PIECES)
-    tokens, rng = alignment.Tokenized(*files), random.Random(9)
-    letters = ["a", "B", "é", "日", "1", "½", ".", "'", "s", " ", " ", "\n", "\t", "\r", "\xa0", " ", "\x1c", "\x85", "　", "👍", "é", "▁", "\x00", "the ", "<s>", "ing"]
-    texts = ["".join(rng.choices(letters, k=rng.randint(1, 25))) for _ in range(4000)]
-    for text, got in zip(texts, tokens.encode(texts)):
-        a, b = plain_tokens(text)
-        want = (np.array([i for i, _ in a], "<u2").tobytes(), np.array([i for i, _ in b], "<u2").tobytes()) if a else None
-        assert got == want, repr(text)
+    units, rng = alignment.Units(alignment.ByteLevel(files[0]), alignment.Pieces(files[1])), random.Random(9)
+    letters = ["a", "B", "é", "日", "1", "½", ".", "'", "s", " ", " ", "\n", "\t", "\r", "\xa0", "\u2003", "\x1c", "\x85", "\u3000", "👍", "é", "▁", "\x00", "the ", "<s>", "ing"]
+    plain_tokens("a")
+    a, b, _ = CACHE["libraries"]
+    for text in ["".join(rng.choices(letters, k=rng.randint(1, 25))) for _ in range(4000)]:
+        at = units.places(units.split(text))
+        assert units.a.of(at)[0].tolist() == a.encode(" " + text, add_special_tokens=False).ids, repr(text)
+        # A mark in the text may join a blank before it; such a text never equals its tokens.
+        assert units.b.of(at)[0].tolist() == b.encode(text) or "▁" in text, repr(text)
+        tokens = plain_tokens(text)[0]
+        assert bool(tokens) == (min(units.size[i] for i in at) >= 0), repr(text)
+
+
+def test_a_window_is_aligned_alike_before_and_after_it_is_known(small, monkeypatch):
+    files = tokenizer_path(BYTES), tokenizer_path(PIECES)
+    texts = [t for _, t in small]
+    import pyarrow as pa
+
+    ids = pa.array(range(len(texts)))
+    whole = alignment.Aligner(*files)
+    once, again = whole.batch(ids, texts), whole.batch(ids, texts)
+    monkeypatch.setattr(alignment, "REMEMBERED", 10)
+    forgetful = alignment.Aligner(*files)
+    parts = [forgetful.batch(ids[i : i + 7], texts[i : i + 7]) for i in range(0, len(texts), 7)]
+    assert once.equals(again) and once.to_pylist() == [r for p in parts for r in p.to_pylist()]

@@ -17,7 +17,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 
 HEAD_PAIRS = 1 << 20
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 UNITS_AT_ONCE = 2_000
 REMEMBERED_LINKS = 4_000_000
 MARK = "▁"
@@ -99,70 +99,88 @@ class Pieces:
         return [x if t[0] == " " else x[1:] for t, x in zip(texts, ids)]
 
 
-class Tokenized:
-    """Ids of both tokenizers for whole texts, as little-endian 16-bit bytes; units are encoded once."""
+class Side:
+    """Ids of all known units of one tokenizer, end to end."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.ids, self.first = array("H"), array("q", [0])
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of more units; ``ends`` says where each unit's end in them."""
+        self.first.frombytes((len(self.ids) + ends).astype(np.int64).tobytes())
+        self.ids.frombytes(ids.tobytes())
+
+    def cut(self, joined: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of joined units and where each unit's end, none where tokens are not the text or cross the bytes' ``ends``."""
+        ids = self.tokenizer.encode([joined])[0]
+        if b"".join(map(self.tokenizer.token.__getitem__, ids)) != joined.encode():
+            return None
+        ids = np.array(ids, np.uint16)
+        at = np.cumsum(self.tokenizer.size[ids])
+        last = np.searchsorted(at, ends)
+        return (ids, last + 1) if np.array_equal(at[last], ends) else None
+
+    def of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these units end to end, and how many each has."""
+        first = np.frombuffer(self.first, np.int64)
+        length = first[units + 1] - first[units]
+        return np.frombuffer(self.ids, np.uint16)[_runs(first[units], length)], length
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokenizer.token.__getitem__, ids.tolist()))
+
+
+def _runs(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each run, end to end."""
+    return np.arange(int(length.sum())) + np.repeat(first - np.cumsum(length) + length, length)
 
-    def __init__(self, byte_file: str, piece_file: str):
-        self.a, self.b = ByteLevel(byte_file), Pieces(piece_file)
-        if max(len(self.a.token), len(self.b.token)) > 1 << 16:
-            raise ValueError("ids need more than 16 bits")
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
 
-    def units(self, text: str) -> list[str]:
+class Units:
+    """Ids of both tokenizers for units of text; every unit is encoded once while it is remembered."""
+
+    def __init__(self, a: ByteLevel, b: Pieces):
+        self.a, self.b = Side(a), Side(b)
+        self.at: dict[str, int] = {}
+        # Bytes of each unit, or -1 where its tokens are not its text on both sides.
+        self.size = array("q")
+        # Where the alignment of a window of exactly this unit is kept, or -1.
+        self.window = array("q")
+
+    def split(self, text: str) -> list[str]:
         return _UNIT.split(" " + text)
 
-    def encode(self, batch: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of each text, none if empty or if the joined token bytes are not the blank and the text."""
-        split = [self.units(t) if t else [] for t in batch]
-        if len(self.known) > REMEMBERED:
-            here = {u for units in split for u in units}
-            self.known = {u: x for u, x in self.known.items() if u in here}
-        known = self.known
-        self._learn(list({u for units in split for u in units if u not in known}))
-        out: list[tuple[bytes, bytes] | None] = []
-        for text, units in zip(batch, split):
-            if not units:
-                out.append(None)
-                continue
-            parts_a, parts_b, same = zip(*map(known.__getitem__, units))
-            a, b = b"".join(parts_a), b"".join(parts_b)
-            # Units that are equal to their tokens make an equal text; otherwise the whole is compared.
-            out.append((a, b) if all(same) or self._same(" " + text, a, b) else None)
-        return out
+    def places(self, units: list[str]) -> np.ndarray:
+        found = list(map(self.at.get, units))
+        if None in found:
+            self._learn(list(dict.fromkeys([u for u, at in zip(units, found) if at is None])))
+            found = [self.at[u] if at is None else at for u, at in zip(units, found)]
+        return np.array(found, np.int64)
 
     def _learn(self, new: list[str]) -> None:
         """Ids of new units. Units without inner white space go to the libraries joined, many at a time, and their ids
         are told apart by their bytes; where the bytes do not fit, and for other units, each goes on its own."""
         plain = [u for u in new if _PLAIN.fullmatch(u)]
         rest = [u for u in new if not _PLAIN.fullmatch(u)]
-        for first in range(0, len(plain), UNITS_AT_ONCE):
-            units = plain[first : first + UNITS_AT_ONCE]
-            ends = np.cumsum([len(u.encode()) for u in units])
-            cut = [self._cut(t, "".join(units), ends) for t in (self.a, self.b)]
+        for begin in range(0, len(plain), UNITS_AT_ONCE):
+            units = plain[begin : begin + UNITS_AT_ONCE]
+            sizes = [len(u.encode()) for u in units]
+            cut = [side.cut("".join(units), np.cumsum(sizes)) for side in (self.a, self.b)]
             if None in cut:
                 rest += units
             else:
-                self.known.update(zip(units, zip(*cut, repeat(True))))
-        for unit, a, b in zip(rest, self.a.encode(rest), self.b.encode(rest)):
-            a, b = np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()
-            self.known[unit] = (a, b, self._same(unit, a, b))
-
-    def _cut(self, tokenizer, joined: str, ends: np.ndarray) -> list[bytes] | None:
-        """Ids of each of the joined units, or none where the tokens are not the text or cross the units' ends."""
-        ids = tokenizer.encode([joined])[0]
-        if b"".join(map(tokenizer.token.__getitem__, ids)) != joined.encode():
-            return None
-        ids = np.array(ids, "<u2")
-        at = np.cumsum(tokenizer.size[ids])
-        last = np.searchsorted(at, ends)
-        if not np.array_equal(at[last], ends):
-            return None
-        packed, cuts = ids.tobytes(), (2 * (last + 1)).tolist()
-        return [packed[i:j] for i, j in zip([0, *cuts], cuts)]
+                self._add(units, cut, sizes)
+        for unit, *ids in zip(rest, self.a.tokenizer.encode(rest), self.b.tokenizer.encode(rest)):
+            ids = [np.array(x, np.uint16) for x in ids]
+            same = all(side.bytes_of(x) == unit.encode() for side, x in zip((self.a, self.b), ids))
+            self._add([unit], [(x, np.array([len(x)])) for x in ids], [len(unit.encode()) if same else -1])
 
-    def _same(self, text: str, a: bytes, b: bytes) -> bool:
-        want = text.encode()
-        return all(b"".join([t.token[i] for i in memoryview(ids).cast("H")]) == want for t, ids in ((self.a, a), (self.b, b)))
+    def _add(self, units: list[str], cut: list[tuple[np.ndarray, np.ndarray]], sizes: list[int]) -> None:
+        self.at.update(zip(units, range(len(self.at), len(self.at) + len(units))))
+        for side, (ids, ends) in zip((self.a, self.b), cut):
+            side.add(ids, ends)
+        self.size.extend(sizes)
+        self.window.extend([-1] * len(units))
 
 
 # What follows an id in a text of groups: another of its group, the other side, the next group, nothing.
@@ -202,9 +220,8 @@ class Windows:
         ids_a, ids_b = np.frombuffer(b"".join(a), "<u2"), np.frombuffer(b"".join(b), "<u2")
         ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
         last = ends_a[np.cumsum([len(x) // 2 for x in a]) - 1]
-        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
         # Between two neighbouring ends of either side, one token of each side overlap.
-        steps = np.union1d(ends_a, ends_b)
+        steps, shared = _merged(ends_a, ends_b)
         pairs = ids_a[np.searchsorted(ends_a, steps)].astype(np.int32) * np.int32(self.base) + ids_b[np.searchsorted(ends_b, steps)]
         before = len(self.links)
         self.links.frombytes(pairs.astype(np.int32).tobytes())
@@ -226,63 +243,97 @@ class Windows:
         self.texts += ["".join(names[i:j]) for i, j in zip([0, *cuts], cuts)]
 
 
-def _positions(ids: np.ndarray, size: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets where tokens begin, and those of space-marked tokens."""
-    begins = np.cumsum(size[ids]) - size[ids]
-    return begins, begins[spaced[ids]]
+def _merged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of two rising arrays, and those that both have."""
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    again = np.zeros(len(both), bool)
+    again[1:] = both[1:] == both[:-1]
+    return both[~again], both[again]
 
 
 class Aligner:
     """Alignments of batches of texts."""
 
     def __init__(self, byte_file: str, piece_file: str):
-        self.tokens = Tokenized(byte_file, piece_file)
-        self.tables = [(t.size, np.array([x[:1] == b" " for x in t.token])) for t in (self.tokens.a, self.tokens.b)]
-        self.windows = Windows(self.tokens.a.size, self.tokens.b.size)
+        self.tokenizers = ByteLevel(byte_file), Pieces(piece_file)
+        if max(len(t.token) for t in self.tokenizers) > 1 << 16:
+            raise ValueError("ids need more than 16 bits")
+        self.spaced = [np.array([x[:1] == b" " for x in t.token]) for t in self.tokenizers]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units = Units(*self.tokenizers)
+        self.windows = Windows(*(t.size for t in self.tokenizers))
 
     def batch(self, doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        encoded = self.tokens.encode(texts)
-        held = [i for i, x in enumerate(encoded) if x]
-        n_a, n_b, n_groups, n_links = (np.zeros(len(texts), np.int64) for _ in range(4))
-        digests, ends = [""] * len(texts), np.zeros(len(texts) + 1, np.int32)
-        pairs = times = np.zeros(0, np.int32)
-        if held:
-            if self.windows.full():
-                self.windows = Windows(self.tokens.a.size, self.tokens.b.size)
-            held = np.array(held)
-            a, b = (b"".join([encoded[i][k] for i in held]) for k in (0, 1))
-            n_a[held], n_b[held] = ([len(encoded[i][k]) // 2 for i in held] for k in (0, 1))
-            place, of_text = self._windows(a, b, n_a[held])
-            groups = np.frombuffer(self.windows.groups, np.int64)[place]
-            first = np.frombuffer(self.windows.first, np.int64)
-            length = first[place + 1] - first[place]
-            n_groups[held] = np.bincount(of_text, groups, len(held)).astype(np.int64)
-            n_links[held] = np.bincount(of_text, length, len(held)).astype(np.int64)
-            cuts = np.searchsorted(of_text, np.arange(len(held) + 1)).tolist()
-            kept = list(map(self.windows.texts.__getitem__, place.tolist()))
-            for i, lo, hi in zip(held.tolist(), cuts, cuts[1:]):
-                digests[i] = hashlib.sha256(";".join(kept[lo:hi]).encode()).hexdigest()
-            # All links of the batch, each with its text; equal ones of a text are counted.
-            at = np.arange(int(length.sum())) + np.repeat(first[place] - np.cumsum(length) + length, length)
-            links = np.frombuffer(self.windows.links, np.int32)[at]
-            keyed, times = np.unique(np.repeat(held[of_text], length) << 32 | links, return_counts=True)
-            pairs, times = (keyed & 0xFFFFFFFF).astype(np.int32), times.astype(np.int32)
-            ends = np.searchsorted(keyed >> 32, np.arange(len(texts) + 1)).astype(np.int32)
+        if len(self.units.at) > REMEMBERED or self.windows.full():
+            self._forget()
+        split = [self.units.split(t) if t else [] for t in texts]
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        units = self.units.places(list(chain.from_iterable(split)))
+        row = np.repeat(np.arange(len(texts)), count)
+        size = np.frombuffer(self.units.size, np.int64)[units]
+        for i in np.unique(row[size < 0]).tolist():
+            # Some unit is not what its tokens join to, so the text is not either, but for odd luck: compare the whole.
+            mine = units[row == i]
+            if any(side.bytes_of(side.of(mine)[0]) != (" " + texts[i]).encode() for side in (self.units.a, self.units.b)):
+                count[i] = 0
+        kept = count[row] > 0
+        return self._aligned(doc_ids, units[kept], row[kept])
+
+    def _aligned(self, doc_ids: pa.Array, units: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        """The result of texts as their units end to end; ``row`` says which text each unit is of."""
+        rows = len(doc_ids)
+        (ids_a, len_a), (ids_b, len_b) = self.units.a.of(units), self.units.b.of(units)
+        n_a, n_b = (np.bincount(row, n, rows).astype(np.int64) for n in (len_a, len_b))
+        place, of_row = self._windows(units, row, ids_a, len_a, ids_b, len_b)
+        groups = np.frombuffer(self.windows.groups, np.int64)[place]
+        first = np.frombuffer(self.windows.first, np.int64)
+        length = first[place + 1] - first[place]
+        n_groups, n_links = (np.bincount(of_row, n, rows).astype(np.int64) for n in (groups, length))
+        cuts = np.searchsorted(of_row, np.arange(rows + 1)).tolist()
+        written = list(map(self.windows.texts.__getitem__, place.tolist()))
+        digests = [hashlib.sha256(";".join(written[i:j]).encode()).hexdigest() if j > i else "" for i, j in zip(cuts, cuts[1:])]
+        # All links of the batch, each with its text; equal ones of a text are counted.
+        links = np.frombuffer(self.windows.links, np.int32)[_runs(first[place], length)]
+        keyed = np.sort(np.repeat(of_row, length) << 32 | links)
+        begins = np.flatnonzero(np.diff(keyed, prepend=-1))
+        times = np.diff(begins, append=len(keyed)).astype(np.int32)
+        ends = np.searchsorted(keyed[begins] >> 32, np.arange(rows + 1)).astype(np.int32)
+        pairs = (keyed[begins] & 0xFFFFFFFF).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (pairs, times)]
         numbers = [pa.array(x) for x in (n_a, n_b, n_groups, n_links)]
-        return pa.record_batch([doc_ids, *numbers, pa.array(digests), *lists], [c.split()[0] for c in ALIGNED.split(", ")])
-
-    def _windows(self, a: bytes, b: bytes, n_a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The windows of joined texts: where their alignments are, and which text each is in."""
-        ids_a, ids_b = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
-        begins_a, marked_a = _positions(ids_a, *self.tables[0])
-        begins_b, marked_b = _positions(ids_b, *self.tables[1])
-        # Both streams have the same bytes per text, so offsets agree over the batch and texts begin windows.
-        heads = begins_a[np.cumsum(n_a) - n_a]
-        cuts = np.union1d(np.intersect1d(marked_a, marked_b, assume_unique=True), heads)
-        at_a, at_b = (np.append(2 * np.searchsorted(begins, cuts), len(ids)).tolist() for begins, ids in ((begins_a, a), (begins_b, b)))
-        keys = [(a[i:k], b[j:m]) for i, k, j, m in zip(at_a, at_a[1:], at_b, at_b[1:])]
-        return self.windows.places(keys), np.searchsorted(heads, cuts, "right") - 1
+        return pa.record_batch([doc_ids, *numbers, pa.array(digests, pa.string()), *lists], [c.split()[0] for c in ALIGNED.split(", ")])
+
+    def _windows(self, units, row, ids_a, len_a, ids_b, len_b) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of the texts: where their alignments are, and which text each is in."""
+        if not len(units):
+            return units, units
+        begins, marked = [], []
+        for ids, tokenizer, spaced in zip((ids_a, ids_b), self.tokenizers, self.spaced):
+            size = tokenizer.size[ids]
+            begins.append(np.cumsum(size) - size)
+            marked.append(begins[-1][spaced[ids]])
+        # Both streams have the same bytes per text, so offsets agree over the batch. Anchors are offsets at which a
+        # space-marked token begins in both; a text always begins a window.
+        begun = begins[0][np.cumsum(len_a) - len_a]
+        heads = begun[np.flatnonzero(np.diff(row, prepend=-1))]
+        cuts = _merged(_merged(*marked)[1], heads)[0]
+        # A window of exactly one unit is looked up by the unit; a window's alignment follows from its ids.
+        unit = np.searchsorted(begun, cuts)
+        unit[unit == len(begun)] = 0
+        after = np.append(begun[1:], -1)
+        alone = (begun[unit] == cuts) & (after[unit] == np.append(cuts[1:], -1))
+        window = np.frombuffer(self.units.window, np.int64)
+        place = np.where(alone, window[units[unit]], -1)
+        open_ = np.flatnonzero(place < 0)
+        at_a, at_b = (2 * np.append(np.searchsorted(x, cuts), len(x)) for x in begins)
+        a, b = ids_a.tobytes(), ids_b.tobytes()
+        keys = [(a[i:k], b[j:m]) for i, k, j, m in zip(*(x[open_ + o].tolist() for x in (at_a, at_b) for o in (0, 1)))]
+        place[open_] = self.windows.places(keys)
+        learned = open_[alone[open_]]
+        window[units[unit[learned]]] = place[learned]
+        return place, row[np.searchsorted(begun, cuts, "right") - 1]
 
 
 @lru_cache(maxsize=1)

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
 
+def _placed(node: str, seed: int) -> Column:
+    """A node behind its place in this round's order."""
+    return F.struct(F.xxhash64(F.lit(seed), node).alias("place"), F.col(node).alias("id"))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """node, root for every node of ``links`` (a long, b long); root is a node of the component.
 
-    Each round points every node to its smallest neighbour or itself, follows that pointer once
-    more, and contracts the links to pointers' ends. Links shrink geometrically; no round gathers
-    a node's neighbours, it only takes their minimum, so a hub costs no more than its links.
-    Rounds are written tables. Links with a null end and self-links are ignored; no links give no rows.
+    Each round orders the nodes anew by a seeded hash, points every node to its first neighbour or itself, follows
+    that pointer once more, and contracts the links to pointers' ends. In a random order at least half of the
+    nodes that still have links point elsewhere on average, whatever the order of their ids, so the rounds
+    grow with the logarithm of the longest chain. No round gathers a node's neighbours, it only takes their minimum,
+    so a hub costs no more than its links. Rounds are written tables. Links with a null end and self-links
+    are ignored; no links give no rows.
     """
     edges = stored(links.select("a", "b").where("a <> b").distinct(), "links")
-    mapping = None
+    mapping, seed = None, 0
     while True:
+        seed += 1
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lows = both.withColumnRenamed("a", "node").groupBy("node").agg(F.min("b").alias("low"))
-        first = stored(lows.select("node", F.least("node", "low").alias("next")), "pointers")
+        lows = both.withColumnRenamed("a", "node").groupBy("node").agg(F.min(_placed("b", seed)).alias("low"))
+        first = stored(lows.select("node", F.least("low", _placed("node", seed))["id"].alias("next")), "pointers")
         if mapping is None and first.isEmpty():
             return first.select("node", F.col("next").alias("root"))
         hop = first.select(F.col("node").alias("next"), F.col("next").alias("end"))
