@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import half_even
 from tidemark.functions import buckets, parsing
-from tidemark.operators import features, metrics, model, quality
+from tidemark.operators import attribution, features, metrics, model, quality, tuning
 from tidemark.operators.series import latest_rows
 from tidemark.plans.canonical import GRID_VALUES, HOURLY, ZONES, Tables
 from tidemark.plans.queries_reports import TARGETS
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
+from tidemark.session import written as kept
 from tidemark.sources import tables
 from tidemark.streaming import alerts, hourly, live
 
@@ -355,13 +357,30 @@ def _(t: Tables) -> DataFrame:
     """All trials of the search over its six parameters."""
     train, val, _test = divided(model_table(t))
     label = TARGETS[12]
-    best, history = model.random_search(some(train, label).cache(), some(val, label).cache(), matrix_columns(train), label, TRIALS, SEARCHED, "weight")
+    best, history = model.random_search(kept(some(train, label), "fit-rows"), kept(val, "score-rows"), matrix_columns(train), label, TRIALS, SEARCHED, "weight")
     inside = all(a <= getattr(p, k) <= b for p, _mae in history for k, (a, b) in SEARCHED.items())
     smallest = min(mae for _p, mae in history) == next(mae for p, mae in history if p == best)
     rows = [(len(history), sum(p == best for p, _mae in history), inside, smallest)]
     return t.spark.createDataFrame(rows, "trials int, best int, in_space boolean, best_is_smallest boolean")
 
 
+@query(
+    "m7_tpe_search",
+    f"""{MODEL_SQL}, val AS (SELECT count(actual) AS n, avg(actual) AS mean FROM long WHERE split = 'val' AND horizon_hours = 12)
+SELECT CAST(trial AS INTEGER) AS trial, n AS rows_scored, mean AS mean_actual, true AS in_space, 1 AS best FROM val, range({TRIALS}) r(trial)""",
+    floats="mean_actual",
+    ctes="merged",
+)
+def _(t: Tables) -> DataFrame:
+    """Every trial of the Parzen search: the rows it was scored on, and that one trial is best."""
+    train, val, _test = divided(model_table(t))
+    label = TARGETS[12]
+    trials = tuning.tpe_search(train, val, matrix_columns(train), label, SEARCHED, TRIALS, fit_on=kept(some(train, label), "fit-rows"), weight="weight")
+    inside = reduce(lambda x, y: x & y, (F.col(k).between(a, b) for k, (a, b) in SEARCHED.items()))
+    best = trials.agg(F.count_if(F.col("is_best") & (F.col("mae") >= 0)).cast("int").alias("best"))
+    return trials.select("trial", "rows_scored", "mean_actual", inside.alias("in_space")).join(F.broadcast(best))
+
+
 POINTS = {"trees": (1, 2, 3, 4, 5), "depth": (1, 2, 3, 4, 5), "step": (0.05, 0.1, 0.15, 0.2, 0.3)}
 
 
@@ -387,6 +406,28 @@ def _(t: Tables) -> DataFrame:
     return rows.withColumn("_one", F.lit(1)).join(summary.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+@query(
+    "m9_attributions",
+    f"""{MODEL_SQL} SELECT zone, datetime, 94 AS features, true AS adds_up FROM long WHERE split = 'val' AND horizon_hours = 12""",
+    ctes="merged",
+)
+def _(t: Tables) -> DataFrame:
+    """Of every validation row: base and contributions of all features add up to the model's own prediction."""
+    models, (_train, val, _test) = fitted(t)
+    rows = attribution.attributions(models[12], val, ["zone", "datetime"])
+    total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda s, x: s + x)
+    fine = F.abs(total - F.col("raw")) <= 1e-9 * (1 + F.abs(F.col("raw")))
+    return rows.select("zone", "datetime", F.size("contributions").alias("features"), fine.alias("adds_up"))
+
+
+@query("m9_top_attributions")
+def _(t: Tables) -> DataFrame:
+    """The ten features with the largest mean absolute contribution over all validation rows."""
+    models, (_train, val, _test) = fitted(t)
+    names, _owner = attribution.feature_names(models[12])
+    return attribution.top_attributions(attribution.attributions(models[12], val, ["zone"]), names)
+
+
 PREDICTED_SQL = f"""{MODEL_SQL} SELECT zone, datetime, horizon_hours, 'gbt' AS model, actual, true AS at_floor FROM long WHERE split = 'test'"""
 
 
