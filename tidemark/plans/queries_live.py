@@ -17,7 +17,7 @@ from tidemark.plans.queries_reports import TARGETS
 from tidemark.plans.registry import query
 from tidemark.session import scratch_path
 from tidemark.session import written as kept
-from tidemark.sources import tables
+from tidemark.sources import deliveries, tables
 from tidemark.streaming import alerts, hourly, live
 
 CI, LOAD = GRID_VALUES[0], GRID_VALUES[4]
@@ -234,6 +234,31 @@ def _(t: Tables) -> DataFrame:
     return merged.groupBy("zone").agg(F.count(F.lit(1)).alias("rows"), F.sum("_late").alias("backfilled"))
 
 
+@query(
+    "x8_corrections",
+    """WITH first AS (SELECT zone, ts, max(whole)::DOUBLE AS v, min(k) AS k FROM readings GROUP BY zone, ts)
+SELECT zone, ts AS datetime, CASE WHEN k < 50 THEN v + 1000 WHEN k < 80 THEN v + 5 ELSE v END AS value, CASE WHEN k < 50 THEN 3 WHEN k < 80 THEN 2 ELSE 1 END AS version FROM first""",
+    ctes="readings",
+)
+def _(t: Tables) -> DataFrame:
+    """Four deliveries: all rows, a correction, an older correction that comes late, and the first correction again."""
+    out = scratch_path(t.spark, "corrections")
+    first = t.readings.groupBy("zone", F.col("ts").alias("datetime")).agg(F.max("whole").cast("double").alias("v"), F.min("k").alias("k"))
+    corrected = first.where("k < 50").selectExpr("zone", "datetime", "v + 1000 AS value", "3 AS version")
+    landed = [
+        first.selectExpr("zone", "datetime", "v AS value", "1 AS version"),
+        corrected,
+        first.where("k < 80").selectExpr("zone", "datetime", "v + 5 AS value", "2 AS version"),
+        corrected,
+    ]
+    schema = "zone string, datetime timestamp, value double, version int"
+    for rows in landed:
+        rows.write.mode("append").parquet(f"{out}/landing")
+        stream = t.spark.readStream.schema(schema).parquet(f"{out}/landing")
+        deliveries.merge_available(stream, f"{out}/table", f"{out}/checkpoint", ["zone", "datetime"], "datetime", "version").awaitTermination()
+    return deliveries.read_deliveries(t.spark, f"{out}/table", schema)
+
+
 @query(
     "x9_stream_join",
     "SELECT zone, datetime, carbon_intensity_gco2_per_kwh, temperature_2m_c FROM observed JOIN weather USING (zone, datetime)",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import buckets
 from tidemark.functions.scalars import signed_percent
-from tidemark.operators import decisions, features, metrics, profile, quality, ranks, resample, schedule, split
+from tidemark.operators import decisions, distance, features, metrics, profile, quality, ranks, resample, schedule, split
 from tidemark.operators.series import bounded_window
 from tidemark.plans.canonical import GRID_VALUES, HOURLY, RUNS, TRAIN_END, VAL_END, Tables
 from tidemark.plans.queries_tables import LEVEL_INDEX_SQL, LEVEL_SQL, REPORT_LEVEL_SQL, SEASON_SQL, SPLIT_CASE
@@ -546,6 +546,22 @@ def _(t: Tables) -> DataFrame:
     return quality.drift_table(first_half(t, True), first_half(t, False), ["user_id"])
 
 
+@query(
+    "q6_distribution_distance",
+    f"""WITH {HALVES},
+l AS (SELECT 'whole' AS feature, whole::DOUBLE AS v, 1 AS b, 0 AS c FROM base UNION ALL SELECT 'user_id', user_id::DOUBLE, 1, 0 FROM base
+  UNION ALL SELECT 'whole', whole::DOUBLE, 0, 1 FROM cur UNION ALL SELECT 'user_id', user_id::DOUBLE, 0, 1 FROM cur),
+n AS (SELECT feature, v, sum(b) AS b, sum(c) AS c FROM l WHERE v IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT feature, sum(b) OVER w / sum(b) OVER a AS fb, sum(c) OVER w / sum(c) OVER a AS fc, lead(v) OVER w - v AS step, sum(b) OVER a AS nb, sum(c) OVER a AS nc
+  FROM n WINDOW w AS (PARTITION BY feature ORDER BY v), a AS (PARTITION BY feature))
+SELECT feature, CAST(max(nb) AS BIGINT) AS baseline_n, CAST(max(nc) AS BIGINT) AS current_n, max(abs(fb - fc)) AS ks, sum(abs(fb - fc) * coalesce(step, 0)) AS wasserstein FROM f GROUP BY feature""",
+    floats="ks wasserstein",
+    ctes="readings",
+)
+def _(t: Tables) -> DataFrame:
+    return distance.distribution_distance(first_half(t, True), first_half(t, False), ["whole", "user_id"])
+
+
 @query(
     "q7_population_stability",
     f"""WITH {HALVES},
