@@ -2,8 +2,9 @@
 
 Candidates are assignments, access keys and long hex strings, and besides them any long token
 that looks random. The hashes of their values are counted over the whole corpus by distinct owners
-and repositories. A value seen with few owners is owner-specific and live-looking; one seen with many is a
-copied example. Owner-specific random-looking tokens that no base span covers are added as spans.
+and repositories. A value with many owners and in many repositories is a copied example. Any other is owner-specific
+and live-looking: one that few owners use, in however many repositories, or one that many owners of a single
+repository share. Owner-specific random-looking tokens that no base span covers are added as spans.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ASSIGN_LENGTH = 8
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_BITS = 3.5
 OWNERS = 2
+REPOS = 2
+SALTS = 16
 
 SPAN = "array<struct<start: int, kind: int, stop: int, value: string>>"
 
@@ -71,17 +74,25 @@ def candidate_spans(text: Column) -> Column:
     return scan(text)
 
 
-def _ownership(found: DataFrame) -> DataFrame:
-    """value, owners, repos over rows (owner, repo, spans): distinct pairs first, then counts."""
+def _copied(found: DataFrame, owners: int, repos: int) -> DataFrame:
+    """Values of rows (owner, repo, spans) with more than ``owners`` owners and more than ``repos`` repositories."""
     seen = found.select("owner", "repo", F.explode("spans.value").alias("value")).distinct()
-    return seen.groupBy("value").agg(F.count_distinct(F.coalesce("owner", F.lit(""))).alias("owners"), F.count(F.lit(1)).alias("repos"))
+    counted = seen.groupBy("value").agg(
+        F.count_distinct(F.to_json(F.struct("owner"))).alias("owners"), F.count_distinct("repo").alias("repos")
+    )
+    return counted.where((F.col("owners") > owners) & (F.col("repos") > repos)).select("value")
+
 
+def _judged(found: DataFrame, owners: int, repos: int) -> DataFrame:
+    """uid and its spans with ``live``: whether the value is not one that many owners and repositories copy.
 
-def _judged(found: DataFrame, owners: int) -> DataFrame:
-    """uid and its spans with ``live``: whether the value belongs to at most ``owners`` owners."""
-    spans = found.select("uid", F.inline("spans")).join(_ownership(found), "value")
-    live = F.struct("start", "kind", "stop", (F.col("owners") <= owners).alias("live"))
-    return spans.groupBy("uid").agg(F.array_sort(F.collect_list(live)).alias("judged"))
+    Only the copied values are joined, and salted, since the spans of one example key may be most rows.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    copied = _copied(found, owners, repos).select("value", salts, F.lit(False).alias("own"))
+    spans = found.select("uid", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int").alias("salt"), F.inline("spans"))
+    live = F.struct("start", "kind", "stop", F.coalesce("own", F.lit(True)).alias("live"))
+    return spans.join(copied, ["value", "salt"], "left").groupBy("uid").agg(F.array_sort(F.collect_list(live)).alias("judged"))
 
 
 def _texts_of(spans: Column) -> Column:
@@ -89,12 +100,12 @@ def _texts_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["stop"])), ",")
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), owners: int = OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied for every row.
 
     n_live and n_copied count all spans by ownership. Null and empty texts have no spans: counts 0,
     the hash of the empty text and an empty ``spans``. Null owners and repositories are one owner
-    and one repository. Repeated rows keep one result each, and since they share an owner they do
+    and one repository, apart from empty ones. Repeated rows keep one result each, and since they share an owner they do
     not make a value look copied. An empty table gives an empty result.
     """
     rows = docs.select(
@@ -106,7 +117,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] =
     )
     rows = stored(rows, "candidates")
     some = rows.where(F.size("spans") > 0)
-    judged = some.select("uid", "doc_id").join(_judged(some, owners), "uid")
+    judged = some.select("uid", "doc_id").join(_judged(some, owners, repos), "uid")
     none = rows.where(F.size("spans") == 0).select("uid", "doc_id", F.expr("cast(array() as array<struct<start: int, kind: int, stop: int, live: boolean>>)").alias("judged"))
     both = judged.unionByName(none)
 
@@ -132,7 +143,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] =
 MASK = "[secret]"
 
 
-def mask_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), owners: int = OWNERS) -> DataFrame:
+def mask_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] = ("source", "lang"), owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
     """The same rows with every owner-specific span of the text replaced by a mark.
 
     Widely copied examples stay. All columns stay; n_chars, where there is one, follows a changed
@@ -152,7 +163,7 @@ def mask_secrets(docs: DataFrame, owner: str = "source", repo: tuple[str, ...] =
         ),
         "secret-rows",
     )
-    judged = _judged(some.select("uid", "owner", "repo", "spans"), owners)
+    judged = _judged(some.select("uid", "owner", "repo", "spans"), owners, repos)
     live = F.filter("judged", lambda s: s["live"])
 
     @F.pandas_udf("string")
