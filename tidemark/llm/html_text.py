@@ -2,15 +2,15 @@
 
 A page is cut into blocks. Markup settles most of them: blocks in navigation, headers, footers,
 sidebars, notices, adverts, forms and comments are boilerplate, blocks of an article (or of the
-main element) are its text. Both stay as they are judged: removing repeated passages from articles
-would take copies of articles from all pages that carry them.
-
-Blocks that are nearly all links count as menus outside articles. Others that markup leaves open are judged by repetition within their host. The token streams of a
-shard of the host's pages (boilerplate blocks and open blocks) are concatenated, a suffix array
-sorted to ``RUN`` tokens finds every run of that length that stands on several distinct pages,
-and an open block mostly covered by such runs is boilerplate. Unique runs stay. A host's pages are dealt to
-shards of bounded size, so a large host is many tasks; boilerplate repeats on a share of a host's
-pages and so within each shard.
+main element of a page without articles) are its text. Both stay as they are judged: removing repeated
+passages from articles would take copies of articles from all pages that carry them.
+
+Blocks that are nearly all links count as menus outside articles. What markup leaves open, blocks around
+articles among it, is judged by repetition within their host. The token streams of a
+shard of the host's pages (boilerplate blocks and open blocks) are concatenated, and a suffix array
+sorted to ``RUN`` tokens finds every run of that length with the number of distinct pages it stands on.
+The shards' numbers are added per host, so a run counts from ``LEAST_PAGES`` pages on, on hosts
+of any size. An open block mostly covered by such runs is boilerplate. Unique runs stay.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,10 @@ from tidemark.llm.common import stored, texts
 
 RUN = 6
 LEAST_PAGES = 3
-PAGE_SHARE = 0.02
 COVERED = 0.8
 LINKED = 0.8
 SHARD_PAGES = 1000
+SHARD_CHARS = 4_000_000
 
 # Fixed values of the markup language.
 BLOCKS = frozenset(
@@ -164,25 +165,43 @@ def _without_raw(source: str) -> str:
     return _RAW.sub(lambda m: " " * len(m[0]), source)
 
 
-def settled(blocks: list[tuple[int, str]]) -> tuple[str | None, list[str], list[str]]:
-    """The text if markup settles it, else None; open blocks; boilerplate blocks."""
+KEPT, JUDGED, DROPPED = 0, 1, 2
+
+
+def decided(blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """(decision, text) of each block: what markup keeps, what it drops, what the host's runs must judge.
+
+    Articles stay. On a page with articles the blocks around them (of its main element, or of the page
+    if it has none) are judged, a headline or lead stands there as well as a list of teasers. Without
+    articles the main element stays, and without one all open blocks are judged.
+    """
     states = {s for s, _ in blocks if s != BOILERPLATE}
-    chrome = [t for s, t in blocks if s == BOILERPLATE]
-    for state in (ARTICLE, MAIN):
-        if state in states:
-            return "\n".join(t for s, t in blocks if s == state or s == ARTICLE), [], chrome
-    return (None if states else ""), [t for s, t in blocks if s == OPEN], chrome
+    best = max(states, default=OPEN)
+    around = MAIN if MAIN in states else OPEN
+    fate = {BOILERPLATE: DROPPED, ARTICLE: KEPT, OPEN: DROPPED, MAIN: DROPPED}
+    fate[around] = KEPT if best == MAIN else JUDGED
+    return [(fate[s], t) for s, t in blocks]
 
 
-def repeated_runs(streams: list[list[str]], run: int, least_pages: int) -> list[np.ndarray]:
-    """For each page, which tokens lie in a run of ``run`` tokens found on ``least_pages`` distinct pages.
+def settled(blocks: list[tuple[int, str]]) -> tuple[str | None, list[str], list[str]]:
+    """What markup keeps (None if it only leaves blocks to judge), the blocks to judge, the dropped ones."""
+    parts: tuple[list[str], list[str], list[str]] = ([], [], [])
+    for decision, text in decided(blocks):
+        parts[decision].append(text)
+    kept, judged, dropped = parts
+    return ("\n".join(kept) if kept or not judged else None), judged, dropped
+
+
+def _ranked(streams: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token of the concatenated streams, the rank of the run that begins there; the distinct pages
+    of each rank; each page's end.
 
-    The suffixes of the concatenated streams are ranked by their first 1, 2, 4, ... tokens, the last
-    step overlapping, until equal rank means ``run`` equal tokens. Page ends are unique tokens.
+    The suffixes are ranked by their first 1, 2, 4, ... tokens, the last step overlapping, until equal
+    rank means ``run`` equal tokens. Page ends are unique tokens.
     """
     ids: dict[str, int] = {}
     flat = [ids.setdefault(t, len(ids)) for s in streams for t in [*s, None]]  # type: ignore[arg-type]
-    lengths = np.array([len(s) + 1 for s in streams])
+    lengths = np.array([len(s) + 1 for s in streams], np.int64)
     n = len(flat)
     rank = np.array(flat, np.int64)
     ends = np.cumsum(lengths) - 1
@@ -198,69 +217,125 @@ def repeated_runs(streams: list[list[str]], run: int, least_pages: int) -> list[
     order = np.lexsort((page, rank))
     r, p = rank[order], page[order]
     new_page = np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1]))) if n else np.zeros(0, bool)
-    pages = np.bincount(r, weights=new_page, minlength=1) if n else np.zeros(1)
-    begins = np.flatnonzero(pages[rank] >= least_pages) if n else np.zeros(0, np.int64)
+    pages = np.bincount(r, weights=new_page, minlength=1).astype(np.int64) if n else np.zeros(1, np.int64)
+    return rank, pages, ends
+
+
+def _covered(begins: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Which of ``n`` tokens lie in a run that begins at one of ``begins``."""
     marks = np.zeros(n + run + 1, np.int64)
     np.add.at(marks, begins, 1)
     np.add.at(marks, begins + run, -1)
-    covered = np.cumsum(marks)[:n] > 0
-    return [covered[e - size + 1 : e] for e, size in zip(ends, lengths)]
-
-
-def unique_blocks(pages: list[tuple[list[str], list[str]]], run: int = RUN) -> list[list[str]]:
-    """Open blocks of each (open, boilerplate) page that runs repeated across pages do not cover."""
-    streams, cuts = [], []
-    for free, chrome in pages:
-        words = [b.split() for b in free]
-        cuts.append(np.cumsum([0, *map(len, words)]))
-        streams.append([w for b in words for w in b] + [w for b in chrome for w in b.split()])
-    least = max(LEAST_PAGES, int(np.ceil(PAGE_SHARE * len(pages))))
-    kept = []
-    for (free, _), cut, covered in zip(pages, cuts, repeated_runs(streams, run, least)):
-        kept.append([b for i, b in enumerate(free) if covered[cut[i] : cut[i + 1]].mean() < COVERED])
-    return kept
-
-
-def _host_shard(key: tuple, table: pa.Table) -> pa.Table:
-    rows = table.select(["page_id", "url", "settled", "free", "chrome"]).to_pylist()
-    rows.sort(key=lambda r: (r["page_id"] is None, r["page_id"], r["url"] or ""))
-    kept = unique_blocks([(r["free"] or [], r["chrome"] or []) for r in rows])
-    out = [(r["page_id"], r["url"], "\n".join(k)) for r, k in zip(rows, kept) if not r["settled"]]
+    return np.cumsum(marks)[:n] > 0
+
+
+def repeated_runs(streams: list[list[str]], run: int, least_pages: int) -> list[np.ndarray]:
+    """For each page, which tokens lie in a run of ``run`` tokens found on ``least_pages`` distinct pages."""
+    rank, pages, ends = _ranked(streams, run)
+    covered = _covered(np.flatnonzero(pages[rank] >= least_pages), len(rank), run)
+    return [covered[e - len(s) : e] for e, s in zip(ends, streams)]
+
+
+def run_key(tokens: list[str]) -> int:
+    """A run's name across shards."""
+    return xxhash.xxh64_intdigest(" ".join(tokens)) - (1 << 63)
+
+
+def run_pages(streams: list[list[str]], run: int) -> Iterator[tuple[int, int]]:
+    """(name, distinct pages) of every run inside a page, once each, in no order that matters."""
+    rank, pages, ends = _ranked(streams, run)
+    flat = [t for s in streams for t in [*s, ""]]
+    first = np.unique(rank, return_index=True)[1]
+    inside = first + run <= ends[np.searchsorted(ends, first)] if len(first) else first.astype(bool)
+    for at in first[inside]:
+        yield run_key(flat[at : at + run]), int(pages[rank[at]])
+
+
+def _shard_runs(key: tuple, table: pa.Table) -> pa.Table:
+    """Runs of a shard with their pages; a host of one shard needs only those that repeat enough."""
+    streams = [[w for b in blocks for w in b.split()] for blocks in table.column("others").to_pylist()]
+    alone = key[0].as_py()["shards"] == 1
+    found = [(k, n) for k, n in run_pages(streams, RUN) if n >= LEAST_PAGES or not alone]
+    host = key[0].as_py()["host"]
     return pa.table(
         {
-            "page_id": pa.array([o[0] for o in out], pa.int64()),
-            "url": pa.array([o[1] for o in out], pa.string()),
-            "text": pa.array([o[2] for o in out], pa.string()),
+            "host": pa.array([host] * len(found), pa.string()),
+            "run": pa.array([k for k, _ in found], pa.int64()),
+            "pages": pa.array([n for _, n in found], pa.int64()),
         }
     )
 
 
-PARSED = "settled boolean, text string, free array<string>, chrome array<string>"
-
+def without_repeated(blocks: list[str], others: list[str], place: list[int], begins: list[int]) -> str:
+    """The page's text without those judged blocks that repeated runs cover to ``COVERED`` or more.
 
-def extract_pages(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
+    ``place`` gives each of ``others`` its position in ``blocks``, -1 if markup dropped it.
+    """
+    sizes = [len(b.split()) for b in others]
+    covered = _covered(np.array(begins, np.int64), sum(sizes), RUN)
+    gone, at = set(), 0
+    for size, to in zip(sizes, place):
+        if to >= 0 and covered[at : at + size].mean() >= COVERED:
+            gone.add(to)
+        at += size
+    return "\n".join(b for i, b in enumerate(blocks) if i not in gone)
+
+
+# ``blocks`` are the kept and judged blocks of a page, ``others`` the judged and dropped ones, both in page order.
+PARSED = "blocks array<string>, others array<string>, place array<int>"
+
+
+def _parsed(source: str) -> tuple[list[str], list[str], list[int]]:
+    blocks: list[str] = []
+    others: list[str] = []
+    place: list[int] = []
+    for decision, text in decided(page_blocks(source)):
+        if decision != KEPT:
+            others.append(text)
+            place.append(len(blocks) if decision == JUDGED else -1)
+        if decision != DROPPED:
+            blocks.append(text)
+    return blocks, others, place
+
+
+def extract_pages(pages: DataFrame, shard_pages: int = SHARD_PAGES, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """page_id, url, text, n_chars for every page.
 
     Null and empty html have the empty text. Null urls form one host. Repeated rows and ids keep a row each; an empty table gives an empty
-    result. Other columns are not read. Very long pages are handled whole.
+    result. Other columns are not read. Very long pages are handled whole. Shards change no result: their runs are counted over the whole host.
     """
 
     @F.pandas_udf(PARSED)
     def parsed(column: pd.Series) -> pd.DataFrame:
-        rows = [settled(page_blocks(t)) for t in texts(column)]
-        return pd.DataFrame(
-            {"settled": [r[0] is not None for r in rows], "text": [r[0] for r in rows], "free": [r[1] for r in rows], "chrome": [r[2] for r in rows]}
-        )
+        return pd.DataFrame([_parsed(t) for t in texts(column)], columns=["blocks", "others", "place"])
+
+    @F.pandas_udf("array<long>")
+    def run_keys(others: pd.Series) -> pd.Series:
+        words = [[w for b in page for w in b.split()] for page in others]
+        return pd.Series([[run_key(w[i : i + RUN]) for i in range(len(w) - RUN + 1)] for w in words])
+
+    @F.pandas_udf("string")
+    def judged(blocks: pd.Series, others: pd.Series, place: pd.Series, begins: pd.Series) -> pd.Series:
+        return pd.Series([without_repeated(list(b), list(o), list(p), list(at)) for b, o, p, at in zip(blocks, others, place, begins)])
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     cut = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), parsed("html").alias("p"))
-    rows = stored(cut.select("page_id", "url", host.alias("host"), "p.*"), "pages")
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    shards = sizes.select(F.col("host").alias("h"), F.ceil(F.col("pages") / shard_pages).cast("long").alias("shards"))
-    streams = rows.drop("text").join(shards, F.col("host") == F.col("h"))
+    rows = stored(cut.select(F.monotonically_increasing_id().alias("uid"), "page_id", "url", host.alias("host"), "p.*"), "pages")
+    size = F.aggregate("others", F.lit(0).cast("long"), lambda n, b: n + F.length(b))
+    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum(size).alias("chars"))
+    number = F.ceil(F.greatest(F.col("pages") / shard_pages, F.col("chars") / shard_chars)).cast("long")
+    shards = sizes.select(F.col("host").alias("h"), number.alias("shards"))
+    streams = rows.where(F.size("others") > 0).join(shards, F.col("host") == F.col("h"))
     # One column names the shard: rows that a join has dealt by host would else stay together.
-    shard = F.struct("host", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).alias("number")).alias("shard")
-    judged = streams.select("page_id", "url", "settled", "free", "chrome", shard).groupBy("shard")
-    open_pages = judged.applyInArrow(_host_shard, "page_id long, url string, text string")
-    done = rows.where("settled").select("page_id", "url", "text")
-    return done.unionByName(open_pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    shard = F.struct("host", F.pmod(F.xxhash64("uid"), F.col("shards")).alias("number"), "shards").alias("shard")
+    counted = streams.select("others", shard).groupBy("shard").applyInArrow(_shard_runs, "host string, run long, pages long")
+    repeated = counted.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES).select("host", "run")
+
+    free = F.exists("place", lambda p: p >= 0)
+    begun = rows.where(free).select("uid", "host", F.posexplode(run_keys("others")).alias("at", "run"))
+    begins = begun.join(repeated, ["host", "run"]).groupBy("uid").agg(F.collect_list("at").alias("begins"))
+    none = F.expr("cast(array() as array<int>)")
+    opened = rows.where(free).join(begins, "uid", "left").withColumn("begins", F.coalesce("begins", none))
+    opened = opened.select("page_id", "url", judged("blocks", "others", "place", "begins").alias("text"))
+    done = rows.where(~free).select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
+    return done.unionByName(opened).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
