@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar, scalars
 from tidemark.operators.rolling import add_columns, add_lags, add_rolling
 from tidemark.operators.series import Series, bounded_window, fill_nulls, in_chunks
+from tidemark.session import written
 
 TARGET = "carbon_intensity_gco2_per_kwh"
 LOAD = "total_load_mw"
@@ -210,6 +211,9 @@ def build_features(
     forward = spec.reach if ahead else 0
     sized = replace(series, chunk_steps=max(series.chunk_steps, 4 * (spec.reach + forward)))
     windowed_rows = in_chunks(df, sized, spec.reach, forward, windowed, keep_chunk=fill == "general")
+    if fill == "general":
+        # The fill reads its input twice, for the rows and for the edges of their chunks.
+        windowed_rows = written(windowed_rows, "windowed")
     present = windowed_rows.columns
     interactions = {k: v for k, v in interaction_columns(present, profile).items() if k not in present}
     features = add_calendar(windowed_rows, profile, series.time).withColumns(interactions)
