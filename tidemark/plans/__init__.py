@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("queries_series", "queries_tables", "queries_reports", "queries_files", "queries_live")
+MODULES = ("queries_series", "queries_tables", "queries_reports", "queries_files", "queries_live", "queries_spans")
 
 
 def load_queries() -> None:
