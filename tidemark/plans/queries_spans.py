@@ -1,15 +1,16 @@
-"""Queries over overlapping spans and time-ordered folds."""
+"""Queries over overlapping spans, time-ordered folds and stored profiles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, overlap, schedule
+from tidemark.operators import folds, overlap, schedule, sketches
 from tidemark.plans.canonical import RUNS, Tables
 from tidemark.plans.queries_live import FIT_ROWS, MODEL_SQL, SMALL, TARGETS, divided, matrix_columns, model_table
 from tidemark.plans.queries_series import WINDOWS_SQL
 from tidemark.plans.registry import query
+from tidemark.session import written
 
 # --- overlaps --------------------------------------------------------------------------------
 
@@ -93,3 +94,42 @@ def _(t: Tables) -> DataFrame:
         train, matrix_columns(train), label, folds.one_at_a_time(SMALL, POINTS), "datetime", HORIZON * 3600, ["zone", "datetime"], FOLDS, FIT_ROWS, "weight"
     )
     return found.select("setting", "folds", "rows_scored", "mean_actual", ((F.col("mae") > 0) & (F.col("mae") < F.col("mean_actual"))).alias("learned"))
+
+
+# --- stored profiles -------------------------------------------------------------------------
+
+PROFILED = ("user_id", "whole")
+RANK_ERROR, DISTINCT_ERROR = 0.01, 0.06
+
+
+@query(
+    "a19_merged_profile",
+    """WITH l AS (SELECT zone, 'user_id' AS feature, CAST(user_id AS DOUBLE) AS v FROM readings UNION ALL SELECT zone, 'whole', CAST(whole AS DOUBLE) FROM readings)
+SELECT zone, feature, count(*) AS rows, count(v) AS n, avg(CAST(v IS NULL AS INTEGER)) AS null_rate, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS smallest, max(v) AS largest,
+  true AS distinct_close, true AS median_close FROM l GROUP BY zone, feature""",
+    floats="null_rate mean std smallest largest",
+    digits=5,
+    ctes="readings",
+)
+def _(t: Tables) -> DataFrame:
+    """Profiles of a zone merged from those of its days, and whether their estimates keep the stated bounds on the rows themselves."""
+    days = sketches.sketch_table(t.readings.withColumn("day", F.to_date("datetime")), ["zone", "day"], PROFILED)
+    stored = written(days, "profiles")
+    profile = sketches.sketched_profile(sketches.merge_sketches(stored, ["zone"]), ["zone"], {"median": 0.5})
+    # Counted values, not rows, meet the profile.
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in PROFILED])
+    counted = t.readings.select("zone", F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("zone", "feature", "value").agg(F.count(F.lit(1)).alias("held"))
+    ranks = (
+        counted.join(profile.select("zone", "feature", "median"), ["zone", "feature"])
+        .groupBy("zone", "feature")
+        .agg(
+            F.count(F.lit(1)).alias("exact_distinct"),
+            (F.sum(F.when(F.col("value") < F.col("median"), F.col("held")).otherwise(0)) / F.sum("held")).alias("below"),
+            (F.sum(F.when(F.col("value") <= F.col("median"), F.col("held")).otherwise(0)) / F.sum("held")).alias("upto"),
+        )
+    )
+    close = F.abs(F.col("distinct") - F.col("exact_distinct")) <= DISTINCT_ERROR * F.col("exact_distinct")
+    ranked = (F.col("below") - RANK_ERROR <= 0.5) & (F.col("upto") + RANK_ERROR >= 0.5)
+    return profile.join(ranks, ["zone", "feature"]).select(
+        "zone", "feature", "rows", "n", "null_rate", "mean", "std", "smallest", "largest", close.alias("distinct_close"), ranked.alias("median_close")
+    )
