@@ -84,3 +84,20 @@ def test_newest_row_wins(spark):
     data = [(*({**columns, "zone": "A", "datetime": at, "status": s, "value": v}.values()), b) for s, v, b in [("row", 1.0, 0), ("row", 2.0, 3), ("late", 9.0, 4)]]
     schema = live.OUTPUT.simpleString()[7:-1].replace(":", " ") + ", batch int"
     assert [r["value"] for r in live.newest_rows(spark.createDataFrame(data, schema)).collect()] == [2.0]
+
+
+def test_csv_file_read_by_many_tasks(spark, tmp_path):
+    """One file cut into many blocks loses no line, repeats none and reads no header as a row."""
+    rows = [f'{i},"a ""{i}"" , b",{i * 3}' for i in range(20000)]
+    (tmp_path / "large.csv").write_text("\n\n" + "time,note,rain\n" + "\n".join(rows) + "\n")
+    (tmp_path / "small.csv").write_text("rain,time\n-1,20000")
+    (tmp_path / "long.csv").write_text("time,note\n20001,\"" + "x," * 50000 + "\"\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = landing.read_csv_folder(spark, str(tmp_path))
+        assert landing._csv_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 10
+        found = sorted((int(r["time"]), r["note"], r["rain"]) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == [*[(i, f'a "{i}" , b', str(i * 3)) for i in range(20000)], (20000, None, "-1"), (20001, "x," * 50000, None)]

@@ -92,46 +92,63 @@ def quarantine(
 
 def _csv_fields(line: Column) -> Column:
     """The fields of one CSV line as an array, quotes resolved; an empty field is null."""
-    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("([^"]|"")*"|[^,]*)'), F.lit(1))
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*+(?:""[^"]*+)*+"|[^,]*)'), F.lit(1))
     plain = lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
     return F.transform(parts, lambda x: F.nullif(plain(x), F.lit("")))
 
 
-def _csv_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, its lines, and _columns, the names in its first line."""
-    whole = (
+# Stands in no text, so that the CSV source gives whole lines.
+NO_SEPARATOR = "\x01\x02\x01"
+
+
+def _csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, its header (the first line that is not blank) and _columns, the names in it.
+
+    The lines of a file may be read by several tasks: the first one is the least by (block, order in the task).
+    """
+    lines = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")
-        .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-        .filter(F.size("lines") > 0)
+        .text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+        .filter(F.trim("value") != "")
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("_block", "_at")).alias("header"))
+    names = _csv_fields(F.regexp_replace("header", "^\ufeff", ""))
+    return first.withColumn("_columns", F.transform(names, lambda c: F.coalesce(F.trim(c), F.lit(""))))
+
+
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file and _line, every line that is neither blank nor its file's header, which the CSV source itself leaves out."""
+    return (
+        spark.read.schema("_line string")
+        .options(header="true", sep=NO_SEPARATOR, quote="", escape="", pathGlobFilter="*.csv", recursiveFileLookup="true")
+        .csv(path)
+        .select(F.col("_metadata.file_path").alias("file"), "_line")
+        .filter(F.trim("_line") != "")
     )
-    names = _csv_fields(F.regexp_replace(F.get("lines", F.lit(0)), "^\ufeff", ""))
-    return whole.withColumn("_columns", F.transform(names, lambda c: F.coalesce(F.trim(c), F.lit(""))))
 
 
 def csv_quarantine(spark: SparkSession, path: str, required: str = "time") -> DataFrame:
     """file and header of the CSV files that have no ``required`` column."""
-    bad = _csv_files(spark, path).filter(~F.array_contains("_columns", required))
-    return bad.select("file", F.get("lines", F.lit(0)).alias("header"))
+    return _csv_headers(spark, path).filter(~F.array_contains("_columns", required)).select("file", "header")
 
 
 def read_csv_folder(spark: SparkSession, path: str, required: str = "time", columns: Sequence[str] | None = None) -> DataFrame:
     """All CSV files below ``path`` by column name, as text, with ``file`` and ``_columns``.
 
     Columns may stand in any order, quoted or not, and differ between files; a column that a file
-    lacks is null. Each file is read whole by one task, as landing files hold one delivery each, so
-    every line meets the header of its own file. ``columns`` names the wanted ones; without it a first scan
-    collects the distinct names, never the files. Files without the ``required`` column are left
-    out and listed by :func:`csv_quarantine`. A quoted line break is not supported.
+    lacks is null. Large files are split over tasks: lines meet the header of their file in a join with one row per file.
+    ``columns`` names the wanted ones; without it a first scan collects the distinct names, never the files.
+    Files without the ``required`` column are left out and listed by :func:`csv_quarantine`. A quoted line break is
+    not supported.
     """
-    good = _csv_files(spark, path).filter(F.array_contains("_columns", required))
+    headers = _csv_headers(spark, path).filter(F.array_contains("_columns", required)).drop("header")
     if columns is None:
-        columns = sorted(r["c"] for r in good.select(F.explode("_columns").alias("c")).distinct().collect())
+        columns = sorted(r["c"] for r in headers.select(F.explode("_columns").alias("c")).distinct().collect())
     if not columns:
         raise FileNotFoundError(f"no readable CSV files in {path}")
-    lines = good.select("file", "_columns", F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("_line"))
-    split = lines.select("file", "_columns", _csv_fields(F.col("_line")).alias("_fields"))
+    split = _csv_lines(spark, path).join(headers, "file").withColumn("_fields", _csv_fields(F.col("_line")))
 
     def field(name: str) -> Column:
         at = F.array_position("_columns", F.lit(name))
