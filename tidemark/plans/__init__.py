@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("queries_series", "queries_tables", "queries_reports", "queries_files", "queries_live", "queries_spans", "queries_mitigation")
+MODULES = ("queries_series", "queries_tables", "queries_reports", "queries_files", "queries_live", "queries_spans", "queries_mitigation", "queries_payloads")
 
 
 def load_queries() -> None:
