@@ -124,7 +124,7 @@ def run_live(t: Tables) -> DataFrame:
 
     for n in (1, 2, 3):
         part = hours.filter(arrives == n)
-        (part.unionByName(future) if n == 2 else part).coalesce(1).write.mode("append").parquet(f"{out}/hours")
+        (part.unionByName(future) if n == 2 else part).write.mode("append").parquet(f"{out}/hours")
         with rocksdb(t.spark):
             stream = t.spark.readStream.schema("zone string, datetime timestamp, value double").parquet(f"{out}/hours")
             running = (
@@ -164,6 +164,39 @@ def _(t: Tables) -> DataFrame:
     return run_live(t).groupBy("zone").agg(*[F.count_if(F.col("status") == s).alias(s) for s in (live.LATE, live.AHEAD)])
 
 
+@query(
+    "x5_from_batch_table",
+    """SELECT * FROM (SELECT zone, datetime, v AS value, """
+    + ", ".join(f"lag(v, {n}) {_W}) AS lag_{n}h" for n in live.LAGS)
+    + ", "
+    + ", ".join(f"avg(v) {_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS rolling_mean_{n}h" for n in live.WINDOWS)
+    + f""", stddev_samp(v) {_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS rolling_std_24h, v - lag(v) {_W}) AS carbon_change_1h
+FROM (SELECT zone, datetime, {CI} AS v FROM axis)) WHERE value IS NOT NULL AND datetime >= TIMESTAMP '{SECOND_BATCH}'""",
+    floats="rolling_mean_4h rolling_mean_12h rolling_mean_24h rolling_std_24h",
+    digits=5,
+    ctes="axis",
+)
+def _(t: Tables) -> DataFrame:
+    """A stream that starts from the last hours of a batch table knows them as if it had read them."""
+    out = scratch_path(t.spark, "live-tail")
+    hours = t.grid_observed.select("zone", "datetime", F.col(CI).alias("value"))
+    early = F.col("datetime") < F.lit(SECOND_BATCH).cast("timestamp")
+    hours.filter(early).write.parquet(f"{out}/history")
+    hours.filter(~early).write.parquet(f"{out}/hours")
+    with rocksdb(t.spark):
+        stream = t.spark.readStream.schema("zone string, datetime timestamp, value double").parquet(f"{out}/hours")
+        running = (
+            live.live_features(stream, t.spark.read.parquet(f"{out}/history"))
+            .writeStream.foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}"))
+            .outputMode("update")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        running.awaitTermination()
+    return live.newest_rows(t.spark.read.parquet(f"{out}/table")).select(*LIVE_COLUMNS)
+
+
 @query(
     "x6_gated_batches",
     f"""WITH l AS (SELECT zone, date_trunc('day', datetime) AS day, CASE WHEN k <> 13 THEN datetime END AS dt, CASE WHEN k >= 30 THEN whole END AS v FROM readings),

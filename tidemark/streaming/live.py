@@ -61,6 +61,11 @@ class FeatureState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._hours = handle.getMapState("hours", "hour long", "value double", None)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        hours = (initialState["datetime"].astype("datetime64[s]").astype("int64") // HOUR).tolist()
+        for hour, value in zip(hours, initialState["value"].tolist()):
+            self._hours.updateValue((hour,), (value,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows), ignore_index=True)
         hours = (arrived["datetime"].astype("datetime64[s]").astype("int64") // HOUR).tolist()
@@ -97,14 +102,28 @@ class FeatureState(StatefulProcessor):
         pass
 
 
-def live_features(hourly: DataFrame) -> DataFrame:
+def kept_hours(table: DataFrame) -> DataFrame:
+    """The rows of a batch (zone, datetime, value) table that a zone's state would still hold: at most HISTORY_HOURS hours each.
+
+    Null zones, times and values are left out.
+    """
+    known = table.select("zone", "datetime", F.col("value").cast("double").alias("value")).dropna()
+    newest = known.groupBy("zone").agg(F.max("datetime").alias("_newest"))
+    behind = F.unix_seconds("_newest") - F.unix_seconds("datetime")
+    return known.join(newest, "zone").filter(behind < HISTORY_HOURS * HOUR).drop("_newest")
+
+
+def live_features(hourly: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Feature rows of an hourly (zone, datetime, value) stream.
 
     Needs the RocksDB state store. Feed it hourly aggregates, not raw readings: a zone
-    then brings one row per hour.
+    then brings one row per hour. With ``table``, the hours before the stream begins, a new stream starts from its last hours
+    as if it had read them, without emitting them: history goes through the batch operators, in chunks, and only
+    the tail through state. A restarted stream goes on from its checkpoint and reads no table.
     """
+    initial = kept_hours(table).groupBy("zone") if table is not None else None
     return hourly.groupBy("zone").transformWithStateInPandas(
-        FeatureState(), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
+        FeatureState(), outputStructType=OUTPUT, outputMode="Update", timeMode="None", initialState=initial
     )
 
 
