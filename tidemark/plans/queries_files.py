@@ -45,7 +45,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def landed_csv(t: Tables) -> str:
-    """Weather CSV folders per location, in three header forms, and one file that has no times."""
+    """Weather CSV folders per location, in three header forms, and a file per location that has no times."""
     path = scratch_path(t.spark, "weather")
     text = t.weather.select(
         F.col("zone").alias("location"), F.date_format("datetime", "yyyy-MM-dd'T'HH:mm").alias("time"), *WEATHER_VALUES
@@ -55,7 +55,7 @@ def landed_csv(t: Tables) -> str:
     by_location(text.filter(F.col("location") == "purchase").select("location", *reversed(WEATHER_VALUES), "time"), "turned")
     narrow = text.filter(F.col("location") > "purchase").select("location", WEATHER_VALUES[2], "time", WEATHER_VALUES[0])
     by_location(narrow, "quoted", quoteAll="true")
-    text.limit(3).select("location", F.lit("no times").alias("remark")).write.option("header", "true").partitionBy("location").csv(f"{path}/broken")
+    text.select("location").distinct().withColumn("remark", F.lit("no times")).write.option("header", "true").partitionBy("location").csv(f"{path}/broken")
     return path
 
 
@@ -72,10 +72,10 @@ def _(t: Tables) -> DataFrame:
     return rows.select("time", *[parsing.to_number(F.col(c)).alias(c) for c in WEATHER_VALUES])
 
 
-@query("s2_quarantined_csv", "SELECT 'remark' AS header, true AS some FROM weather LIMIT 1", ctes="weather")
+@query("s2_quarantined_csv", "SELECT 'remark' AS header, count(DISTINCT zone) AS files FROM weather", ctes="weather")
 def _(t: Tables) -> DataFrame:
     bad = landing.csv_quarantine(t.spark, landed_csv(t))
-    return bad.groupBy("header").agg((F.count(F.lit(1)) > 0).alias("some"))
+    return bad.groupBy("header").agg(F.count_distinct("file").alias("files"))
 
 
 @query("s3_tag_zones", CSV_SQL.format(zone="zone,"), ctes="weather")

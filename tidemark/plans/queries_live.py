@@ -318,12 +318,18 @@ part AS (SELECT *, CASE WHEN datetime <= TIMESTAMP '{FIRST}' THEN 'train' WHEN d
 long AS ({" UNION ALL ".join(f"SELECT zone, datetime, split, {h} AS horizon_hours, t{h} AS actual FROM part" for h in TARGETS)})"""
 
 
-# Folders of the matrix and the models by (application, tables): the model queries of a run share them.
-WRITTEN: dict[tuple[str, str, str], str] = {}
+# Folders of the matrix and the models by application and state of the tables: the model queries of a run share them.
+WRITTEN: dict[tuple, str] = {}
+
+
+def table_state(t: Tables) -> tuple:
+    """Number, bytes and newest change of the files that the series are read from, by a listing that reads no content."""
+    files = t.spark.read.format("binaryFile").load(f"{t.sf_dir}/events.parquet")
+    return tuple(files.agg(F.count(F.lit(1)), F.sum("length"), F.unix_micros(F.max("modificationTime"))).first())
 
 
 def written(t: Tables, label: str, write) -> str:
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, label)
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, table_state(t), label)
     if key not in WRITTEN:
         path = scratch_path(t.spark, label)
         write(path)
