@@ -1,9 +1,9 @@
-"""A live stream that starts from the hours of a batch table."""
+"""A live stream that starts from the hours of a batch table, and late samples of an alert stream."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.streaming import live
+from tidemark.streaming import alerts, live
 
 
 def hours(spark, first, last):
@@ -43,3 +43,17 @@ def test_rows_equal_those_of_the_whole_series(spark, tmp_path):
         assert len(part) == len(expected)
         for c in expected.columns:
             assert part[c].tolist() == pytest.approx(expected[c].tolist(), nan_ok=True), c
+
+
+def test_late_samples_are_told_and_change_no_run(spark, tmp_path):
+    schema = "k string, ts timestamp, value double"
+    batches = [[(0, 9.0), (60, 9.0), (120, 1.0), (900, 1.0)], [(30, 1.0), (950, 1.0)]]
+    for n, batch in enumerate(batches):
+        rows = spark.createDataFrame([("a", at, v) for at, v in batch], "k string, at long, value double")
+        rows.select("k", F.timestamp_seconds("at").alias("ts"), "value").write.mode("append").parquet(str(tmp_path / "samples"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "samples"))
+        found = alerts.held_intervals(stream, "k", F.col("value") > 5, 60, 300)
+        writer = found.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+        writer.format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select(F.unix_seconds("started_at"), F.unix_seconds("last_seen"), "worst_value", "status")
+    assert sorted(map(tuple, got.collect())) == [(0, 60, 9.0, "held"), (30, 30, 1.0, "late")]

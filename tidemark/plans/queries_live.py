@@ -242,7 +242,7 @@ def _(t: Tables) -> DataFrame:
     land(t, t.readings.groupBy("zone", "ts").agg(F.max("whole").alias("whole")), path)
     with rocksdb(t.spark):
         found = streamed(t, alerts.held_intervals(landed_stream(t, path), "zone", F.col("value") >= 20, 1800, 7200, "datetime"))
-    return found.withColumnRenamed("key", "zone")
+    return found.filter(F.col("status") == alerts.HELD).drop("status").withColumnRenamed("key", "zone")
 
 
 @query(

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-INTERVALS = "key string, started_at timestamp, last_seen timestamp, worst_value double"
+INTERVALS = "key string, started_at timestamp, last_seen timestamp, worst_value double, status string"
+HELD, LATE = "held", "late"
 MICROS = 1_000_000
 
 
@@ -18,7 +19,8 @@ class HeldCondition(StatefulProcessor):
 
     Samples wait until the newest one is ``delay`` seconds past them and are then judged in order:
     a bad one opens or continues a run, a good one ends it. An ended run that lasted at least
-    ``hold`` seconds is emitted. Samples older than what was judged already are dropped.
+    ``hold`` seconds is emitted. Samples older than what was judged already change no run; each is
+    emitted as it is with the status late, so that they can be counted.
     """
 
     def __init__(self, hold: int, delay: int):
@@ -32,13 +34,15 @@ class HeldCondition(StatefulProcessor):
         started, last, worst, judged = self._run.get() if self._run.exists() else (None, None, None, None)
         waiting = {k[0]: (v[0], v[1]) for k, v in self._waiting.iterator()}
         newest = max(waiting, default=judged)
+        out = []
         for frame in rows:
             for at, value, bad in zip(frame["at"].tolist(), frame["value"].tolist(), frame["bad"].tolist()):
                 newest = at if newest is None else max(newest, at)
                 if judged is None or at > judged:
                     waiting[at] = (value, bad)
                     self._waiting.updateValue((at,), (value, bad))
-        ended = []
+                else:
+                    out.append((key[0], at, at, value, LATE))
         for at in sorted(t for t in waiting if t <= newest - self.delay):
             value, bad = waiting[at]
             self._waiting.removeKey((at,))
@@ -47,11 +51,11 @@ class HeldCondition(StatefulProcessor):
                 started, last, worst = (at, at, value) if started is None else (started, at, max(worst, value))
             elif started is not None:
                 if last - started >= self.hold:
-                    ended.append((key[0], started, last, worst))
+                    out.append((key[0], started, last, worst, HELD))
                 started = last = worst = None
         self._run.update((started, last, worst, judged))
-        if ended:
-            table = pd.DataFrame(ended, columns=["key", "started_at", "last_seen", "worst_value"])
+        if out:
+            table = pd.DataFrame(out, columns=["key", "started_at", "last_seen", "worst_value", "status"])
             for c in ("started_at", "last_seen"):
                 table[c] = pd.to_datetime(table[c], unit="us")
             yield table
@@ -61,9 +65,9 @@ class HeldCondition(StatefulProcessor):
 
 
 def held_intervals(samples: DataFrame, key: str, bad: Column, hold_seconds: int, delay_seconds: int, time: str = "ts", value: str = "value") -> DataFrame:
-    """key, started_at, last_seen, worst_value of every ended run of bad samples that held long enough.
+    """key, started_at, last_seen, worst_value of every ended run of bad samples that held long enough (status held).
 
-    Equals the batch ``alert_intervals`` over samples that a later good one has followed. Samples
+    A sample that comes after later ones were judged is a row of its own with the status late. The held rows equal the batch ``alert_intervals`` over samples that a later good one has followed. Samples
     of a key at one time count once, the last delivered. Needs the RocksDB state store.
     """
     judged = samples.filter(F.col(time).isNotNull() & F.col(value).isNotNull()).select(
