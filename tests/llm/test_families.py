@@ -1,12 +1,14 @@
 """Near-duplicate families, shared passages and chains of links."""
 
+import itertools
 import random
 from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, resemblance
+import corpus_pipeline
+from tidemark.llm import components, resemblance, simhash
 
 
 def plain_kept(docs):
@@ -62,6 +64,41 @@ def test_families_and_shared_passages(spark):
     assert kept == want and 250 < len(want) < len(docs) - 150
 
 
+def test_the_stage_links_by_simhash_and_by_similarity(spark):
+    """Chains of both kinds: fingerprints within 2 bits, some of texts that are not similar, and similar sets."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    docs = {}
+    for i in range(30):
+        base = rng.choices(words, k=rng.randint(60, 140))
+        near = [rng.choice(words) if rng.random() < 0.02 else w for w in base]
+        # Three words repeated decide the fingerprint, what follows them decides the set of shingles.
+        unit, tail = rng.sample(words, 3), rng.choices(words, k=80)
+        for text in (base, near, tail + unit, unit * 200, unit * 200 + tail):
+            docs[len(docs)] = " ".join(text)
+    docs |= {len(docs): None, len(docs) + 1: " "}
+    plain = {i: t or "" for i, t in docs.items()}
+    prints = {i: simhash.text_fingerprint(t) for i, t in plain.items()}
+    sets = {}
+    for i, t in plain.items():
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    by_bits, similar = set(), set()
+    for i, j in itertools.combinations(docs, 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 2:
+            by_bits.add((i, j))
+        if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            similar.add((i, j))
+    assert by_bits - similar and similar - by_bits
+    root = {i: i for i in docs}
+    for _ in docs:
+        for i, j in by_bits | similar:
+            root[i] = root[j] = min(root[i], root[j])
+    rows = spark.createDataFrame([(i, t, len(t or "")) for i, t in docs.items()], "doc_id long, text string, n_chars long")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, rows.unionAll(rows.limit(5)).repartition(3), "").collect())
+    assert kept == sorted(set(root.values()))
+
+
 def test_sketches_lose_no_similar_pair():
     rng = np.random.default_rng(2)
     for n in (1, 2, 7, 31, 32, 33, 100, 129, 1000):
