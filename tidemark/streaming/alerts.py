@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 INTERVALS = "key string, started_at timestamp, last_seen timestamp, worst_value double, status string"
 HELD, LATE = "held", "late"
 MICROS = 1_000_000
+# Of a sample's time, value and condition.
+KINDS = (np.int64, np.float64, bool)
 
 
 class HeldCondition(StatefulProcessor):
@@ -32,38 +35,67 @@ class HeldCondition(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         started, last, worst, judged = self._run.get() if self._run.exists() else (None, None, None, None)
-        waiting = {k[0]: (v[0], v[1]) for k, v in self._waiting.iterator()}
-        newest = max(waiting, default=judged)
-        out = []
-        for frame in rows:
-            for at, value, bad in zip(frame["at"].tolist(), frame["value"].tolist(), frame["bad"].tolist()):
-                newest = at if newest is None else max(newest, at)
-                if judged is None or at > judged:
-                    waiting[at] = (value, bad)
-                    self._waiting.updateValue((at,), (value, bad))
-                else:
-                    out.append((key[0], at, at, value, LATE))
-        for at in sorted(t for t in waiting if t <= newest - self.delay):
-            value, bad = waiting[at]
-            self._waiting.removeKey((at,))
-            judged = at
-            if bad:
-                started, last, worst = (at, at, value) if started is None else (started, at, max(worst, value))
-            elif started is not None:
-                if last - started >= self.hold:
-                    out.append((key[0], started, last, worst, HELD))
-                started = last = worst = None
+        kept = [(k[0], *v) for k, v in self._waiting.iterator()]
+        # State is a call per sample, so only those that wait for a later batch are written to it.
+        parts = [[np.array(x, kind) for x, kind in zip(list(zip(*kept)) or [[]] * 3, KINDS)]]
+        parts += [[frame[c].to_numpy(kind) for c, kind in zip(("at", "value", "bad"), KINDS)] for frame in rows]
+        at, value, bad = (np.concatenate(x) for x in zip(*parts))
+        delivered = np.arange(len(at)) >= len(kept)
+        newest = int(at.max()) if judged is None else max(judged, int(at.max(initial=judged)))
+        late = at <= judged if judged is not None else np.zeros(len(at), bool)
+        out = [_intervals(key[0], at[late], at[late], value[late], LATE)]
+        order = np.flatnonzero(~late)
+        order = order[np.argsort(at[order], kind="stable")]
+        # Of a time's samples the last delivered counts.
+        order = order[np.diff(at[order], append=np.iinfo(np.int64).max) != 0]
+        ripe = at[order] <= newest - self.delay
+        for t in at[: len(kept)][at[: len(kept)] <= newest - self.delay].tolist():
+            self._waiting.removeKey((t,))
+        for i in order[~ripe & delivered[order]].tolist():
+            self._waiting.updateValue((int(at[i]),), (float(value[i]), bool(bad[i])))
+        order = order[ripe]
+        if len(order):
+            judged = int(at[order[-1]])
+            runs, (started, last, worst) = _runs(at[order], value[order], bad[order], (started, last, worst))
+            long = runs[1] - runs[0] >= self.hold
+            out.append(_intervals(key[0], *(x[long] for x in runs), HELD))
         self._run.update((started, last, worst, judged))
+        out = [x for x in out if len(x)]
         if out:
-            table = pd.DataFrame(out, columns=["key", "started_at", "last_seen", "worst_value", "status"])
-            for c in ("started_at", "last_seen"):
-                table[c] = pd.to_datetime(table[c], unit="us")
-            yield table
+            yield pd.concat(out, ignore_index=True)
 
     def close(self) -> None:
         pass
 
 
+def _runs(at: np.ndarray, value: np.ndarray, bad: np.ndarray, open_run: tuple) -> tuple[list[np.ndarray], tuple]:
+    """Starts, ends and worst values of the runs that a good sample ends, and the run that stays open.
+
+    Samples are sorted by time and later than ``open_run`` (start, end, worst), the run that was open before, if any.
+    """
+    started, last, worst = open_run
+    if started is not None:
+        at, value, bad = (np.concatenate(([x], y)) for x, y in ((last, at), (worst, value), (True, bad)))
+    edges = np.diff(bad.astype(np.int8), prepend=0, append=0)
+    first, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(first):
+        return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], (None, None, None)
+    starts, ends = at[first], at[end - 1]
+    if started is not None:
+        starts[0] = started
+    # No number is worse than one that is not a number and begins a run; within a run such are passed over.
+    most = np.fmax.reduceat(np.append(value, np.nan), np.stack((first, end), 1).ravel())[::2]
+    most = np.where(np.isnan(value[first]), np.nan, most)
+    ended = end < len(at)
+    left = (None, None, None) if ended[-1] else (int(starts[-1]), int(ends[-1]), float(most[-1]))
+    return [starts[ended], ends[ended], most[ended]], left
+
+
+def _intervals(key: str, started: np.ndarray, last: np.ndarray, worst: np.ndarray, status: str) -> pd.DataFrame:
+    times = [pd.to_datetime(x, unit="us") for x in (started, last)]
+    return pd.DataFrame({"key": key, "started_at": times[0], "last_seen": times[1], "worst_value": worst, "status": status})
+
+
 def held_intervals(samples: DataFrame, key: str, bad: Column, hold_seconds: int, delay_seconds: int, time: str = "ts", value: str = "value") -> DataFrame:
     """key, started_at, last_seen, worst_value of every ended run of bad samples that held long enough (status held).
 
