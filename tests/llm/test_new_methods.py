@@ -282,3 +282,12 @@ def test_a_window_is_aligned_alike_before_and_after_it_is_known(small, monkeypat
     forgetful = alignment.Aligner(*files)
     parts = [forgetful.batch(ids[i : i + 7], texts[i : i + 7]) for i in range(0, len(texts), 7)]
     assert once.equals(again) and once.to_pylist() == [r for p in parts for r in p.to_pylist()]
+
+
+def test_units_of_plain_texts_need_no_pattern(monkeypatch):
+    """Texts with single blanks only are split at once, into the units that the pattern gives."""
+    units, pattern = alignment.Units(None, None), alignment._UNIT
+    odd = ["a", "a b", " a b", "a b ", "a  b", "a\nb c", "a\t b", "é b c", "a　 b", " ", "\n", "\x1cb a", "a \nb", "x y z"]
+    assert [units.split(t) for t in odd] == [pattern.split(" " + t) for t in odd]
+    monkeypatch.setattr(alignment, "_UNIT", None)
+    assert units.split("one two three") == [" one", " two", " three"]

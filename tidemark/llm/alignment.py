@@ -148,20 +148,23 @@ class Units:
         self.window = array("q")
 
     def split(self, text: str) -> list[str]:
+        words = text.split()
+        if " ".join(words) == text:
+            return [" " + w for w in words]
         return _UNIT.split(" " + text)
 
     def places(self, units: list[str]) -> np.ndarray:
-        found = list(map(self.at.get, units))
-        if None in found:
-            self._learn(list(dict.fromkeys([u for u, at in zip(units, found) if at is None])))
-            found = [self.at[u] if at is None else at for u, at in zip(units, found)]
-        return np.array(found, np.int64)
+        new = [u for u in dict.fromkeys(units) if u not in self.at]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
 
     def _learn(self, new: list[str]) -> None:
         """Ids of new units. Units without inner white space go to the libraries joined, many at a time, and their ids
         are told apart by their bytes; where the bytes do not fit, and for other units, each goes on its own."""
-        plain = [u for u in new if _PLAIN.fullmatch(u)]
-        rest = [u for u in new if not _PLAIN.fullmatch(u)]
+        plain, rest = [], []
+        for unit in new:
+            (plain if _PLAIN.fullmatch(unit) else rest).append(unit)
         for begin in range(0, len(plain), UNITS_AT_ONCE):
             units = plain[begin : begin + UNITS_AT_ONCE]
             sizes = [len(u.encode()) for u in units]
